@@ -35,7 +35,7 @@ def list_cell(raw: Column) -> Column:
 
 def date_cell(raw: Column) -> Column:
     day = F.regexp_replace(trimmed_or_null(raw), r"[T ]\d{1,2}:.*$", "")
-    return F.coalesce(*[F.try_to_date(day, F.lit(f)) for f in DATE_FORMATS])
+    return F.coalesce(*[F.try_to_date(day, f) for f in DATE_FORMATS])
 
 
 def canonical_number(value: Column) -> Column:

@@ -49,4 +49,5 @@ def duration_minutes(text: Column) -> Column:
 
 def sheet_weight(raw: Column, scale: int = cat.SHEET_WEIGHT_SCALE) -> Column:
     """A -scale..scale sheet entry as a -1..1 weight, held inside the range."""
-    return F.least(F.greatest(to_number(raw), F.lit(float(-scale))), F.lit(float(scale))) / float(scale)
+    value, most = to_number(raw), F.lit(float(scale))
+    return F.when(value.isNotNull(), F.least(F.greatest(value, -most), most) / most)

@@ -52,7 +52,7 @@ def price_value(text: Column) -> Column:
 def available_from(footer: Column, captured_on: Column) -> Column:
     """A stated date, the capture date for "now", null for impossible dates."""
     stated = _group(footer, cat.AVAILABLE_PATTERN, 1)
-    return F.when(stated == "now", captured_on).otherwise(F.try_to_date(stated, F.lit("d MMM yyyy")))
+    return F.when(stated == "now", captured_on).otherwise(F.try_to_date(stated, "d MMM yyyy"))
 
 
 def lease_months(text_lower: Column) -> Column:

@@ -55,6 +55,10 @@ def label_kind(label: Column) -> Column:
     return kind
 
 
+def _labels_of(labels: Column, name: str) -> Column:
+    return F.filter(labels, lambda label: F.coalesce(label_kind(label) == name, F.lit(False)))
+
+
 def primary_features(labels: Column) -> dict[str, Column]:
     """Rooms and sizes from the feature list; a later label of a kind replaces
     an earlier one. A list without a car entry means no parking, a page without
@@ -62,7 +66,7 @@ def primary_features(labels: Column) -> dict[str, Column]:
     lowered = F.transform(labels, F.lower)
     values = {}
     for name, _, read in LABEL_KINDS:
-        mine = F.filter(lowered, lambda label, name=name: F.coalesce(label_kind(label) == name, F.lit(False)))
+        mine = _labels_of(lowered, name)
         value = read(F.get(mine, F.size(mine) - 1))
         if name == "parking_spaces":
             value = F.when(F.size(mine) > 0, value).when(labels.isNotNull(), F.lit(0))

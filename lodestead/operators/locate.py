@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Where a listing page keeps its facts.
 CONTAINERS = {
@@ -25,12 +26,12 @@ CONTAINERS = {
 }
 META_NAMES = {"description": "meta_description", "og:description": "og_description", "og:title": "og_title"}
 
-SCHEMA = (
-    "address array<string>, labels array<string>, attributes array<string>, footer array<string>, "
-    "price array<string>, body array<string>, meta_description string, og_description string, og_title string, "
-    "canonical string, json_ld array<string>"
+LIST_FIELDS = ["address", "labels", "attributes", "footer", "price", "body"]
+TEXT_FIELDS = [*META_NAMES.values(), "canonical"]
+FIELDS = [*LIST_FIELDS, *TEXT_FIELDS, "json_ld"]
+SCHEMA = T.StructType(
+    [T.StructField(f, T.StringType() if f in TEXT_FIELDS else T.ArrayType(T.StringType())) for f in FIELDS]
 )
-FIELDS = [part.split()[0] for part in SCHEMA.split(", ")]
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset(("script", "style", "template"))

@@ -67,7 +67,7 @@ def typed_override(value: Column, column: str) -> Column:
     if kind == "integer":
         return value.try_cast("double").try_cast("int")
     if kind == "date":
-        return F.try_to_date(value, F.lit("yyyy-MM-dd"))
+        return F.try_to_date(value, "yyyy-MM-dd")
     if kind == "array":
         return F.from_json(value, "array<string>")
     return value.try_cast(cat.LISTING_COLUMNS[column])

@@ -51,7 +51,8 @@ def _cell(lat: Column, lon: Column) -> list[Column]:
     cells = 2**DEEPEST
 
     def index(share: Column, name: str) -> Column:
-        return F.least(F.floor(share * cells), F.lit(cells - 1)).cast("int").alias(name)
+        # the null test matters: "least" passes over nulls
+        return F.when(share.isNotNull(), F.least(F.floor(share * cells), F.lit(cells - 1)).cast("int")).alias(name)
 
     return [index((lon + 180.0) / 360.0, "x"), index((lat + 90.0) / 180.0, "y")]
 

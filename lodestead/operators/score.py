@@ -1,6 +1,9 @@
 """Hard filters and fit scores, as expressions over the listing columns that the
 preferences name. Nothing is joined and nothing but two one-row aggregates is
-shuffled: feature ranges, then raw-score ranges."""
+shuffled: feature ranges, then raw-score ranges.
+
+Expressions are written as SQL text: one person's score is a sum of dozens of
+terms, and a text reaches the session in one call."""
 
 from __future__ import annotations
 
@@ -10,72 +13,87 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestead import catalog as cat
-from lodestead.functions.numbers import min_max_scale, round_even, to_number
+from lodestead.functions.numbers import min_max_scale, round_even
 from lodestead.sources.preferences import HardFilter, Preferences
 
+NUMERIC_KINDS = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "void")
+
+
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def _quoted(text: Column) -> Column:
-    mark = F.when(text.contains("'") & ~text.contains('"'), F.lit('"')).otherwise(F.lit("'"))
-    return F.concat(mark, text, mark)
 
+def _number(value: float) -> str:
+    return f"{float(value)!r}D"
 
-def _shown(value: Column, kind: str) -> Column:
-    return _quoted(value) if kind == "string" else value.cast("string")
 
+def _known(column: str, kind: str) -> str:
+    """A column with NaN taken for missing."""
+    return f"nanvl({_name(column)}, NULL)" if kind in ("double", "float") else _name(column)
 
-def _threshold(value: object, kind: str) -> Column:
+
+def _threshold(value: object, kind: str) -> str:
     if kind in ("string", "date", "timestamp"):
-        return F.lit(str(value)).cast(kind)
-    return F.lit(float(value))
+        return f"CAST({_text(str(value))} AS {kind})"
+    return _number(value)
+
+
+def _quoted(column: str) -> str:
+    """Text in the quotes a list shows it in."""
+    mark = f"CASE WHEN contains({column}, '\\'') AND NOT contains({column}, '\"') THEN '\"' ELSE '\\'' END"
+    return f"concat({mark}, {column}, {mark})"
 
 
-def filter_failure(listings: DataFrame, rule: HardFilter) -> Column:
-    """Why a listing fails the rule, or null. A missing value passes every rule
-    but ``required``; a column the table does not have is a missing value."""
-    nothing = F.lit(None).cast("string")
-    name = rule.column
+def filter_failure(kinds: dict[str, str], rule: HardFilter) -> str | None:
+    """SQL for why a listing fails the rule, null where it passes. ``kinds`` are
+    the table's column types. A missing value passes every rule but
+    ``required``; a column the table does not have is a missing value. None for
+    a rule that nothing can fail."""
+    name, kind = rule.column, kinds.get(rule.column)
     if rule.kind == "required":
         if not rule.value:
-            return nothing
-        present = F.lit(False)
-        if name in listings.columns:
-            column, kind = F.col(name), listings.schema[name].dataType.typeName()
-            present = {
-                "string": column != "",
-                "boolean": column,
-                "array": F.size(column) > 0,
-                "date": column.isNotNull(),
-                "timestamp": column.isNotNull(),
-            }.get(kind, column != 0)
-        return F.when(~F.coalesce(present, F.lit(False)), F.lit(f"{name} required but missing/false"))
-    if name not in listings.columns or rule.value is None:
-        return nothing
-    column, kind = F.col(name), listings.schema[name].dataType.typeName()
-    if kind == "double":
-        column = F.when(~F.isnan(column), column)
+            return None
+        told = _text(f"{name} required but missing/false")
+        if kind is None:
+            return told
+        value = _known(name, kind)
+        if kind == "string":
+            present = f"{value} <> ''"
+        elif kind.startswith("array"):
+            present = f"size({value}) > 0"
+        elif kind == "boolean":
+            present = value
+        elif kind in ("date", "timestamp"):
+            present = f"{value} IS NOT NULL"
+        else:
+            present = f"{value} <> 0"
+        return f"CASE WHEN NOT coalesce({present}, false) THEN {told} END"
+    if kind is None or rule.value is None:
+        return None
+    value = _known(name, kind)
     if rule.kind in ("max", "min"):
-        limit = _threshold(rule.value, kind)
-        fails = column > limit if rule.kind == "max" else column < limit
         sign = ">" if rule.kind == "max" else "<"
-        shown = F.lit(str(float(rule.value)) if isinstance(rule.value, (int, float)) else str(rule.value))
-        return F.when(fails, F.concat(F.lit(f"{name} = "), column.cast("string"), F.lit(f" {sign} {rule.kind} "), shown))
+        limit = str(float(rule.value)) if isinstance(rule.value, (int, float)) else str(rule.value)
+        told = f"concat({_text(f'{name} = ')}, CAST({value} AS string), {_text(f' {sign} {rule.kind} {limit}')})"
+        return f"CASE WHEN {value} {sign} {_threshold(rule.value, kind)} THEN {told} END"
     values = list(rule.value)
     if not values:
-        return nothing
-    if kind == "string":
-        listed, text = column.isin([str(v) for v in values]), str([str(v) for v in values])
-    else:
-        numbers = [float(v) for v in values]
-        listed, text = column.cast("double").isin(numbers), str(numbers)
-    fails, words = (~listed, "not in allowed") if rule.kind == "allowed" else (listed, "is in excluded list")
-    return F.when(fails, F.concat(F.lit(f"{name} = "), _shown(column, kind), F.lit(f" {words} {text}")))
+        return None
+    shown = [str(v) for v in values] if kind == "string" else [float(v) for v in values]
+    listed = f"{value} IN ({', '.join(_text(v) if kind == 'string' else _number(v) for v in shown)})"
+    fails, words = (f"NOT {listed}", "not in allowed") if rule.kind == "allowed" else (listed, "is in excluded list")
+    told = _quoted(value) if kind == "string" else f"CAST({value} AS string)"
+    return f"CASE WHEN {fails} THEN concat({_text(f'{name} = ')}, {told}, {_text(f' {words} {shown}')}) END"
 
 
-def failure_reasons(listings: DataFrame, rules: list[HardFilter]) -> Column:
-    """All failures in rule order, joined; empty text when everything passes."""
-    if not rules:
-        return F.lit("")
-    return F.array_join(F.array(*[filter_failure(listings, r) for r in rules]), "; ")
+def failure_reasons(kinds: dict[str, str], rules: list[HardFilter]) -> str:
+    """SQL for all failures in rule order, joined; empty when everything passes."""
+    reasons = [r for r in (filter_failure(kinds, rule) for rule in rules) if r]
+    return f"concat_ws('; ', {', '.join(reasons)})" if reasons else "''"
 
 
 def unknown_columns(listings: DataFrame, preferences: list[Preferences]) -> DataFrame:
@@ -90,57 +108,55 @@ def unknown_columns(listings: DataFrame, preferences: list[Preferences]) -> Data
     return listings.sparkSession.createDataFrame(rows, "person string, kind string, column string")
 
 
-def _numeric(listings: DataFrame, name: str) -> Column:
-    kind = listings.schema[name].dataType.typeName()
-    if kind in ("integer", "long", "double", "float", "boolean", "short", "byte", "void"):
-        return F.col(name).cast("double")
-    return to_number(F.col(name)) if kind == "string" else F.lit(None).cast("double")
+def _numeric(kinds: dict[str, str], name: str) -> str:
+    """A column as a number; text that is no number, and dates, are missing."""
+    kind = kinds[name]
+    if kind in NUMERIC_KINDS:
+        return f"nanvl(CAST({_name(name)} AS double), NULL)"
+    return f"nanvl(try_cast(trim({_name(name)}) AS double), NULL)" if kind == "string" else "CAST(NULL AS double)"
 
 
-def _weighted(listings: DataFrame, person: Preferences) -> list[tuple[str, float]]:
-    known = set(listings.columns)
+def _weighted(kinds: dict[str, str], person: Preferences) -> list[tuple[str, float]]:
     return [
         (f, w)
         for f, w in person.weights.items()
-        if w and not math.isnan(w) and (f == cat.PREFERRED_SUBURBS_FEATURE or f in known)
+        if w and not math.isnan(w) and (f == cat.PREFERRED_SUBURBS_FEATURE or f in kinds)
     ]
 
 
-def scaled_features(listings: DataFrame, preferences: list[Preferences]) -> list[str]:
+def scaled_features(kinds: dict[str, str], preferences: list[Preferences]) -> list[str]:
     """Columns that some person's weights scale by the range of the data."""
-    named = {f for p in preferences for f, _ in _weighted(listings, p)}
+    named = {f for p in preferences for f, _ in _weighted(kinds, p)}
     return sorted(named - set(cat.BOOLEAN_COLUMNS) - {cat.PREFERRED_SUBURBS_FEATURE})
 
 
 def feature_ranges(listings: DataFrame, features: list[str]) -> DataFrame:
     """One row with ``<feature>_lo`` and ``<feature>_hi`` over the whole table."""
-    def column(f: str) -> Column:
-        value = _numeric(listings, f)
-        return F.when(~F.isnan(value), value)
-
-    return listings.agg(
-        *[a for f in features for a in (F.min(column(f)).alias(f"{f}_lo"), F.max(column(f)).alias(f"{f}_hi"))]
+    kinds = dict(listings.dtypes)
+    return listings.selectExpr(
+        *[f"{end}({_numeric(kinds, f)}) AS {_name(f'{f}_{side}')}" for f in features for end, side in (("min", "lo"), ("max", "hi"))]
     )
 
 
 def _one_row(df: DataFrame) -> Column:
-    return df.select(F.struct(*df.columns).alias("row")).scalar()
+    return df.select(F.struct("*").alias("row")).scalar()
 
 
-def raw_score(listings: DataFrame, person: Preferences, ranges: Column | None) -> Column:
-    """Sum of weight times value, in the order the weights are written."""
-    total = F.lit(0.0)
-    for feature, weight in _weighted(listings, person):
+def raw_score(kinds: dict[str, str], person: Preferences, ranges: str) -> str:
+    """SQL for the sum of weight times value, in the order the weights are
+    written. ``ranges`` names the struct column with the feature ranges."""
+    terms = ["0.0D"]
+    for feature, weight in _weighted(kinds, person):
         if feature == cat.PREFERRED_SUBURBS_FEATURE:
-            value = F.coalesce(F.col("suburb").isin(person.suburbs), F.lit(False)).cast("double")
+            liked = ", ".join(_text(s) for s in person.suburbs)
+            value = f"CASE WHEN suburb IN ({liked}) THEN 1.0D ELSE 0.0D END" if liked else "0.0D"
         elif feature in cat.BOOLEAN_COLUMNS:
-            value = F.coalesce(_numeric(listings, feature), F.lit(0.5))
+            value = f"coalesce({_numeric(kinds, feature)}, 0.5D)"
         else:
-            value = min_max_scale(
-                _numeric(listings, feature), ranges.getField(f"{feature}_lo"), ranges.getField(f"{feature}_hi")
-            )
-        total = total + F.lit(float(weight)) * value
-    return total
+            x, lo, hi = _numeric(kinds, feature), f"{ranges}.{_name(f'{feature}_lo')}", f"{ranges}.{_name(f'{feature}_hi')}"
+            value = f"CASE WHEN {hi} > {lo} THEN coalesce(({x} - {lo}) / ({hi} - {lo}), 0.5D) ELSE 0.5D END"
+        terms.append(f"{_number(weight)} * {value}")
+    return " + ".join(terms)
 
 
 def score_wide(listings: DataFrame, preferences: list[Preferences]) -> DataFrame:
@@ -148,19 +164,20 @@ def score_wide(listings: DataFrame, preferences: list[Preferences]) -> DataFrame
     ``<p>_hard_filter_reasons``, ``<p>_raw_score`` and ``<p>_fit_score``."""
     if not preferences:
         return listings
-    features = scaled_features(listings, preferences)
+    kinds = dict(listings.dtypes)
+    features = scaled_features(kinds, preferences)
     # each range row becomes one column, so its subquery is planned and run once
     ranged = listings.withColumn("_ranges", _one_row(feature_ranges(listings, features))) if features else listings
-    raws = {p.person: raw_score(listings, p, F.col("_ranges")).alias(f"{p.person}_raw_score") for p in preferences}
-    raw_ranges = ranged.select(*raws.values()).agg(
+    raws = {p.person: f"{raw_score(kinds, p, '_ranges')} AS {_name(f'{p.person}_raw_score')}" for p in preferences}
+    spans = ranged.selectExpr(*raws.values()).selectExpr(
         *[
-            a
+            f"{end}({_name(f'{p}_raw_score')}) AS {_name(f'{p}_{side}')}"
             for p in raws
-            for a in (F.min(f"{p}_raw_score").alias(f"{p}_lo"), F.max(f"{p}_raw_score").alias(f"{p}_hi"))
+            for end, side in (("min", "lo"), ("max", "hi"))
         ]
     )
-    reasons = [failure_reasons(listings, p.filters).alias(f"{p.person}_hard_filter_reasons") for p in preferences]
-    scored = ranged.select(*listings.columns, *reasons, *raws.values(), _one_row(raw_ranges).alias("_span"))
+    reasons = [f"{failure_reasons(kinds, p.filters)} AS {_name(f'{p.person}_hard_filter_reasons')}" for p in preferences]
+    scored = ranged.selectExpr(*map(_name, kinds), *reasons, *raws.values()).withColumn("_span", _one_row(spans))
     out = {}
     for p in raws:
         scaled = min_max_scale(F.col(f"{p}_raw_score"), F.col(f"_span.{p}_lo"), F.col(f"_span.{p}_hi"))

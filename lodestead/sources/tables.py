@@ -12,13 +12,13 @@ from lodestead import catalog as cat
 def conform(df: DataFrame, schema: T.StructType = cat.LISTING_SCHEMA, keep_extra: bool = True) -> DataFrame:
     """Add the catalogue columns the table lacks as nulls and put the catalogue
     first. Columns outside it are kept as they are, never dropped or altered."""
-    have = set(df.columns)
+    have = dict(df.dtypes)
     known = [
-        F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
-        for f in schema.fields
+        f"`{f.name}`" if have.get(f.name) == kind else f"CAST({f'`{f.name}`' if f.name in have else 'NULL'} AS {kind}) AS `{f.name}`"
+        for f, kind in ((f, f.dataType.simpleString()) for f in schema.fields)
     ]
-    extra = [c for c in df.columns if c not in schema.fieldNames()] if keep_extra else []
-    return df.select(*known, *extra)
+    extra = [f"`{c}`" for c in have if c not in schema.fieldNames()] if keep_extra else []
+    return df.selectExpr(*known, *extra)
 
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:

@@ -30,7 +30,7 @@ def main() -> int:
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     duck = duckdb.connect()
     for t in TABLES:
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
@@ -42,7 +42,7 @@ def main() -> int:
             cols = sorted(df.columns)
             mine = [tuple(r) for r in df.select(*cols).collect()]
         except Exception as e:  # report and go on with the next query
-            print(f"{name}: SPARK FAILED {str(e)[:1500]}")
+            print(f"{name}: SPARK FAILED {str(e)[:600]}")
             bad.append(name)
             continue
         took = time.time() - start
