@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_KM = 6371.0
 
 
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Distance in km on a sphere; null as soon as any coordinate is null."""
-    half_lat = F.sin(F.radians(lat2 - lat1) / 2)
-    half_lon = F.sin(F.radians(lon2 - lon1) / 2)
-    a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return EARTH_RADIUS_KM * 2 * F.atan2(F.sqrt(a), F.sqrt(F.greatest(1 - a, F.lit(0.0))))
+def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """SQL for the distance in km on a sphere between two positions given as SQL
+    expressions; null as soon as any coordinate is null."""
+    chord = (
+        f"(pow(sin(radians({lat2} - ({lat1})) / 2), 2)"
+        f" + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - ({lon1})) / 2), 2))"
+    )
+    return f"({EARTH_RADIUS_KM}D * 2 * atan2(sqrt({chord}), sqrt(greatest(1 - {chord}, 0D))))"
+
+
+def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
+    return F.expr(haversine_sql(lat1, lon1, lat2, lon2))

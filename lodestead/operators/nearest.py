@@ -15,16 +15,15 @@ so one cell holding a third of all points or listings costs levels, not pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestead import catalog as cat
 from lodestead.checkpoints import cut
-from lodestead.functions.geo import haversine_km
+from lodestead.functions.geo import haversine_km, haversine_sql
 
 # Tree levels. Level k has 2^k by 2^k cells over longitude and latitude.
-FIRST_LEVEL, BASE_LEVEL, STRIDE, DEEPEST = 3, 9, 2, 25
+STRIDE, BASE_LEVEL, DEEPEST = 3, 9, 27
 LEAF_POINTS = 256
 # Kilometres added to every bound so that rounding can never drop a candidate.
 SLACK_KM = 0.001
@@ -32,91 +31,81 @@ SLACK_KM = 0.001
 # sent to all executors; a larger one is joined by key.
 BROADCAST_ENTRIES = 1_000_000
 
+KNOWN = "(lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon))"
 
-def _known(*coordinates: Column) -> Column:
-    known = F.lit(True)
-    for c in coordinates:
-        known = known & c.isNotNull() & ~F.isnan(c)
-    return known
 
-
-def _cell(lat: Column, lon: Column) -> list[Column]:
-    """Deepest-level cell of a position, as columns ``x`` and ``y``. Positions
-    outside the usual ranges are first brought back onto the sphere."""
-    inside = lat.between(-90, 90) & lon.between(-180, 180)
-    over_pole = F.cos(F.radians(lat)) < 0
-    lat = F.when(inside, lat).otherwise(F.degrees(F.asin(F.sin(F.radians(lat)))))
-    turned = F.pmod(lon + F.when(over_pole, 360.0).otherwise(180.0), F.lit(360.0)) - 180.0
-    lon = F.when(inside, lon).otherwise(turned)
+def _cell(lat: str, lon: str) -> tuple[str, str]:
+    """SQL for the deepest-level cell of a position. Positions outside the usual
+    ranges are first brought back onto the sphere."""
+    inside = f"({lat} BETWEEN -90 AND 90 AND {lon} BETWEEN -180 AND 180)"
+    on_lat = f"CASE WHEN {inside} THEN {lat} ELSE degrees(asin(sin(radians({lat})))) END"
+    half_turn = f"CASE WHEN cos(radians({lat})) < 0 THEN 360D ELSE 180D END"
+    on_lon = f"CASE WHEN {inside} THEN {lon} ELSE pmod({lon} + {half_turn}, 360D) - 180D END"
     cells = 2**DEEPEST
 
-    def index(share: Column, name: str) -> Column:
+    def index(share: str) -> str:
         # the null test matters: "least" passes over nulls
-        return F.when(share.isNotNull(), F.least(F.floor(share * cells), F.lit(cells - 1)).cast("int")).alias(name)
+        return f"CASE WHEN {share} IS NOT NULL THEN CAST(least(floor({share} * {cells}D), {cells - 1}) AS int) END"
 
-    return [index((lon + 180.0) / 360.0, "x"), index((lat + 90.0) / 180.0, "y")]
+    return index(f"(({on_lon} + 180D) / 360D)"), index(f"(({on_lat} + 90D) / 180D)")
 
 
-def _up(column: str, level: int, of: int = DEEPEST) -> Column:
-    """Cell coordinate at a coarser level."""
-    return F.shiftright(F.col(column), of - level)
+def _up(column: str, level: int, of: int = DEEPEST) -> str:
+    """SQL for a cell coordinate at a coarser level."""
+    return f"shiftright({column}, {of - level})"
 
 
-def _centre(x: str, y: str, level: int) -> tuple[Column, Column]:
-    return (F.col(y) + 0.5) * (180.0 / 2**level) - 90.0, (F.col(x) + 0.5) * (360.0 / 2**level) - 180.0
+def _centre(x: str, y: str, level: int) -> tuple[str, str]:
+    return f"(({y} + 0.5D) * {180.0 / 2**level!r}D - 90D)", f"(({x} + 0.5D) * {360.0 / 2**level!r}D - 180D)"
 
 
-def _radius(x: str, y: str, level: int) -> Column:
-    """Distance from a cell's centre to its farthest corner."""
+def _radius(x: str, y: str, level: int) -> str:
+    """SQL for the distance from a cell's centre to its farthest corner."""
     lat, lon = _centre(x, y, level)
-    half_lat, half_lon = 90.0 / 2**level, 180.0 / 2**level
-    return F.greatest(
-        haversine_km(lat, lon, lat - half_lat, lon + half_lon), haversine_km(lat, lon, lat + half_lat, lon + half_lon)
-    )
+    south, north, east = (f"({v} {shift!r}D)" for v, shift in (
+        (f"{lat} -", 90.0 / 2**level), (f"{lat} +", 90.0 / 2**level), (f"{lon} +", 180.0 / 2**level)
+    ))
+    return f"greatest({haversine_sql(lat, lon, south, east)}, {haversine_sql(lat, lon, north, east)})"
 
 
 def distinct_sites(points: DataFrame) -> DataFrame:
     """One row per category and position. Points that share a position are at
     equal distance from everywhere, and of equals the first by name is wanted."""
     return (
-        points.where(F.col("category").isin(cat.POI_CATEGORIES) & _known(F.col("lat"), F.col("lon")))
+        points.where(F.col("category").isin(cat.POI_CATEGORIES)).where(KNOWN)
         .groupBy("category", "lat", "lon")
         .agg(F.min("name").alias("name"))
     )
 
 
-def _point_cells(sites: DataFrame, level: int) -> DataFrame:
-    """Occupied point cells of a level with their size and one real point."""
-    return sites.groupBy("category", _up("x", level).alias("px"), _up("y", level).alias("py")).agg(
-        F.count("*").alias("n"), F.min(F.struct("lat", "lon")).alias("sample")
-    )
-
-
 def _descend(pairs: DataFrame, cells: DataFrame, sites: DataFrame, above: int, level: int) -> DataFrame:
     """Surviving pairs one step further down both trees."""
-    listing_side = cells.select("x", "y", _up("x", above, level).alias("lx"), _up("y", above, level).alias("ly"))
-    point_side = _point_cells(sites, level).select(
-        "category", "n", "sample", F.col("px").alias("cx"), F.col("py").alias("cy"),
-        _up("px", above, level).alias("px"), _up("py", above, level).alias("py"),
-    )
-    children = (
+    listing_side = cells.selectExpr(
+        "x AS cx", "y AS cy", f"{_up('x', above, level)} AS lx", f"{_up('y', above, level)} AS ly"
+    )
+    # occupied point cells with their size and one real point
+    point_side = (
+        sites.selectExpr("category", f"{_up('x', level)} AS qx", f"{_up('y', level)} AS qy", "struct(lat, lon) AS at")
+        .groupBy("category", "qx", "qy")
+        .agg(F.count("*").alias("n"), F.min("at").alias("sample"))
+        .selectExpr("*", f"{_up('qx', above, level)} AS px", f"{_up('qy', above, level)} AS py")
+    )
+    lat, lon = _centre("cx", "cy", level)
+    reach = _radius("cx", "cy", level)
+    apart = haversine_sql(lat, lon, *_centre("qx", "qy", level))
+    bounded = (
         pairs.select("category", "lx", "ly", "px", "py")
         .join(listing_side, ["lx", "ly"])
         .join(point_side, ["category", "px", "py"])
-        .select("category", F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("cx").alias("px"), F.col("cy").alias("py"), "n", "sample")
-    )
-    lat, lon = _centre("lx", "ly", level)
-    reach = _radius("lx", "ly", level)
-    apart = haversine_km(lat, lon, *_centre("px", "py", level))
-    bounded = children.select(
-        "*",
-        (apart - reach - _radius("px", "py", level)).alias("least"),
-        (haversine_km(lat, lon, F.col("sample.lat"), F.col("sample.lon")) + reach).alias("sure"),
+        .selectExpr(
+            "category", "cx AS lx", "cy AS ly", "qx AS px", "qy AS py", "n",
+            f"{apart} - {reach} - {_radius('qx', 'qy', level)} AS least",
+            f"{haversine_sql(lat, lon, 'sample.lat', 'sample.lon')} + {reach} AS sure",
+        )
     )
-    best = F.min("sure").over(W.partitionBy("lx", "ly", "category"))
     return (
-        bounded.withColumn("best", best)
-        .where(F.col("least") <= F.col("best") + SLACK_KM)
+        bounded.selectExpr("*", "min(sure) OVER (PARTITION BY lx, ly, category) AS best")
+        .where(f"least <= best + {SLACK_KM}D")
         .select("category", "lx", "ly", "px", "py", "n")
     )
 
@@ -124,61 +113,45 @@ def _descend(pairs: DataFrame, cells: DataFrame, sites: DataFrame, above: int, l
 def _leaves(pairs: DataFrame, sites: DataFrame, level: int) -> DataFrame:
     """Candidate points per listing cell and category."""
     lat, lon = _centre("lx", "ly", level)
-    inside = sites.select(
-        "category", "name", "lat", "lon", _up("x", level).alias("px"), _up("y", level).alias("py")
-    )
-    apart = pairs.join(inside, ["category", "px", "py"]).withColumn(
-        "km", haversine_km(lat, lon, F.col("lat"), F.col("lon"))
-    )
-    best = F.min("km").over(W.partitionBy("lx", "ly", "category"))
+    inside = sites.selectExpr("category", "name", "lat", "lon", f"{_up('x', level)} AS px", f"{_up('y', level)} AS py")
     return (
-        apart.withColumn("best", best)
-        .where(F.col("km") <= F.col("best") + 2 * _radius("lx", "ly", level) + SLACK_KM)
-        .select(F.lit(level).alias("depth"), F.col("lx").alias("x"), F.col("ly").alias("y"), "category", "name", "lat", "lon")
+        pairs.join(inside, ["category", "px", "py"])
+        .selectExpr("*", f"{haversine_sql(lat, lon, 'lat', 'lon')} AS km")
+        .selectExpr("*", "min(km) OVER (PARTITION BY lx, ly, category) AS best")
+        .where(f"km <= best + 2 * {_radius('lx', 'ly', level)} + {SLACK_KM}D")
+        .selectExpr(f"{level} AS depth", "lx AS x", "ly AS y", "category", "name", "lat", "lon")
     )
 
 
-def _candidates() -> list[Column]:
-    point = F.struct("name", "lat", "lon")
-    return [F.collect_list(F.when(F.col("category") == c, point)).alias(c) for c in cat.POI_CATEGORIES]
-
-
 def _cover(located: DataFrame, sites: DataFrame, leaf_points: int) -> tuple[DataFrame, DataFrame]:
     """The cover, and for each base cell the level its cover is kept at."""
-    base_cells = cut(located.select(_up("x", BASE_LEVEL).alias("x"), _up("y", BASE_LEVEL).alias("y")).distinct())
-    pairs = sites.select("category").distinct().select(
-        "category", *[F.lit(0).alias(c) for c in ("lx", "ly", "px", "py")]
-    )
-    above = 0
-    for level in range(FIRST_LEVEL, BASE_LEVEL + 1, STRIDE):
-        cells = base_cells.select(
-            _up("x", level, BASE_LEVEL).alias("x"), _up("y", level, BASE_LEVEL).alias("y")
-        ).distinct()
-        pairs, above = cut(_descend(pairs, cells, sites, above, level)), level
+    base_cells = cut(located.selectExpr(f"{_up('x', BASE_LEVEL)} AS x", f"{_up('y', BASE_LEVEL)} AS y").distinct())
+    pairs = sites.select("category").distinct().selectExpr("category", "0 AS lx", "0 AS ly", "0 AS px", "0 AS py")
+    for level in range(STRIDE, BASE_LEVEL + 1, STRIDE):
+        cells = base_cells.selectExpr(f"{_up('x', level, BASE_LEVEL)} AS x", f"{_up('y', level, BASE_LEVEL)} AS y").distinct()
+        pairs = cut(_descend(pairs, cells, sites, level - STRIDE, level))
 
     leaves, depths = [], []
-    level = BASE_LEVEL
     while True:
-        base = [_up("lx", BASE_LEVEL, level).alias("bx"), _up("ly", BASE_LEVEL, level).alias("by")]
+        base = [f"{_up('lx', BASE_LEVEL, level)} AS bx", f"{_up('ly', BASE_LEVEL, level)} AS by"]
         load = (
-            pairs.groupBy("lx", "ly", "category").agg(F.sum("n").alias("load"))
-            .groupBy(*base).agg(F.max("load").alias("load"))
+            pairs.groupBy("lx", "ly", "category").agg(F.sum("n").alias("load")).selectExpr(*base, "load")
+            .groupBy("bx", "by").agg(F.max("load").alias("load"))
         )
-        settled = F.lit(True) if level >= DEEPEST else F.col("load") <= leaf_points
-        load = cut(load.withColumn("settled", settled))
+        load = cut(load.withColumn("settled", F.expr("true" if level >= DEEPEST else f"load <= {leaf_points}")))
         done = load.where("settled").select("bx", "by")
-        tagged = pairs.select("*", *base)
+        tagged = pairs.selectExpr("*", *base)
         leaves.append(_leaves(tagged.join(done, ["bx", "by"]), sites, level))
         depths.append(done.withColumn("depth", F.lit(level)))
-        unsettled = load.where(~F.col("settled")).select("bx", "by")
+        unsettled = load.where("NOT settled").select("bx", "by")
         if unsettled.isEmpty():
             break
         deeper = level + STRIDE
         # at most 4^BASE_LEVEL rows, so sending them everywhere is safe
         cells = (
-            located.withColumns({"bx": _up("x", BASE_LEVEL), "by": _up("y", BASE_LEVEL)})
+            located.selectExpr("x", "y", f"{_up('x', BASE_LEVEL)} AS bx", f"{_up('y', BASE_LEVEL)} AS by")
             .join(F.broadcast(unsettled), ["bx", "by"], "left_semi")
-            .select(_up("x", deeper).alias("x"), _up("y", deeper).alias("y"))
+            .selectExpr(f"{_up('x', deeper)} AS x", f"{_up('y', deeper)} AS y")
             .distinct()
         )
         open_pairs = tagged.join(unsettled, ["bx", "by"], "left_semi")
@@ -187,73 +160,63 @@ def _cover(located: DataFrame, sites: DataFrame, leaf_points: int) -> tuple[Data
     entries, depth_map = leaves[0], depths[0]
     for more, more_depths in zip(leaves[1:], depths[1:]):
         entries, depth_map = entries.unionByName(more), depth_map.unionByName(more_depths)
-    return cut(entries.groupBy("depth", "x", "y").agg(*_candidates())), depth_map
-
-
-def _closest(lat: Column, lon: Column, candidates: Column) -> Column:
-    """Nearest candidate; of equally near ones the first by name, then position."""
-    return F.array_min(
-        F.transform(
-            candidates,
-            lambda p: F.struct(
-                haversine_km(lat, lon, p["lat"], p["lon"]).alias("km"),
-                p["name"].alias("name"),
-                p["lat"].alias("lat"),
-                p["lon"].alias("lon"),
-            ),
-        )
+    return cut(_as_lists(entries)), depth_map
+
+
+def _as_lists(entries: DataFrame) -> DataFrame:
+    """Candidates as one list per category and cell."""
+    lists = [
+        F.expr(f"collect_list(CASE WHEN category = '{c}' THEN struct(name, lat, lon) END) AS _{c}") for c in cat.POI_CATEGORIES
+    ]
+    return entries.groupBy(F.expr("depth AS _depth"), F.expr("x AS _cx"), F.expr("y AS _cy")).agg(*lists)
+
+
+def _closest(category: str) -> str:
+    """SQL for the nearest candidate; of equally near ones the first by name,
+    then by position."""
+    km = haversine_sql("lat", "lon", "p.lat", "p.lon")
+    return (
+        f"array_min(transform(_{category}, p -> struct({km} AS km, p.name AS name, p.lat AS lat, p.lon AS lon)))"
+        f" AS at_{category}"
     )
 
 
 def _with_nearest(listings: DataFrame, points: DataFrame, leaf_points: int) -> DataFrame:
     """Listings plus one struct column ``at_<category>`` per category."""
-    known = _known(F.col("lat"), F.col("lon"))
-    lat, lon = F.when(known, F.col("lat")), F.when(known, F.col("lon"))
     sites = distinct_sites(points)
     largest = sites.groupBy("category").count().agg(F.max("count")).first()[0] or 0
-    x, y = _cell(lat, lon)
-    placed = listings.select("*", x.alias("_x"), y.alias("_y"))
+    x, y = _cell("lat", "lon")
+    placed = listings.selectExpr("*", f"CASE WHEN {KNOWN} THEN {x} END AS _x", f"CASE WHEN {KNOWN} THEN {y} END AS _y")
     if largest <= leaf_points:
         # few enough points for the whole sphere to be one cell
-        root = [F.lit(0).alias(k) for k in ("depth", "x", "y")]
-        cover = F.broadcast(sites.select(*root, "category", "name", "lat", "lon").groupBy("depth", "x", "y").agg(*_candidates()))
+        cover = F.broadcast(_as_lists(sites.selectExpr("*", "0 AS depth", "0 AS x", "0 AS y")))
         placed = placed.withColumn("_d", F.lit(0))
     else:
-        sites = cut(sites.select("*", *_cell(F.col("lat"), F.col("lon"))))
-        located = listings.where(known).select(*_cell(F.col("lat"), F.col("lon")))
+        sites = cut(sites.selectExpr("*", f"{x} AS x", f"{y} AS y"))
+        located = listings.where(KNOWN).selectExpr(f"{x} AS x", f"{y} AS y")
         cover, depths = _cover(located, sites, leaf_points)
-        entries = cover.agg(F.sum(sum(F.size(c) for c in cat.POI_CATEGORIES))).first()[0] or 0
-        if entries <= BROADCAST_ENTRIES:
+        sizes = " + ".join(f"size(_{c})" for c in cat.POI_CATEGORIES)
+        if (cover.selectExpr(f"sum({sizes})").first()[0] or 0) <= BROADCAST_ENTRIES:
             cover = F.broadcast(cover)
         # at most 4^BASE_LEVEL rows
-        depths = F.broadcast(depths.select(F.col("bx").alias("_bx"), F.col("by").alias("_by"), F.col("depth").alias("_d")))
-        placed = placed.join(
-            depths, (_up("_x", BASE_LEVEL) == F.col("_bx")) & (_up("_y", BASE_LEVEL) == F.col("_by")), "left"
-        )
-    cover = cover.select(
-        F.col("depth").alias("_depth"), F.col("x").alias("_cx"), F.col("y").alias("_cy"),
-        *[F.col(c).alias(f"_{c}") for c in cat.POI_CATEGORIES],
-    )
+        depths = F.broadcast(depths.selectExpr("bx AS _bx", "by AS _by", "depth AS _d"))
+        placed = placed.join(depths, F.expr(f"{_up('_x', BASE_LEVEL)} = _bx AND {_up('_y', BASE_LEVEL)} = _by"), "left")
     found = placed.join(
         cover,
-        (F.col("_d") == F.col("_depth"))
-        & (F.expr(f"shiftright(_x, {DEEPEST} - _d)") == F.col("_cx"))
-        & (F.expr(f"shiftright(_y, {DEEPEST} - _d)") == F.col("_cy")),
+        F.expr(f"_d = _depth AND shiftright(_x, {DEEPEST} - _d) = _cx AND shiftright(_y, {DEEPEST} - _d) = _cy"),
         "left",
     )
-    return found.select(
-        *listings.columns, *[_closest(lat, lon, F.col(f"_{c}")).alias(f"at_{c}") for c in cat.POI_CATEGORIES]
-    )
+    return found.selectExpr(*[f"`{c}`" for c in listings.columns], *[_closest(c) for c in cat.POI_CATEGORIES])
 
 
 def nearest_wide(listings: DataFrame, points: DataFrame, leaf_points: int = LEAF_POINTS) -> DataFrame:
     """Listings with ``nearest_<category>`` and ``nearest_<category>_km``. No
     position, or no point of a category, gives nulls."""
-    names = {f"nearest_{c}": F.col(f"at_{c}.name") for c in cat.POI_CATEGORIES}
-    kms = {f"nearest_{c}_km": F.col(f"at_{c}.km") for c in cat.POI_CATEGORIES}
-    kept = [c for c in listings.columns if c not in names and c not in kms]
-    found = _with_nearest(listings, points, leaf_points)
-    return found.select(*kept, *[v.alias(k) for k, v in {**names, **kms}.items()])
+    names = {f"nearest_{c}": f"at_{c}.name" for c in cat.POI_CATEGORIES}
+    kms = {f"nearest_{c}_km": f"at_{c}.km" for c in cat.POI_CATEGORIES}
+    found = {**names, **kms}
+    kept = [f"`{c}`" for c in listings.columns if c not in found]
+    return _with_nearest(listings, points, leaf_points).selectExpr(*kept, *[f"{v} AS {k}" for k, v in found.items()])
 
 
 def nearest_long(
@@ -261,13 +224,8 @@ def nearest_long(
 ) -> DataFrame:
     """One row per listing and category that has a nearest point."""
     found = _with_nearest(listings.select(*keys, "lat", "lon"), points, leaf_points)
-    rows = F.array(
-        *[
-            F.struct(F.lit(c).alias("category"), *[F.col(f"at_{c}.{f}").alias(f) for f in ("name", "km")])
-            for c in cat.POI_CATEGORIES
-        ]
-    )
-    return found.select(*keys, F.inline(rows)).where(F.col("name").isNotNull())
+    rows = ", ".join(f"struct('{c}' AS category, at_{c}.name AS name, at_{c}.km AS km)" for c in cat.POI_CATEGORIES)
+    return found.selectExpr(*keys, f"inline(array({rows}))").where("name IS NOT NULL")
 
 
 def pivot_nearest(long: DataFrame) -> DataFrame:
@@ -286,5 +244,5 @@ def pivot_nearest(long: DataFrame) -> DataFrame:
 def with_anchor_distance(listings: DataFrame, anchor_lat: float | None, anchor_lon: float | None) -> DataFrame:
     """Straight-line distance to a fixed place; null when either is unknown."""
     known = anchor_lat is not None and anchor_lon is not None
-    km = haversine_km(F.col("lat"), F.col("lon"), F.lit(anchor_lat), F.lit(anchor_lon)) if known else F.lit(None).cast("double")
+    km = haversine_km("lat", "lon", f"{float(anchor_lat)!r}D", f"{float(anchor_lon)!r}D") if known else F.lit(None).cast("double")
     return listings.withColumn("straight_line_km", km)

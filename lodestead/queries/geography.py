@@ -97,7 +97,7 @@ def point_distance(spark, sf_dir):
         F.col("n_nationkey").alias("place"), ((F.col("n_nationkey") * 5).cast("double") - 60).alias("plat"),
         ((F.col("n_nationkey") * 13).cast("double") - 160).alias("plon"),
     )
-    km = haversine_km(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))
+    km = haversine_km("plat", "plon", "lat", "lon")
     return s.join(n, "place").select("supplier_id", "place", F.round(km, 6).alias("km"))
 
 
