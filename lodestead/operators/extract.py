@@ -45,31 +45,19 @@ def structured_address(blocks: Column) -> Column:
     return F.get(F.filter(found, lambda a: F.coalesce(a["suburb"] != "", F.lit(False))), 0)
 
 
-def label_kind(label: Column) -> Column:
-    kind = F.lit(None).cast("string")
-    for name, words, _ in reversed(LABEL_KINDS):
-        says = F.lit(False)
-        for word in words:
-            says = says | label.contains(word)
-        kind = F.when(says, F.lit(name)).otherwise(kind)
-    return kind
-
-
-def _labels_of(labels: Column, name: str) -> Column:
-    return F.filter(labels, lambda label: F.coalesce(label_kind(label) == name, F.lit(False)))
-
-
-def primary_features(labels: Column) -> dict[str, Column]:
-    """Rooms and sizes from the feature list; a later label of a kind replaces
-    an earlier one. A list without a car entry means no parking, a page without
-    a list means nothing is known."""
-    lowered = F.transform(labels, F.lower)
+def primary_features(labels: str) -> dict[str, Column]:
+    """Rooms and sizes from the feature list in column ``labels``; a later label
+    of a kind replaces an earlier one. A list without a car entry means no
+    parking, a page without a list means nothing is known."""
+    tests = " ".join(
+        f"WHEN {' OR '.join(f"""contains(lower(label), '{w}')""" for w in words)} THEN '{name}'" for name, words, _ in LABEL_KINDS
+    )
     values = {}
     for name, _, read in LABEL_KINDS:
-        mine = _labels_of(lowered, name)
-        value = read(F.get(mine, F.size(mine) - 1))
+        value = read(F.expr(f"lower(try_element_at(filter({labels}, label -> CASE {tests} ELSE '' END = '{name}'), -1))"))
         if name == "parking_spaces":
-            value = F.when(F.size(mine) > 0, value).when(labels.isNotNull(), F.lit(0))
+            listed = F.expr(f"exists({labels}, label -> CASE {tests} ELSE '' END = '{name}')")
+            value = F.when(listed, value).when(F.col(labels).isNotNull(), F.lit(0))
         values[name] = value
     return values
 
@@ -105,7 +93,7 @@ def extract(pages: DataFrame) -> DataFrame:
         "listing_id": tx.listing_id(F.col("url"), F.col("source_file")),
         "suburb": tx.address_suburb(F.col("address"), F.col("structured.suburb")),
         "postcode": tx.address_postcode(F.col("address"), F.col("structured.postcode")),
-        **primary_features(F.col("labels")),
+        **primary_features("labels"),
         "weekly_rent_aud": tx.price_value(F.col("price_text")),
         "lease_term_months": tx.lease_months(F.col("feature_text")),
         "available_from": tx.available_from(F.col("footer"), F.col("captured_on")),

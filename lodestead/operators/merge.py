@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lodestead import catalog as cat
 
 
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
 def skip_ingested(pages: DataFrame, ledger: DataFrame, with_enrichment: bool = True, force: bool = False) -> DataFrame:
     """Pages still to be read: those not in the ledger, and, when enrichment is
     wanted, those whose listing has no position yet."""
@@ -20,23 +24,17 @@ def skip_ingested(pages: DataFrame, ledger: DataFrame, with_enrichment: bool = T
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last row per key. Folds before the shuffle, so a key with very many
     rows costs no more than any other."""
-    values = [c for c in df.columns if c not in keys]
-    return (
-        df.groupBy(*keys)
-        .agg(F.max_by(F.struct(*values), F.struct(*order)).alias("last"))
-        .select(*[F.col(k) if k in keys else F.col(f"last.{k}").alias(k) for k in df.columns])
-    )
+    values = ", ".join(_name(c) for c in df.columns if c not in keys)
+    last = F.expr(f"max_by(struct({values}), struct({', '.join(map(_name, order))})) AS last")
+    return df.groupBy(*keys).agg(last).selectExpr(*[_name(c) if c in keys else f"last.{_name(c)}" for c in df.columns])
 
 
 def fold_batch(batch: DataFrame, key: str, order: Column) -> DataFrame:
     """One row per key out of a batch: for every column the last value, in
     ``order``, that is not null."""
-    values = [c for c in batch.columns if c != key]
-    ordered = batch.withColumn("_order", order)
-    folded = ordered.groupBy(key).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c) for c in values]
-    )
-    return folded.select(*batch.columns)
+    values = [_name(c) for c in batch.columns if c != key]
+    last = [F.expr(f"max_by({c}, _order) FILTER (WHERE {c} IS NOT NULL) AS {c}") for c in values]
+    return batch.withColumn("_order", order).groupBy(key).agg(*last).select(*batch.columns)
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str = "listing_id") -> DataFrame:
@@ -46,56 +44,41 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str = "listing_id") -> D
     A batch is normally far smaller than the table. Written as an update join
     and an insert, the small side can be sent to the executors and the table is
     neither shuffled nor sorted; a full outer join would always shuffle it."""
-    columns = [*stored.columns, *[c for c in incoming.columns if c not in stored.columns]]
-    have, fresh = set(stored.columns), set(incoming.columns)
-    renamed = incoming.select(key, *[F.col(c).alias(f"_new_{c}") for c in incoming.columns if c != key])
-
-    def merged(c: str) -> Column:
-        if c == key or c not in fresh:
-            return F.col(c)
-        return (F.coalesce(f"_new_{c}", c) if c in have else F.col(f"_new_{c}")).alias(c)
-
-    updated = stored.join(renamed, key, "left").select(*[merged(c) for c in columns])
+    have, fresh = stored.columns, set(incoming.columns) - {key}
+    renamed = incoming.selectExpr(_name(key), *[f"{_name(c)} AS {_name(f'_new_{c}')}" for c in incoming.columns if c != key])
+    merged = [f"coalesce({_name(f'_new_{c}')}, {_name(c)}) AS {_name(c)}" if c in fresh else _name(c) for c in have]
+    added = [f"{_name(f'_new_{c}')} AS {_name(c)}" for c in incoming.columns if c not in have]
+    updated = stored.join(renamed, key, "left").selectExpr(*merged, *added)
     matched = stored.select(key).join(incoming.select(key), key, "left_semi")
     inserted = incoming.join(matched, key, "left_anti")
     return updated.unionByName(inserted, allowMissingColumns=True)
 
 
-def typed_override(value: Column, column: str) -> Column:
-    """An override's text as the type of the column it corrects."""
-    kind = cat.LISTING_COLUMNS[column].typeName()
-    if kind == "integer":
-        return value.try_cast("double").try_cast("int")
+def _typed_override(value: str, column: str) -> str:
+    """SQL for an override's text as the type of the column it corrects."""
+    kind = cat.LISTING_COLUMNS[column].simpleString()
+    if kind == "int":
+        return f"try_cast(try_cast({value} AS double) AS int)"
     if kind == "date":
-        return F.try_to_date(value, "yyyy-MM-dd")
-    if kind == "array":
-        return F.from_json(value, "array<string>")
-    return value.try_cast(cat.LISTING_COLUMNS[column])
+        return f"try_to_date({value}, 'yyyy-MM-dd')"
+    if kind.startswith("array"):
+        return f"from_json({value}, '{kind}')"
+    return f"try_cast({value} AS {kind})"
 
 
 def apply_overrides(listings: DataFrame, overrides: DataFrame) -> DataFrame:
     """Human corrections over everything else. The column list is the table's
     own, so no extra pass is needed to find the columns."""
     columns = [c for c in listings.columns if c in cat.LISTING_COLUMNS and c != "listing_id"]
+    order = "struct(set_at, value)" if "set_at" in overrides.columns else "value"
     wide = overrides.where(F.col("column_name").isin(columns)).groupBy("listing_id").agg(
         *[
-            F.max_by(F.when(F.col("column_name") == c, F.col("value")), _set_at(overrides, c)).alias(f"_set_{c}")
+            F.expr(f"max_by(value, {order}) FILTER (WHERE column_name = '{c}' AND value IS NOT NULL) AS _set_{c}")
             for c in columns
         ]
     )
-    joined = listings.join(wide, "listing_id", "left")
-    return joined.select(
-        *[
-            F.coalesce(typed_override(F.col(f"_set_{c}"), c), F.col(c)).alias(c) if c in columns else F.col(c)
-            for c in listings.columns
-        ]
-    )
-
-
-def _set_at(overrides: DataFrame, column: str) -> Column:
-    """Order of an override among those of its cell; others do not take part."""
-    at = F.col("set_at") if "set_at" in overrides.columns else F.lit(0)
-    return F.when((F.col("column_name") == column) & F.col("value").isNotNull(), F.struct(at.alias("at"), F.col("value")))
+    corrected = {c: f"coalesce({_typed_override(f'_set_{c}', c)}, {c}) AS {c}" for c in columns}
+    return listings.join(wide, "listing_id", "left").selectExpr(*[corrected.get(c, _name(c)) for c in listings.columns])
 
 
 def apply_status(listings: DataFrame, edits: DataFrame) -> DataFrame:

@@ -188,8 +188,8 @@ def _with_nearest(listings: DataFrame, points: DataFrame, leaf_points: int) -> D
     x, y = _cell("lat", "lon")
     placed = listings.selectExpr("*", f"CASE WHEN {KNOWN} THEN {x} END AS _x", f"CASE WHEN {KNOWN} THEN {y} END AS _y")
     if largest <= leaf_points:
-        # few enough points for the whole sphere to be one cell
-        cover = F.broadcast(_as_lists(sites.selectExpr("*", "0 AS depth", "0 AS x", "0 AS y")))
+        # few enough points for the whole sphere to be one cell, that of level 0
+        cover = F.broadcast(_as_lists(sites.selectExpr("*", "0 AS depth", f"{_up(x, 0)} AS x", f"{_up(y, 0)} AS y")))
         placed = placed.withColumn("_d", F.lit(0))
     else:
         sites = cut(sites.selectExpr("*", f"{x} AS x", f"{y} AS y"))

@@ -8,6 +8,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Quotes are doubled, as spreadsheets expect, and empty cells stay empty.
+CSV = {"header": "true", "escape": '"', "emptyValue": ""}
 _VERSION = re.compile(r"v(\d{8})$")
 
 
@@ -61,12 +63,12 @@ def newest_first(listings: DataFrame) -> DataFrame:
 
 def export_csv(listings: DataFrame, path: str) -> None:
     """All listings, newest capture first, as CSV with a header."""
-    text_columns(newest_first(listings)).write.mode("overwrite").option("header", True).csv(path)
+    text_columns(newest_first(listings)).write.mode("overwrite").options(**CSV).csv(path)
 
 
 def publish(report: DataFrame, path: str) -> None:
     """Replace the published report; nulls are shown as empty cells."""
-    text_columns(report).na.fill("").write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    text_columns(report).na.fill("").write.mode("overwrite").options(**CSV).csv(path)
 
 
 def sorted_stations(stations: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ def sorted_stations(stations: DataFrame) -> DataFrame:
 
 
 def write_stations(stations: DataFrame, path: str) -> None:
-    sorted_stations(stations).write.mode("overwrite").option("header", True).csv(path)
+    sorted_stations(stations).write.mode("overwrite").options(**CSV).csv(path)
 
 
 def replace_categories(stored: DataFrame, fresh: DataFrame, refreshed: list[str]) -> DataFrame:

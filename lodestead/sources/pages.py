@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGE_GLOB = "*.{html,htm}"
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def decode_utf8(content: Column) -> Column:
@@ -28,7 +29,7 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_pages(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
     """The same pages as a stream that hands out every file once."""
-    reader = spark.readStream.format("binaryFile").option("pathGlobFilter", PAGE_GLOB)
+    reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", PAGE_GLOB)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return _as_pages(reader.load(folder))
