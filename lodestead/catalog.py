@@ -234,6 +234,39 @@ POINT_SCHEMA = T.StructType(
 )
 
 
+def _plain_stretch(pattern: str) -> str:
+    """Longest run of characters every match of a pattern must contain: what is
+    left outside groups, classes, escapes and optional characters."""
+    runs, depth, skip = [""], 0, 0
+    for i, ch in enumerate(pattern):
+        if skip:
+            skip -= 1
+            continue
+        if ch == "|" and not depth:
+            return ""
+        if ch == "\\":
+            skip = 1
+            runs.append("")
+        elif ch in "([":
+            depth += 1
+            runs.append("")
+        elif ch in ")]":
+            depth -= 1
+        elif ch in "{?*+" or depth or ch in "}.,0123456789":
+            runs.append("")
+        elif pattern[i + 1 : i + 2] in tuple("?*{"):
+            runs.append("")
+        else:
+            runs[-1] += ch
+    return max(runs, key=len)
+
+
+def amenity_hints(column: str) -> list[str]:
+    """One plain stretch per alternative, or nothing when one has none."""
+    hints = [_plain_stretch(p) for p in AMENITY_PATTERNS[column]]
+    return sorted(set(hints)) if all(hints) else []
+
+
 def amenity_regex(column: str) -> str:
     """One alternation per amenity; only the start is tied to a word boundary."""
     return r"(?U)\b(?:" + "|".join(AMENITY_PATTERNS[column]) + ")"

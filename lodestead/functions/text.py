@@ -56,17 +56,22 @@ def available_from(footer: Column, captured_on: Column) -> Column:
 
 
 def lease_months(text_lower: Column) -> Column:
-    """The longest lease the text offers, in months."""
-    text = text_lower
-    for word, digits in cat.NUMBER_WORDS.items():
-        text = F.regexp_replace(text, rf"(?U)\b{word}\b", digits)
+    """The longest lease the text offers, in months. Number words count as their
+    digits; they are read where the patterns want a number, so the text is not
+    rewritten first. Years are one digit: of a longer number the last."""
+    words = F.create_map(*[F.lit(x) for pair in cat.NUMBER_WORDS.items() for x in pair])
+    spelled = r"\b(?:" + "|".join(cat.NUMBER_WORDS) + r")\b"
 
-    def found(pattern: str, months_per_unit: int) -> Column:
-        hits = F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(1))
-        return F.transform(hits, lambda hit: hit.try_cast("int") * months_per_unit)
+    def found(pattern: str, digits: str, read, noun: str) -> Column:
+        worded = "(?U)" + pattern.replace(f"({digits})", f"({digits}|{spelled})")
+        # no pattern matches without its noun, and most texts do not have it
+        hits = F.when(text_lower.contains(noun), F.regexp_extract_all(text_lower, F.lit(worded), F.lit(1)))
+        numbers = F.transform(hits, lambda hit: read(F.coalesce(F.try_element_at(words, hit), hit)))
+        return F.coalesce(numbers, F.array().cast("array<int>"))
 
-    months = [found(p, 1) for p in cat.LEASE_MONTH_PATTERNS] + [found(cat.LEASE_YEAR_PATTERN, 12)]
-    return F.array_max(F.concat(*months))
+    months = [found(p, r"\d{1,2}", lambda n: n.try_cast("int"), "month") for p in cat.LEASE_MONTH_PATTERNS]
+    years = found(cat.LEASE_YEAR_PATTERN, r"\d", lambda n: F.right(n, F.lit(1)).try_cast("int") * 12, "year")
+    return F.array_max(F.concat(*months, years))
 
 
 def description_lines(body: Column) -> Column:
@@ -101,7 +106,16 @@ def feature_text(bullet_list: Column, description: Column) -> Column:
 
 
 def amenity_flag(text_lower: Column, column: str) -> Column:
-    return text_lower.rlike(cat.amenity_regex(column)).cast("int")
+    """1 where the amenity's pattern matches. Every alternative of a pattern has
+    a stretch of plain letters; a text with none of them needs no regex."""
+    hints = [text_lower.contains(h) for h in cat.amenity_hints(column)]
+    matches = text_lower.rlike(cat.amenity_regex(column))
+    if hints:
+        hinted = hints[0]
+        for h in hints[1:]:
+            hinted = hinted | h
+        matches = hinted & matches
+    return matches.cast("int")
 
 
 def listing_id(url: Column, source_file: Column) -> Column:

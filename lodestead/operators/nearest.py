@@ -166,19 +166,30 @@ def _cover(located: DataFrame, sites: DataFrame, leaf_points: int) -> tuple[Data
 def _as_lists(entries: DataFrame) -> DataFrame:
     """Candidates as one list per category and cell."""
     lists = [
-        F.expr(f"collect_list(CASE WHEN category = '{c}' THEN struct(name, lat, lon) END) AS _{c}") for c in cat.POI_CATEGORIES
+        F.expr(f"collect_list(CASE WHEN category = '{c}' THEN struct(name, lat, lon, {_unit('lat', 'lon')} AS u) END) AS _{c}") for c in cat.POI_CATEGORIES
     ]
     return entries.groupBy(F.expr("depth AS _depth"), F.expr("x AS _cx"), F.expr("y AS _cy")).agg(*lists)
 
 
+def _unit(lat: str, lon: str) -> str:
+    """SQL for a position as a point on the unit sphere."""
+    return (
+        f"struct(cos(radians({lat})) * cos(radians({lon})) AS x, cos(radians({lat})) * sin(radians({lon})) AS y,"
+        f" sin(radians({lat})) AS z)"
+    )
+
+
 def _closest(category: str) -> str:
     """SQL for the nearest candidate; of equally near ones the first by name,
-    then by position."""
+    then by position. Straight-line chords, which need no trigonometry per
+    candidate, find those within a hair of the nearest; the exact distance
+    decides among them. The one-element array gives the shortest chord a name,
+    so that it is worked out once and not once per candidate."""
+    chord = "sqrt((p.u.x - _u.x) * (p.u.x - _u.x) + (p.u.y - _u.y) * (p.u.y - _u.y) + (p.u.z - _u.z) * (p.u.z - _u.z))"
     km = haversine_sql("lat", "lon", "p.lat", "p.lon")
-    return (
-        f"array_min(transform(_{category}, p -> struct({km} AS km, p.name AS name, p.lat AS lat, p.lon AS lon)))"
-        f" AS at_{category}"
-    )
+    found = f"struct({km} AS km, p.name AS name, p.lat AS lat, p.lon AS lon)"
+    nearest = f"array_min(transform(filter(_{category}, p -> {chord} <= shortest + 1E-12D), p -> {found}))"
+    return f"transform(array(array_min(transform(_{category}, p -> {chord}))), shortest -> {nearest})[0] AS at_{category}"
 
 
 def _with_nearest(listings: DataFrame, points: DataFrame, leaf_points: int) -> DataFrame:
@@ -186,7 +197,9 @@ def _with_nearest(listings: DataFrame, points: DataFrame, leaf_points: int) -> D
     sites = distinct_sites(points)
     largest = sites.groupBy("category").count().agg(F.max("count")).first()[0] or 0
     x, y = _cell("lat", "lon")
-    placed = listings.selectExpr("*", f"CASE WHEN {KNOWN} THEN {x} END AS _x", f"CASE WHEN {KNOWN} THEN {y} END AS _y")
+    placed = listings.selectExpr(
+        "*", f"CASE WHEN {KNOWN} THEN {x} END AS _x", f"CASE WHEN {KNOWN} THEN {y} END AS _y", f"{_unit('lat', 'lon')} AS _u"
+    )
     if largest <= leaf_points:
         # few enough points for the whole sphere to be one cell, that of level 0
         cover = F.broadcast(_as_lists(sites.selectExpr("*", "0 AS depth", f"{_up(x, 0)} AS x", f"{_up(y, 0)} AS y")))

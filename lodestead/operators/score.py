@@ -159,17 +159,24 @@ def raw_score(kinds: dict[str, str], person: Preferences, ranges: str) -> str:
     return " + ".join(terms)
 
 
-def score_wide(listings: DataFrame, preferences: list[Preferences]) -> DataFrame:
+def score_wide(listings: DataFrame, preferences: list[Preferences], population: DataFrame | None = None) -> DataFrame:
     """Listings plus, per person, ``<p>_hard_filter_pass``,
-    ``<p>_hard_filter_reasons``, ``<p>_raw_score`` and ``<p>_fit_score``."""
+    ``<p>_hard_filter_reasons``, ``<p>_raw_score`` and ``<p>_fit_score``. Where
+    the listings carry the results of costly steps, ``population`` is the same
+    table without them, and the ranges are taken from there."""
     if not preferences:
         return listings
     kinds = dict(listings.dtypes)
     features = scaled_features(kinds, preferences)
-    # each range row becomes one column, so its subquery is planned and run once
-    ranged = listings.withColumn("_ranges", _one_row(feature_ranges(listings, features))) if features else listings
+    population = listings if population is None else population
+    ranges = _one_row(feature_ranges(population, features)) if features else F.lit(None)
+
+    def ranged(df: DataFrame) -> DataFrame:
+        # the row becomes one column, so its subquery is planned and run once
+        return df.withColumn("_ranges", ranges)
+
     raws = {p.person: f"{raw_score(kinds, p, '_ranges')} AS {_name(f'{p.person}_raw_score')}" for p in preferences}
-    spans = ranged.selectExpr(*raws.values()).selectExpr(
+    spans = ranged(population).selectExpr(*raws.values()).selectExpr(
         *[
             f"{end}({_name(f'{p}_raw_score')}) AS {_name(f'{p}_{side}')}"
             for p in raws
@@ -177,7 +184,7 @@ def score_wide(listings: DataFrame, preferences: list[Preferences]) -> DataFrame
         ]
     )
     reasons = [f"{failure_reasons(kinds, p.filters)} AS {_name(f'{p.person}_hard_filter_reasons')}" for p in preferences]
-    scored = ranged.selectExpr(*map(_name, kinds), *reasons, *raws.values()).withColumn("_span", _one_row(spans))
+    scored = ranged(listings).selectExpr(*map(_name, kinds), *reasons, *raws.values()).withColumn("_span", _one_row(spans))
     out = {}
     for p in raws:
         scaled = min_max_scale(F.col(f"{p}_raw_score"), F.col(f"_span.{p}_lo"), F.col(f"_span.{p}_hi"))

@@ -18,6 +18,6 @@ def build_report(
     and rating, the combined score, the suggested action and, last, the price
     model's view."""
     names = people(preferences)
-    scored = score.score_wide(listings, preferences)
-    valued = price_model.with_price_signal(scored, features)
-    return decision.in_report_order(decision.decision_report(decision.with_ratings(valued, ratings, names), names))
+    valued = price_model.with_price_signal(listings, features)
+    scored = score.score_wide(valued, preferences, population=listings)
+    return decision.in_report_order(decision.decision_report(decision.with_ratings(scored, ratings, names), names))

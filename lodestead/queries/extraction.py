@@ -95,16 +95,16 @@ def _shown(listings):
 @query("extract_rendered", _twin(LISTING_KEYS))
 def extract_rendered(spark, sf_dir):
     """One rendered page per part, read back."""
-    pages = run_sql(spark, sf_dir, _pages(LISTING_KEYS)).withColumnRenamed("markup", "html")
+    pages = run_sql(spark, sf_dir, _pages(LISTING_KEYS), heavy=("part",)).withColumnRenamed("markup", "html")
     return _shown(ex.extract(pages))
 
 
 @query("extract_noisy_pages", _twin(PAGE_KEYS))
 def extract_noisy_pages(spark, sf_dir):
     """The same facts planted in the real pages, noise and all."""
-    planted = run_sql(spark, sf_dir, _pages(PAGE_KEYS)).join(
-        table(spark, sf_dir, "pages").select(F.col("page_id").alias("k"), F.col("html").alias("page")), "k"
-    )
+    # the facts are functions of the key, so they are put on the page's own row
+    keyed = table(spark, sf_dir, "pages", heavy=True).selectExpr("page_id AS k", "html AS page")
+    planted = run_sql(spark, sf_dir, _pages(PAGE_KEYS)).join(keyed, "k")
     pages = planted.withColumn("html", F.replace("page", F.lit("<article>"), F.concat(F.lit("<article>"), F.col("markup"))))
     return _shown(ex.extract(pages))
 
@@ -115,7 +115,7 @@ def extract_noisy_pages(spark, sf_dir):
 )
 def page_locate(spark, sf_dir):
     """Real pages that hold no listing at all: nothing must be made up."""
-    pages = table(spark, sf_dir, "pages").select(
+    pages = table(spark, sf_dir, "pages", heavy=True).select(
         F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("source_file"),
         "html",
         F.current_date().alias("captured_on"),
@@ -169,7 +169,7 @@ def _re2(column: str) -> str:
     ) + f" FROM ({DOCS})",
 )
 def extract_amenities(spark, sf_dir):
-    docs = run_sql(spark, sf_dir, DOCS).select("doc_id", F.lower("text").alias("words"))
+    docs = run_sql(spark, sf_dir, DOCS, heavy=("documents",)).select("doc_id", F.lower("text").alias("words"))
     return docs.select("doc_id", *ex.amenity_flags(F.col("words")))
 
 
@@ -192,7 +192,7 @@ LINED = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, chr(10), con
       md5(concat(lower(array_to_string(bullets, ' | ')), ' ', lower(coalesce(prose, '')))) AS feature_text FROM found""",
 )
 def extract_bullets(spark, sf_dir):
-    lines = run_sql(spark, sf_dir, LINED).select("doc_id", tx.description_lines(F.col("text")).alias("lines"))
+    lines = run_sql(spark, sf_dir, LINED, heavy=("documents",)).select("doc_id", tx.description_lines(F.col("text")).alias("lines"))
     found = lines.select("doc_id", tx.bullets(F.col("lines")).alias("b"), tx.prose(F.col("lines")).alias("p"))
     return found.select(
         "doc_id",
@@ -222,7 +222,7 @@ def _worded(text: str) -> str:
       FROM (SELECT doc_id, {_worded('lower(text)')} AS t FROM ({LEASES}))""",
 )
 def extract_lease_terms(spark, sf_dir):
-    return run_sql(spark, sf_dir, LEASES).select("doc_id", tx.lease_months(F.lower("text")).alias("lease_term_months"))
+    return run_sql(spark, sf_dir, LEASES, heavy=("documents",)).select("doc_id", tx.lease_months(F.lower("text")).alias("lease_term_months"))
 
 
 PRICES = """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN concat('$1,', CAST(100 + o_orderkey % 800 AS STRING), ' per week')

@@ -35,13 +35,13 @@ WIDE_SQL = (
 
 @query("nearest_long", LONG_SQL)
 def nearest_long(spark, sf_dir):
-    found = nearest.nearest_long(view(spark, sf_dir, "v_listings"), view(spark, sf_dir, "v_poi"))
+    found = nearest.nearest_long(view(spark, sf_dir, "v_listings", heavy=("part",)), view(spark, sf_dir, "v_poi"))
     return found.withColumn("km", F.round("km", 6))
 
 
 @query("nearest_wide", WIDE_SQL)
 def nearest_wide(spark, sf_dir):
-    found = nearest.nearest_wide(view(spark, sf_dir, "v_listings").select("listing_id", "lat", "lon"), view(spark, sf_dir, "v_poi"))
+    found = nearest.nearest_wide(view(spark, sf_dir, "v_listings", heavy=("part",)).select("listing_id", "lat", "lon"), view(spark, sf_dir, "v_poi"))
     return found.drop("lat", "lon").withColumns(
         {f"nearest_{c}_km": F.round(f"nearest_{c}_km", 6) for c in cat.POI_CATEGORIES}
     )
@@ -51,7 +51,7 @@ def nearest_wide(spark, sf_dir):
 def nearest_grid(spark, sf_dir):
     """The same answer with candidate lists held so short that the trees have
     to be walked."""
-    found = nearest.nearest_long(view(spark, sf_dir, "v_listings"), view(spark, sf_dir, "v_poi"), leaf_points=12)
+    found = nearest.nearest_long(view(spark, sf_dir, "v_listings", heavy=("part",)), view(spark, sf_dir, "v_poi"), leaf_points=12)
     return found.withColumn("km", F.round("km", 6))
 
 
@@ -224,7 +224,7 @@ def geo_misses(spark, sf_dir):
     FROM nearest n LEFT JOIN v_walks w ON concat('addr ', n.listing_id) = w.address AND n.category = w.category""",
 )
 def walk_minutes(spark, sf_dir):
-    long = nearest.nearest_long(run_sql(spark, sf_dir, ADDRESSED), view(spark, sf_dir, "v_poi"), keys=("address",))
+    long = nearest.nearest_long(run_sql(spark, sf_dir, ADDRESSED, heavy=("part",)), view(spark, sf_dir, "v_poi"), keys=("address",))
     walked = enrich.with_walk_minutes(long, view(spark, sf_dir, "v_walks"))
     return walked.withColumns({"km": F.round("km", 6), "walk_minutes": F.round("walk_minutes", 6)})
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestead import catalog as cat
+from lodestead.checkpoints import cut
 from lodestead.functions.numbers import round_even
 from lodestead.operators import decision, merge, price_model, score
 from lodestead.operators.nearest import nearest_wide
+from lodestead.plans.report import build_report
 from lodestead.queries.registry import query
 from lodestead.queries.views import view
 from lodestead.sources.preferences import HardFilter, Preferences
@@ -240,9 +242,9 @@ def decision_report(spark, sf_dir):
     """The whole report with a one-feature price model, which SQL can say too.
     The two model columns are shown coarser, as their last digits differ."""
     listings = conform(view(spark, sf_dir, "v_listings"))
-    scored = decision.with_ratings(score.score_wide(listings, PEOPLE), view(spark, sf_dir, "v_ratings"), NAMES)
-    valued = price_model.with_price_signal(scored, features=ONE_FEATURE)
-    coarse = valued.withColumns(
+    valued = price_model.with_price_signal(listings, features=ONE_FEATURE)
+    scored = score.score_wide(valued, PEOPLE, population=listings)
+    coarse = decision.with_ratings(scored, view(spark, sf_dir, "v_ratings"), NAMES).withColumns(
         {
             "pct_over_or_under": F.round(
                 F.try_divide(F.col(cat.TARGET_COLUMN) - F.col("predicted_weekly_rent"), F.col("predicted_weekly_rent")) * 100, 0
@@ -257,9 +259,12 @@ def decision_report(spark, sf_dir):
 def decision_report_full(spark, sf_dir):
     """The report with every feature and real nearest-point distances; its
     model has no SQL form and is checked against a closed form in the tests."""
-    listings = nearest_wide(conform(view(spark, sf_dir, "v_listings")), view(spark, sf_dir, "v_poi"))
-    walked = listings.withColumns(
-        {f"nearest_{c}_walk_minutes": round_even(F.col(f"nearest_{c}_km") * 12.0, 2) for c in cat.RAIL_CATEGORIES}
+    listings = nearest_wide(conform(view(spark, sf_dir, "v_listings", heavy=("part",))), view(spark, sf_dir, "v_poi"))
+    # the ingest job stores listings with their nearest points; the report
+    # starts from that table
+    stored = cut(
+        listings.withColumns(
+            {f"nearest_{c}_walk_minutes": round_even(F.col(f"nearest_{c}_km") * 12.0, 2) for c in cat.RAIL_CATEGORIES}
+        )
     )
-    scored = decision.with_ratings(score.score_wide(walked, PEOPLE), view(spark, sf_dir, "v_ratings"), NAMES)
-    return decision.in_report_order(decision.decision_report(price_model.with_price_signal(scored), NAMES))
+    return build_report(stored, view(spark, sf_dir, "v_ratings"), PEOPLE)

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestead.sources.tables import spread
+
 VIEWS = {
     "v_listings": """
 SELECT CAST(p_partkey AS STRING) AS listing_id,
@@ -108,22 +110,25 @@ TABLES = (
 ).split()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A test table; ``heavy`` announces work that is worth all cores."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if heavy else scan
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Spark SQL over the test tables and fixture views it names."""
+def run_sql(spark: SparkSession, sf_dir: str, sql: str, heavy: tuple[str, ...] = ()) -> DataFrame:
+    """Spark SQL over the test tables and fixture views it names; ``heavy`` lists
+    the tables whose rows meet costly work."""
     text = with_views(sql)
     used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
     text = text.replace('"row"', "`row`")
     for t in used:
         text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
-    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
+    return spark.sql(text, **{t: table(spark, sf_dir, t, t in heavy) for t in used})
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return run_sql(spark, sf_dir, f"SELECT * FROM {name}")
+def view(spark: SparkSession, sf_dir: str, name: str, heavy: tuple[str, ...] = ()) -> DataFrame:
+    return run_sql(spark, sf_dir, f"SELECT * FROM {name}", heavy)
 
 
 def with_views(sql: str) -> str:

@@ -21,6 +21,15 @@ def conform(df: DataFrame, schema: T.StructType = cat.LISTING_SCHEMA, keep_extra
     return df.selectExpr(*known, *extra)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt out over all cores when it has fewer splits than there are
+    cores, for steps that cost far more than moving the rows. Scans of any size
+    have splits enough and are left alone. Only for plain scans: asking a plan
+    with joins for its partitions would run it."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
     """Stored listings; files written under an older catalogue are merged in."""
     return conform(spark.read.option("mergeSchema", True).parquet(path))
