@@ -12,6 +12,17 @@ def _name(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
+# A side of at most this many bytes (as text) is sent to all executors.
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def send_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked to be sent to every executor, if measuring it shows that it
+    is small; otherwise as it is, to be joined by key."""
+    size = df.select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
 def skip_ingested(pages: DataFrame, ledger: DataFrame, with_enrichment: bool = True, force: bool = False) -> DataFrame:
     """Pages still to be read: those not in the ledger, and, when enrichment is
     wanted, those whose listing has no position yet."""

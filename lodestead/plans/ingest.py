@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestead import catalog as cat
+from lodestead.checkpoints import cut
 from lodestead.operators import enrich, merge, nearest
 from lodestead.operators.extract import extract
 from lodestead.plans.workspace import Workspace
@@ -42,8 +43,8 @@ def merge_batch(
     """Fold a parsed batch, lay it over the stored listings, then put human
     corrections over both."""
     stamped = conform(parsed).withColumn("date_captured", F.current_timestamp() if captured_at is None else captured_at)
-    folded = merge.fold_batch(stamped, "listing_id", file_order(F.col("source_file")))
-    return merge.apply_overrides(merge.upsert(stored, folded), overrides)
+    folded = cut(merge.fold_batch(stamped, "listing_id", file_order(F.col("source_file"))))
+    return merge.apply_overrides(merge.upsert(stored, merge.send_if_small(folded)), overrides)
 
 
 def ledger_view(workspace: Workspace) -> DataFrame:
