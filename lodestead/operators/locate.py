@@ -115,6 +115,11 @@ class _Walk(HTMLParser):
                 self._active.remove(name)
         del self._open[depth:]
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        # pages have no marked sections; the parser's own reading of "<![" can
+        # fail on malformed ones, where a comment up to the next ">" is meant
+        return self.parse_bogus_comment(i, report)
+
     def handle_comment(self, data: str) -> None:
         self._flush()
 
@@ -126,11 +131,12 @@ class _Walk(HTMLParser):
 
     def result(self) -> tuple:
         self._flush()
+        blocks = self.blocks if self._block is None else [*self.blocks, "".join(self._block)]
         meta = [
             self.meta[("name", m)] if ("name", m) in self.meta else self.meta.get(("property", m)) for m in META_NAMES
         ]
         text = [self.found.get(name) for name in ("attributes", "footer", "price", "body")]
-        return (self.found.get("address"), self.labels, *text, *meta, self.canonical, self.blocks)
+        return (self.found.get("address"), self.labels, *text, *meta, self.canonical, blocks)
 
 
 def _walk(html: str | None) -> tuple:

@@ -2,10 +2,19 @@
 
 import datetime as dt
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from lodestead.operators.extract import coverage, extract
 from lodestead.operators.locate import FIELDS, _walk
 from lodestead.sources.pages import read_pages
 
+BITS = [
+    "<", ">", "<!", "<![", "<![x[", "<![CDATA[", "]]>", "<!--", "-->", "--!>", "<?", "</", "</p>", "<p>", "<p/>", "&", "&#", "&#x;", "&amp", ";", "a", " ", "\n",
+    "<script>", "</script>", "<style>", "<title>", "<textarea>", "<template>", '<ul class="property-info__primary-features">', "<li aria-label=", '"', "'",
+    "<h1 class=property-info-address>", "</h1>", '<script type="application/ld+json">', "{", "<meta name=og:title content=x>", "<a b=c b=d>", "\x00", "é",
+]
+
 FULL = """<!DOCTYPE html><html><head>
 <title>x</title><script>var a = "<h1 class='property-info-address'>no</h1>";</script>
 <link rel="canonical" href="https://homes.example/property-unit-nsw-glebe-4242">
@@ -100,3 +109,9 @@ def test_reading_files(spark, tmp_path):
     assert set(rows) == {"b c.html", "a.htm"}
     assert rows["b c.html"]["html"] == "Café <h1 class=property-info-address>1 X St</h1>"
     assert extract(read_pages(spark, str(tmp_path))).where("source_file = 'b c.html'").first()["address"] == "1 X St"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(BITS), max_size=25))
+def test_no_markup_breaks_the_walk(bits):
+    assert len(_walk("".join(bits))) == len(FIELDS)
