@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import sys
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,13 +30,13 @@ def exact_medians(df: DataFrame, columns: list[str], small_rows: int = SMALL_ROW
     their number is even; null for a column without any."""
     if not columns:
         return {}
-    values = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
+    values = df.select(*[_finite(F.col(c).cast("double")).alias(c) for c in columns])
     stats = values.agg(
         *[a for c in columns for a in (F.count(c).alias(f"{c}_n"), F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"))]
     ).first()
     if max(stats[f"{c}_n"] for c in columns) <= small_rows:
         row = values.agg(*[F.median(c).alias(c) for c in columns]).first()
-        return {c: row[c] for c in columns}
+        return {c: _restored(row[c]) for c in columns}
     searches = {
         c: [_Search(c, rank, stats[f"{c}_lo"], stats[f"{c}_hi"]) for rank in ((stats[f"{c}_n"] - 1) // 2, stats[f"{c}_n"] // 2)]
         for c in columns
@@ -42,35 +44,50 @@ def exact_medians(df: DataFrame, columns: list[str], small_rows: int = SMALL_ROW
     }
     while open_searches := [s for pair in searches.values() for s in pair if s.lo < s.hi]:
         _narrow(values, open_searches)
-    return {c: (searches[c][0].lo + searches[c][1].lo) / 2 if c in searches else None for c in columns}
+    middle = {c: [_restored(s.lo) for s in pair] for c, pair in searches.items()}
+    return {c: middle[c][0] / 2 + middle[c][1] / 2 if c in middle else None for c in columns}
+
+
+def _finite(x: Column) -> Column:
+    """NaN as unknown, and the infinities as the ends of the finite numbers, so
+    that every range has a width."""
+    largest = F.lit(sys.float_info.max)
+    return F.when(x > largest, F.when(~F.isnan(x), largest)).when(x < -largest, -largest).otherwise(x)
+
+
+def _restored(x: float | None) -> float | None:
+    return x if x is None or abs(x) < sys.float_info.max else math.copysign(math.inf, x)
 
 
 def _narrow(values: DataFrame, searches: list[_Search]) -> None:
     """One pass: a histogram of every open range, then each search moves into
-    the bin its rank falls in. A pass sends back at most ``BINS`` rows per
-    search, and a range is a thousandth of what it was or holds one value."""
+    the bin its rank falls in. The two middle ranks of a column mostly share
+    their range. A pass sends back at most ``BINS`` rows per range, and a range
+    is a thousandth of what it was or holds one value."""
+    ranges = list(dict.fromkeys((s.column, s.lo, s.hi) for s in searches))
 
-    def entry(i: int, s: _Search) -> Column:
-        x = F.col(s.column)
-        share = (x - F.lit(s.lo)) / F.lit(s.hi - s.lo) * BINS
+    def entry(i: int, column: str, lo: float, hi: float) -> Column:
+        x = F.col(column)
+        # halves where the width itself would overflow
+        scale = 0.5 if math.isinf(hi - lo) else 1.0
+        share = (x * scale - F.lit(lo * scale)) / F.lit(hi * scale - lo * scale) * BINS
         bin_ = F.least(F.floor(share), F.lit(BINS - 1)).cast("int")
-        return F.when(x.between(s.lo, s.hi), F.struct(F.lit(i).alias("i"), bin_.alias("bin"), x.alias("x")))
+        return F.when(x.between(lo, hi), F.struct(F.lit(i).alias("i"), bin_.alias("bin"), x.alias("x")))
 
-    entries = F.array_compact(F.array(*[entry(i, s) for i, s in enumerate(searches)]))
-    histogram = (
+    entries = F.array_compact(F.array(*[entry(i, *r) for i, r in enumerate(ranges)]))
+    bins = (
         values.select(F.inline(entries))
         .groupBy("i", "bin")
         .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         .orderBy("i", "bin")
         .collect()
     )
-    moved = set()
-    for row in histogram:
-        i, search = row["i"], searches[row["i"]]
-        if i in moved:
-            continue
-        if search.rank < row["n"]:
-            search.lo, search.hi = row["lo"], row["hi"]
-            moved.add(i)
-        else:
+    for search in searches:
+        mine = ranges.index((search.column, search.lo, search.hi))
+        for row in bins:
+            if row["i"] != mine:
+                continue
+            if search.rank < row["n"]:
+                search.lo, search.hi = row["lo"], row["hi"]
+                break
             search.rank -= row["n"]

@@ -174,13 +174,16 @@ def test_later_edit_rows_win(spark):
 @pytest.mark.parametrize("small_rows", [0, 10**9])
 def test_medians(spark, small_rows):
     values = [float((i * 7919) % 1009) / 7 for i in range(1001)] + [float("nan")]
-    rows = [(v, v if i % 3 else None, None, 1e300 if i < 400 else -2.5, float(i % 2)) for i, v in enumerate(values)]
-    df = listings(spark, rows, "a double, b double, c double, d double, e double")
-    got = medians.exact_medians(df, list("abcde"), small_rows)
+    rows = [
+        (v, v if i % 3 else None, None, 1e308 if i < 400 else -1e308, float(i % 2), float("inf") if i < 700 else float("-inf"))
+        for i, v in enumerate(values)
+    ]
+    df = listings(spark, rows, "a double, b double, c double, d double, e double, f double")
+    got = medians.exact_medians(df, list("abcdef"), small_rows)
     known = [v for v in values if v == v]
     assert got["a"] == float(np.median(known))
     assert got["b"] == float(np.median([v for i, v in enumerate(values) if i % 3 and v == v]))
-    assert (got["c"], got["d"], got["e"]) == (None, -2.5, 0.5)
+    assert (got["c"], got["d"], got["e"], got["f"]) == (None, -1e308, 0.5, float("inf"))
 
 
 def rent_table(spark, n):
