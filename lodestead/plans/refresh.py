@@ -28,7 +28,7 @@ class Edits:
 
 
 def stored_preferences(workspace: Workspace):
-    return load_preferences(*(workspace.read(t) for t in ("hard_filters", "weights", "preferred_suburbs")))
+    return load_preferences(*(workspace.read(t) for t in ("hard_filters", "weights", "preferred_suburbs", "people")))
 
 
 def pull_ratings(workspace: Workspace, sheet: DataFrame, names: list[str], now: Column) -> None:
@@ -62,7 +62,12 @@ def pull_preferences(workspace: Workspace, edits: Edits, names: list[str]) -> Da
 
 
 def pull_edits(workspace: Workspace, edits: Edits, names: list[str] | None = None, now: Column | None = None) -> None:
-    names = names or people(stored_preferences(workspace))
+    known = people(stored_preferences(workspace))
+    if names is None:
+        names = known
+    elif not set(names) <= set(known):
+        everyone = sorted({*names, *known})
+        workspace.write("people", workspace.spark.createDataFrame([(p,) for p in everyone], "person string"))
     now = F.current_timestamp() if now is None else now
     found = []
     if edits.ratings is not None:

@@ -22,6 +22,7 @@ SCHEMAS = {
     "geo_lookup": cat.GEO_LOOKUP_SCHEMA,
     "points": cat.POINT_SCHEMA,
     "ledger": LEDGER_SCHEMA,
+    "people": "person string",
     "hard_filters": prefs.FILTER_SCHEMA,
     "weights": prefs.WEIGHT_SCHEMA,
     "preferred_suburbs": prefs.SUBURB_SCHEMA,

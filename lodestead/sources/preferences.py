@@ -69,14 +69,16 @@ def _config_rows(df: DataFrame) -> list:
 
 
 def load_preferences(
-    filters: DataFrame | None, weights: DataFrame | None, suburbs: DataFrame | None, names: list[str] | None = None
+    filters: DataFrame | None, weights: DataFrame | None, suburbs: DataFrame | None, persons: DataFrame | None = None
 ) -> list[Preferences]:
     """Preferences of every person, by name; the example person is left out. A
-    section nobody filled in is empty."""
+    section nobody filled in is empty, and a person listed in ``persons`` counts
+    even without any."""
+    names = {r.person for r in _config_rows(persons)} if persons is not None else set()
     filter_rows = _config_rows(filters) if filters is not None else []
     weight_rows = _config_rows(weights) if weights is not None else []
     suburb_rows = _config_rows(suburbs) if suburbs is not None else []
-    found = {r.person for r in [*filter_rows, *weight_rows, *suburb_rows]} | set(names or [])
+    found = {r.person for r in [*filter_rows, *weight_rows, *suburb_rows]} | names
     loaded = []
     for person in sorted(found - {EXAMPLE_PERSON}):
         mine = sorted((r for r in filter_rows if r.person == person), key=lambda r: r.pos)

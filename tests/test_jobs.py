@@ -102,7 +102,9 @@ def test_refresh_cycle(spark, tmp_path):
     save(folder, "one.html")
     save(folder, "two.html", id=2, rent=600, beds=4)
     pages = read_pages(spark, str(folder))
-    refresh(space, pages, Edits(), out, names=["ann", "bo"], with_enrichment=False)
+    first = refresh(space, pages, Edits(), out, names=["ann", "bo"], with_enrichment=False)
+    # people without any preferences count too: everything passes, all alike
+    assert {(r["ann_hard_filter_pass"], r["bo_fit_score"]) for r in first.collect()} == {(True, 5.0)}
     report = refresh(space, pages, sheets(spark), out, names=["ann", "bo"], with_enrichment=False)
     rows = {r["listing_id"]: r for r in report.collect()}
     assert rows["1"]["suggested_action"] == "inspecting" and rows["2"]["suggested_action"] == "skip -- hard filter failed (ann)"
