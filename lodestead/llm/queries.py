@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestead.llm import bpe, langid, quality, sketch, toxicity
+from lodestead.llm import bloomlm, bpe, langid, quality, sketch, toxicity
 from lodestead.llm.frames import bucket, documents, ids_and_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, labels.where(bucket(F.col("doc_id"), 3) != 1))
     found = toxicity.score(docs, model)
     return found.select("doc_id", (bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op10_lm_scoring")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloomlm.score(documents(spark, sf_dir), bucket(F.col("doc_id"), 7) == 2)
