@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestead.llm import bloomlm, bpe, langid, quality, sketch, toxicity
+from lodestead.llm import bloomlm, bpe, langid, quality, sketch, tokencount, toxicity
 from lodestead.llm.frames import bucket, documents, ids_and_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_lm_scoring")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloomlm.score(documents(spark, sf_dir), bucket(F.col("doc_id"), 7) == 2)
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
