@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestead.llm import bloomlm, bpe, langid, quality, sketch, tokencount, toxicity
+from lodestead.llm import bloomlm, bpe, decontaminate, langid, quality, sketch, tokencount, toxicity
 from lodestead.llm.frames import bucket, documents, ids_and_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,34 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+_OP2_SQL = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 'b', item_id, coalesce(text, '') FROM benchmark WHERE item_id IS NOT NULL),
+words AS (
+  SELECT kind, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts),
+item_windows AS (
+  SELECT DISTINCT id AS item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS run
+  FROM (SELECT id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM words WHERE kind = 'b' AND len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM item_windows),
+doc_windows AS (
+  SELECT id AS doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS run
+  FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, sizes WHERE kind = 'd' AND len(w) >= n)),
+hits AS (SELECT doc_id, d.n, i, item_id FROM doc_windows d JOIN item_windows b ON d.n = b.n AND d.run = b.run),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN covered ON id = covered.doc_id LEFT JOIN found ON id = found.doc_id WHERE kind = 'd'
+"""
+
+
+@query("op2_decontaminate", _OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.sha2(F.array_join("items", ","), 256)).withColumnRenamed("items", "items_sha256")
