@@ -36,36 +36,27 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _SEPARATORS, -1), "")
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-
-
-def _gram(at: Column, size: int) -> Column:
-    return F.xxhash64(*[F.get("hashes", at + i) for i in range(size)])
+def _run_hash(at: Column, size: int) -> Column:
+    """Hash of ``size`` words from place ``at`` on."""
+    return F.xxhash64(F.slice("words", at + 1, F.lit(size)))
 
 
 def kept_hashes(rows: DataFrame) -> DataFrame:
-    """For rows with ``words`` and ``hashes``: those columns with ``hash`` and ``at`` for each kept
-    hash, and one row with ``at`` null for each row, so that none gets lost."""
-    n = F.size("hashes")
-    spread = rows.withColumn("from", F.explode(F.when(n >= WINDOW, F.sequence(F.lit(-1), n - WINDOW)).otherwise(F.array(F.lit(-1)))))
-    count = WINDOW - GRAM + 1
-    grams = spread.select("*", *[_gram(F.col("from") + i, GRAM).alias(f"g{i}") for i in range(-1, count)])
-
-    def least(first: int) -> tuple[Column, Column]:
-        names = [f"g{i}" for i in range(first, first + count)]
-        low = F.least(*names)
-        place = F.lit(first)
-        for i, name in zip(range(first + 1, first + count), names[1:]):
-            place = F.when(F.col(name) == low, i).otherwise(place)
-        return low, place
-
-    low, place = least(0)
-    _, before = least(-1)
-    marked = grams.select(*rows.columns, "from", low.alias("hash"), place.alias("place"), F.when(F.col("from") > 0, before).otherwise(-2).alias("before"))
-    kept = marked.where((F.col("from") == -1) | (F.col("place") != F.col("before")))
-    at = F.when(F.col("from") >= 0, F.col("from") + F.col("place"))
-    return kept.select(*rows.columns, F.when(F.col("from") >= 0, F.col("hash")).alias("hash"), at.alias("at"))
+    """For rows with ``words``: their columns with ``hash`` and ``at`` for each kept hash, and
+    one row with ``at`` null for each row, so that none gets lost."""
+    n, count = F.size("words"), WINDOW - GRAM + 1
+    grams = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - GRAM), lambda i: _run_hash(i, GRAM))).otherwise(F.array().cast("array<long>"))
+    rows = rows.withColumn("grams", grams)
+    spread = rows.withColumn("from", F.explode(F.sequence(F.lit(-1), F.greatest(F.lit(-1), F.size("grams") - count))))
+    gram = [F.get("grams", F.col("from") + i) for i in range(count)]
+    # a window keeps something new if its last hash is the least, or if the one that has left was
+    middle = F.least(*gram[:-1])
+    new = (F.col("from") <= 0) | (gram[-1] <= middle) | (F.get("grams", F.col("from") - 1) < middle)
+    kept = spread.where(new).withColumn("hash", F.when(F.col("from") >= 0, F.least(*gram)))
+    place = F.lit(0)
+    for i in range(1, count):
+        place = F.when(gram[i] == F.col("hash"), i).otherwise(place)
+    return kept.withColumn("at", F.when(F.col("from") >= 0, F.col("from") + place)).drop("grams", "from")
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -92,8 +83,8 @@ def spans(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST
     each span that documents share with items; and one row without a span for each document row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("print"), words_of(F.col("text")).alias("words"))
-    rows = _hashed(rows.withColumn("n_words", F.size("words").cast("long")))
-    items = _hashed(items_of(benchmark))
+    rows = rows.withColumn("n_words", F.size("words").cast("long"))
+    items = items_of(benchmark)
     long_items = kept_hashes(items.where(F.size("words") >= WINDOW)).where("at IS NOT NULL")
     lead = F.least(F.col("at"), F.lit(WINDOW - GRAM))
     long_items = long_items.select(F.col("hash").alias("item_hash"), "items", lead.alias("lead"), F.slice("words", F.col("at") - lead + 1, F.lit(2 * WINDOW - GRAM)).alias("around"))
@@ -105,7 +96,7 @@ def spans(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST
         long_items = F.broadcast(long_items)
     else:  # what a meeting needs travels with the hash, not the whole text
         start = F.greatest(F.col("at") - (WINDOW - GRAM), F.lit(0))
-        found = found.withColumn("words", F.slice("words", start + 1, F.lit(2 * WINDOW - GRAM))).withColumn("shift", start).withColumn("at", F.col("at") - start).drop("hashes")
+        found = found.withColumn("words", F.slice("words", start + 1, F.lit(2 * WINDOW - GRAM))).withColumn("shift", start).withColumn("at", F.col("at") - start)
     if small:
         found = found.withColumn("shift", F.lit(0))
     met = found.join(long_items, F.col("hash") == F.col("item_hash"), "left")
@@ -118,11 +109,11 @@ def spans(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST
         F.when(hit, F.col("shift") + F.col("at") + F.col("right") - 1).alias("last"), F.when(hit, F.col("items")).alias("items"),
     )
     for n in lengths:
-        short = items.where(F.size("words") == n).withColumn("item_hash", _gram(F.lit(0), n)).select("item_hash", "items", F.col("words").alias("around"))
+        short = items.where(F.size("words") == n).withColumn("item_hash", _run_hash(F.lit(0), n)).select("item_hash", "items", F.col("words").alias("around"))
         if short.limit(broadcast_rows + 1).count() <= broadcast_rows:
             short = F.broadcast(short)
         runs = rows.where(F.size("words") >= n).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - n)))
-        runs = runs.select("doc_id", "print", "n_words", "at", _gram(F.col("at"), n).alias("hash"), *([F.slice("words", F.col("at") + 1, n).alias("run")] if n else []))
+        runs = runs.select("doc_id", "print", "n_words", "at", _run_hash(F.col("at"), n).alias("hash"), *([F.slice("words", F.col("at") + 1, n).alias("run")] if n else []))
         same = runs.join(short, (F.col("hash") == F.col("item_hash")) & (F.col("run") == F.col("around")))
         out = out.unionByName(same.select("doc_id", "print", "n_words", F.col("at").alias("first"), (F.col("at") + n - 1).alias("last"), "items"))
     return out
