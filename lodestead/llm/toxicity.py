@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lodestead.llm.frames import ids_and_text, map_batches
 from lodestead.llm.words import rows_by_bytes, utf8
 
-SAMPLE = 3000
+SAMPLE = {1: 1000, 0: 2500}
 FEATURES = 1 << 18
 SIZES = (4, 5)
 #: Sample texts that must hold a feature before it counts.
@@ -62,7 +62,7 @@ def present(text: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return found
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: dict[int, int] = SAMPLE) -> Model:
     """Fit on texts that ``labels`` (doc_id and ``label``, 0 or 1) speaks of."""
     nothing = Model(np.zeros(FEATURES, np.float32), -np.inf)
     known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -70,7 +70,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return nothing
-    share = F.when(F.col("label") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
+    share = F.when(F.col("label") == 1, min(1.0, sample[1] / sizes[1])).otherwise(min(1.0, sample[0] / sizes[0]))
     drawn = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity sample")), F.lit(1 << 20)) < share * (1 << 20))
     drawn = drawn.groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = ids_and_text(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label")
@@ -98,18 +98,28 @@ def fit(found: list[np.ndarray], y: np.ndarray) -> Model:
     texts = max(1, (y == 1).sum()), max(1, (y == 0).sum())
     ratio = np.log((toxic + 1) / (texts[0] + 2)) - np.log((clean + 1) / (texts[1] + 2))
     used = toxic + clean >= LEAST
-    place = np.cumsum(used) - 1
+    place = (np.cumsum(used) - 1).astype(np.int32)
     column = np.concatenate([place[f[used[f]]] for f in found])
-    row = np.repeat(np.arange(len(found)), [int(used[f].sum()) for f in found])
+    row = np.repeat(np.arange(len(found), dtype=np.int32), [int(used[f].sum()) for f in found])
+    by_column = np.argsort(column, kind="stable").astype(np.int32)
+    texts_of = row[by_column]  # the texts that hold each feature, feature by feature
+    ends = np.searchsorted(row, np.arange(len(found) + 1))
+    edges = np.searchsorted(column[by_column], np.arange(int(used.sum()) + 1))
+    del row, by_column
     r = ratio[used]
-    value = r[column]
+
+    def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(values) + 1)
+        np.cumsum(values, out=total[1:])
+        return total[bounds[1:]] - total[bounds[:-1]]
+
     w, b = np.zeros(len(r)), 0.0
     m_w, v_w, m_b, v_b = np.zeros(len(r)), np.zeros(len(r)), 0.0, 0.0
     target = y.astype(float)
     for step in range(1, STEPS + 1):  # Adam on the whole sample
-        z = np.bincount(row, value * w[column], minlength=len(found)) + b
+        z = sums((w * r)[column], ends) + b
         gap = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target) / len(found)
-        g_w = np.bincount(column, value * gap[row], minlength=len(r)) + RIDGE * w / len(found)
+        g_w = sums(gap[texts_of], edges) * r + RIDGE * w / len(found)
         g_b = gap.sum()
         m_w, v_w = 0.9 * m_w + 0.1 * g_w, 0.999 * v_w + 0.001 * g_w * g_w
         m_b, v_b = 0.9 * m_b + 0.1 * g_b, 0.999 * v_b + 0.001 * g_b * g_b
