@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestead.llm import bloomlm, bpe, decontaminate, langid, quality, sketch, tokencount, toxicity
+from lodestead.llm import bloomlm, bpe, decontaminate, langid, quality, setjoin, sketch, tokencount, toxicity
 from lodestead.llm.frames import bucket, documents, ids_and_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,8 @@ FROM words LEFT JOIN covered ON id = covered.doc_id LEFT JOIN found ON id = foun
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
     return found.withColumn("items", F.sha2(F.array_join("items", ","), 256)).withColumnRenamed("items", "items_sha256")
+
+
+@query("op3_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.similar(documents(spark, sf_dir))
