@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestead.llm import bloomlm, bpe, decontaminate, langid, quality, setjoin, sketch, tokencount, toxicity
+from lodestead.llm import bloomlm, bpe, decontaminate, langid, pii, quality, setjoin, sketch, tokencount, toxicity
 from lodestead.llm.frames import bucket, documents, ids_and_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_jaccard_join")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.similar(documents(spark, sf_dir))
+
+
+@query("op4_pii")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.report(documents(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
