@@ -39,6 +39,8 @@ from lodestead.llm.words import BLANKS, hash_words, mix, utf8
 
 #: Bytes of text whose pre-tokens one segment counts, about.
 EACH = 32 << 20
+#: Bytes of text in a block.
+BLOCK = 8 << 20
 _C = np.uint64(0x9E3779B97F4A7C15)
 _PATTERN = regex.compile(BYTE_LEVEL_PATTERN)
 #: UTF-8 of white space that is not ASCII.
@@ -77,7 +79,7 @@ def built(spec: str) -> Pieces:
 
 
 class Block:
-    """One block: its texts as indexes into its chunks, its chunks as known pieces and open pre-tokens."""
+    """One block: its texts as known pieces and indexes into its other chunks, these as open pre-tokens."""
 
     def __init__(self, pieces: Pieces, table: pa.Table):
         raw, offsets = utf8(table.column(1))
@@ -131,13 +133,24 @@ class Block:
                 else:
                     opened.append(unknown.setdefault(token, len(unknown)))
                     of.append(i)
-        self.known, self.opened, self.of = known, np.array(opened, np.int64), np.array(of, np.int64)
+        # what is known already is summed here; only chunks with open pre-tokens stay in the sequences
+        ends = np.cumsum(self.sizes)
+        sums = np.append(0, np.cumsum(known[self.tokens]))
+        self.extra += sums[ends] - sums[ends - self.sizes]
+        of = np.array(of, np.int64)
+        still = np.bincount(of, minlength=len(keys)) > 0
+        place = np.cumsum(still) - 1
+        left = still[self.tokens]
+        sums = np.append(0, np.cumsum(left))
+        self.sizes = sums[ends] - sums[ends - self.sizes]
+        self.tokens = place[self.tokens[left]]
+        self.opened, self.of = np.array(opened, np.int64), place[of]
         self.unknown = list(unknown)
         data = np.frombuffer(b"".join(t + b" " for t in self.unknown), np.uint8)
         bounds = np.cumsum([0, *(len(t) + 1 for t in self.unknown)])
         self.hashes = hash_words(data, bounds, np.zeros(256, bool), None).hashes  # no byte separates them
         ids = np.array([0 if i is None else i for i in table.column(0).to_pylist()], np.int64).view(np.uint64)
-        self.name = int(mix(np.array([np.bitwise_xor.reduce(mix(ids * _C + np.arange(len(ids), dtype=np.uint64))) + np.bitwise_xor.reduce(mix(keys)) + np.uint64(len(self.tokens))], np.uint64)).view(np.int64)[0])
+        self.name = int(mix(np.array([np.bitwise_xor.reduce(mix(ids * _C + np.arange(len(ids), dtype=np.uint64))) + np.bitwise_xor.reduce(mix(keys)) + np.uint64(len(raw))], np.uint64)).view(np.int64)[0])
 
     def _parts(self, pieces: Pieces, raw: np.ndarray, offsets: np.ndarray):
         """The texts cut at special tokens, which are counted: (bytes, cuts, row of each part)."""
@@ -172,7 +185,7 @@ class Block:
 
     def totals(self, counts: np.ndarray) -> np.ndarray:
         """Tokens of each text, given the pieces of the open pre-tokens."""
-        each = self.known + np.bincount(self.of, counts[self.opened] if len(self.opened) else None, minlength=len(self.known)).astype(np.int64)
+        each = np.bincount(self.of, counts[self.opened]).astype(np.int64)
         sums = np.append(0, np.cumsum(each[self.tokens]))
         ends = np.cumsum(self.sizes)
         return sums[ends] - sums[ends - self.sizes] + self.extra
@@ -190,7 +203,7 @@ def count(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
     def send(batches):
         pieces = built(shared.value)
-        for table in grouped(batches, 1):
+        for table in grouped(batches, 1, BLOCK):
             block = Block(pieces, table)
             order, ends = block.split(parts)
             some = np.flatnonzero(np.diff(ends))
@@ -209,9 +222,9 @@ def count(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
     def form(batches):
         pieces = built(shared.value)
-        for table in grouped(batches, 1):
+        for table in grouped(batches, 1, BLOCK):
             block = Block(pieces, table)
-            names = "known of opened sizes tokens bytes extra".split()
+            names = "of opened sizes tokens bytes extra".split()
             small = {n: pack(_small(getattr(block, n))) for n in names}
             order, ends = block.split(parts)
             yield {"block": [block.name], "ids": [table.column(0).to_pylist()], "order": [pack(_small(order))], "sent": [np.flatnonzero(np.diff(ends)).tolist()], **{n: [v] for n, v in small.items()}}
@@ -221,7 +234,7 @@ def count(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
         answers = dict(zip(right.column("segment").to_pylist(), right.column("counts").to_pylist()))
         for row in left.to_pylist():
             block = Block.__new__(Block)
-            for n in "known of opened sizes tokens bytes extra".split():
+            for n in "of opened sizes tokens bytes extra".split():
                 setattr(block, n, unpack(row[n]).astype(np.int64))
             if set(row["sent"]) - set(answers):
                 raise RuntimeError("the documents changed between two readings")
@@ -235,7 +248,7 @@ def count(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
     sent = map_batches(rows, send, "segment int, block long, tokens array<binary>")
     answers = sent.groupBy("segment").applyInArrow(answer, "block long, segment int, counts binary")
-    left = map_batches(rows, form, "block long, ids array<long>, order binary, sent array<int>, known binary, of binary, opened binary, sizes binary, tokens binary, bytes binary, extra binary")
+    left = map_batches(rows, form, "block long, ids array<long>, order binary, sent array<int>, of binary, opened binary, sizes binary, tokens binary, bytes binary, extra binary")
     return left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
