@@ -2,16 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept;
 what it returns is written as Parquet and read again as the next one's documents.
-All but the last keep the columns of ``documents``. Columns that the documents do not
-have count as null.
+All but the last keep the columns of ``documents``.
 
 1. Language ID drops documents that have no language: null texts and texts without a letter.
 2. The n-gram Jaccard join keeps of each component of near-duplicates the document with
-   the smallest id (of repeated rows of that id, each row whose text is the least).
+   the smallest id (of repeated rows of that id, the one whose text is the least).
    Documents without words are no duplicates of each other and stay.
 3. Benchmark decontamination drops documents that share ten consecutive words with
    a benchmark item, or a whole shorter item.
-4. PII generalises personal data, and terms that disclose it, to their kinds in brackets.
+4. PII generalises personal data, and terms that disclose it, to their kinds in brackets,
+   and sets ``n_chars`` anew.
 5. Byte pair encoding adds ``ids`` and ``n_tokens``, and ``decoded``, the text that the ids stand for.
 """
 
@@ -24,6 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestead.checkpoints import cut
 from lodestead.llm import bpe, decontaminate, langid, pii, setjoin
 from lodestead.llm.frames import documents, shared_folder
 
@@ -37,11 +38,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = setjoin.similar(docs)
-    kept = found.where("n_shingles > 0").groupBy("component_id").count().select(F.col("component_id").alias("_kept"))
-    kept = kept.unionByName(found.where("n_shingles = 0").select(F.col("doc_id").alias("_kept"))).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates()
+    found = cut(setjoin.similar(docs))
+    kept = found.groupBy(F.col("component_id").alias("_kept")).agg(F.sum(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), 1).otherwise(0)).alias("_rows"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept"))
+    once = docs.join(kept.where("_rows <= 1"), same, "left_semi")
+    repeated = docs.join(kept.where("_rows > 1"), same, "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = repeated.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_row"))
+    return once.unionByName(least.select("doc_id", "_row.*").select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +53,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redact(docs)
+    found = pii.redact(docs)
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
