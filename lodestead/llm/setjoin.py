@@ -11,7 +11,8 @@ the smallest id that links lead to; pairs are never listed in full.
 2. Equal sets form a class. A set's prefix holds its rarest shingles, as many that two
    linked sets must share one. Classes of equal prefix and size form a group, and only
    groups enter the lists of prefix shingles.
-3. Stars: in each list (of a shingle, within a band of sizes) every group meets two pivots.
+3. Stars: in each list (of a shingle, within a band of sizes) every group meets the list's first
+   group and the one before it.
    Pairs that sizes, the positions in the prefixes and parity bitmaps (which bound the
    difference of two sets from below) allow are verified on the whole sets, and linked
    classes contracted to components.
@@ -35,12 +36,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestead.checkpoints import cut
 from lodestead.llm.blocks import pack, unpack
-from lodestead.llm.frames import ids_and_text, map_batches
+from lodestead.llm.frames import ids_and_text, keep, map_batches
 from lodestead.llm.words import Words, hash_words, mix, rows_by_bytes, shingles, utf8
 
 SIZE = 4
@@ -48,12 +50,15 @@ PERCENT = 85
 #: Counters of the frequency table, and bits of the table of wanted documents.
 SLOTS = 1 << 22
 WANTED = 1 << 24
+#: Counters of the table of prefix shingles.
+TOKENS = 1 << 25
 #: Ranges in which tables of fixed size are summed.
 RANGES = 16
 #: 64-bit words of a parity bitmap.
 PARITY = 16
-#: Places among which the groups of one list are dealt out.
+#: Places among which the groups of a list of more than ``HOT`` are dealt out.
 SALTS = 4
+HOT = 64
 
 
 def _pieces(batches, column: int):
@@ -225,42 +230,101 @@ def _allowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(_differ(x, y, F.col("n"), F.col("m"), percent)).select("a", "b")
 
 
+def posted(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``token``, ``at``, ``n`` and ``class`` of the groups' prefixes, without tokens that a table of fixed
+    size shows to be in one prefix only."""
+
+    def tally(batches):
+        table = np.zeros(TOKENS, np.uint8)
+        for batch in batches:
+            tokens = batch.column(0).flatten().to_numpy().view(np.uint64)
+            at, n = np.unique((mix(tokens) & np.uint64(TOKENS - 1)).astype(np.int64), return_counts=True)
+            table[at] = np.minimum(table[at] + np.minimum(n, 255), 255)
+        return table
+
+    groups = cut(groups.select("class", "n", "prefix"))
+    table = np.packbits(_table(groups.select("prefix"), tally, TOKENS, np.uint8) > 4)  # the level of one is four
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    def post(batches):
+        table = shared.value
+        for batch in batches:
+            lists = batch.column(2)
+            sizes = pc.list_value_length(lists).to_numpy()
+            tokens = lists.flatten().to_numpy()
+            slot = (mix(tokens.view(np.uint64)) & np.uint64(TOKENS - 1)).astype(np.int64)
+            kept = (table[slot >> 3] >> (7 - (slot & 7))) & 1 == 1
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            row, tokens, at = row[kept], tokens[kept], at[kept]
+            yield {"token": tokens, "at": at.astype(np.int32), "n": batch.column(1).to_numpy()[row].astype(np.int32), "class": batch.column(0).to_numpy()[row]}
+
+    return map_batches(groups, post, "token long, at int, n int, class long")
+
+
+def stars(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link: in each list every class with the list's first and with the one
+    before it. A long list is dealt out to ``SALTS`` places, differently for each shingle."""
+
+    def pair(batches):
+        held = None
+        for batch in batches:
+            token, band, salt, group, n, at = (batch.column(i).to_numpy() for i in range(6))
+            if not len(token):
+                continue
+            if held is not None:
+                token, band, salt, group, n, at = (np.concatenate(x) for x in zip(held, (token, band, salt, group, n, at)))
+            new = np.append(True, (token[1:] != token[:-1]) | (band[1:] != band[:-1]) | (salt[1:] != salt[:-1]))
+            first = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
+            out_a, out_b = [], []
+            for other in (first, np.maximum(np.arange(len(token)) - 1, first)):
+                rest = 1 + np.minimum(n - at - 1, n[other] - at[other] - 1).astype(np.int64)
+                fits = 100 * np.minimum(n, n[other]).astype(np.int64) >= percent * np.maximum(n, n[other]).astype(np.int64)
+                fits &= (rest * (100 + percent) >= percent * (n.astype(np.int64) + n[other])) & (group != group[other])
+                out_a.append(np.minimum(group, group[other])[fits])
+                out_b.append(np.maximum(group, group[other])[fits])
+            a, b = np.concatenate(out_a), np.concatenate(out_b)
+            both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            yield {"a": both[:, 0], "b": both[:, 1]}
+            last = len(token) - 1
+            keep_rows = [first[last], last]
+            held = tuple(x[keep_rows] for x in (token, band, salt, group, n, at))
+
+    salted = lists.select("token", "band", F.when(F.col("hot"), F.pmod(F.xxhash64("class", "token"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"), "class", "n", "at")
+    key = ["token", "band", "salt"]
+    dealt = salted.repartition(*key).sortWithinPartitions(*key, "class")
+    return map_batches(dealt, pair, "a long, b long").distinct()
+
+
 def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` for every row."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
     docs = ids_and_text(docs)
-    rows = cut(describe(docs, frequencies(docs, size), size, percent))
-    classes = rows.where("n > 0").groupBy("class").agg(
-        F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("group").alias("group"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")
-    )
-    classes = cut(classes)
-    groups = classes.groupBy("group").agg(F.min("class").alias("class"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = groups.select("class", "group", "n", F.posexplode("prefix").alias("at", "token"))
-    shared = postings.groupBy("token").count().where("count > 1").select("token")
-    lists = postings.join(shared, "token").select("token", "n", "at", "class", "group")
-    alike = groups.where("members > 1").select("group")
-    inside = classes.join(alike, "group").select(F.col("group").alias("token"), "n", F.lit(0).alias("at"), "class", F.lit(None).cast("long").alias("group"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9) if percent < 100 else F.col("n")
-    lists = lists.unionByName(inside).withColumn("band", F.explode(F.array(band, band + 1)))
-    lists = cut(lists)
+    rows = keep(describe(docs, frequencies(docs, size), size, percent))
+    words = rows.where("n > 0")
+    classes = cut(words.groupBy("class").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("group").alias("group"), F.first("parity").alias("parity")))
+    groups = words.groupBy("group").agg(F.min("class").alias("class"), F.max("class").alias("last"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    groups = groups.select("group", "class", (F.col("class") != F.col("last")).alias("several"), "n", "prefix")
+    alike = groups.where("several").select("group")
+    postings = posted(words, groups)
+    shared = postings.groupBy("token").count().where("count > 1").select("token", (F.col("count") > HOT).alias("hot"))
+    lists = postings.join(shared, "token").select("token", "n", "at", "class", "hot")
+    inside = classes.join(alike, "group").select(F.col("group").alias("token"), F.col("n").cast("int").alias("n"), F.lit(0).alias("at"), "class", F.lit(True).alias("hot"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n")
+    lists = keep(lists.unionByName(inside)).withColumn("band", F.explode(F.array(band, band + 1)))
 
     key = ["token", "band"]
-    member = F.struct("class", "n", "at")
-    pivots = lists.groupBy(*key).agg(F.min(member).alias("low"), F.max(member).alias("high"), F.count("*").alias("size")).where("size > 1")
-    pivots = pivots.withColumn("pivot", F.explode(F.array("low", "high"))).select(*key, "pivot.*").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = lists.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int"))
-    star = salted.alias("x").join(cut(pivots).alias("y"), [*key, "salt"]).where(F.col("x.class") != F.col("y.class")).where(_possible("x", "y", percent))
-    star = star.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-    links = verify(docs, classes, cut(_allowed(star, classes, percent)), size, percent)
+    links = verify(docs, classes, cut(_allowed(stars(lists, percent), classes, percent)), size, percent)
     roots = components(links)
 
     # lists that still hold several components, with all members of their groups
     placed = lists.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mixed = placed.groupBy(*key).agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("size")).where("r <> s AND size > 2").select(*key)
+    mixed = placed.groupBy(*key).agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("size"), F.max("hot").alias("hot")).where("r <> s AND (size > 2 OR hot)").select(*key)
     left = placed.join(mixed, key)
     others = classes.join(alike, "group").select("group", F.col("class").alias("other"))
-    more = left.where("group IS NOT NULL").join(others, "group").where("other <> class").select(*key, "n", "at", F.col("other").alias("class"))
+    others = groups.where("several").select("group", "class").join(others, "group").where("other <> class").select("class", "other")
+    more = left.join(others, "class").select(*key, "n", "at", F.col("other").alias("class"))
     more = more.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     left = left.select(*key, "n", "at", "class", "root").unionByName(more.select(*key, "n", "at", "class", "root"))
     bits = classes.select("class", *[F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)])
