@@ -72,7 +72,7 @@ def _ngrams(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     out = np.full(m, n, np.uint64)
     for i in range(n):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + points[i : m + i])
-    same = owner[:m] == owner[n - 1 :]
+    same = owner[:m] == owner[n - 1 :] if n > 1 else ~blank
     return out[same], owner[:m][same]
 
 

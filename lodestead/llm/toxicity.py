@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             z = np.array([model.weights[present(raw[a:b], seen)].sum() + model.bias for a, b in zip(offsets, offsets[1:])], float)
-            found = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            found = np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -700, 700))))
             yield {"doc_id": batch.column(0), "score": found, "predicted": (found >= threshold).astype(np.int32)}
 
     return map_batches(ids_and_text(docs), work, "doc_id long, score double, predicted int")
