@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from lodestead import catalog as cat
 
 
+_WHOLE_NUMBER = r"(?i)^[+-]?(?:[0-9]+\.?[0-9]*(?:e[+-]?[0-9]+)?|\.[0-9]+(?:e[+-]?[0-9]+)?|inf|infinity|nan)$"
+
+
 def round_even(x: Column, places: int) -> Column:
     """Round half to even; Spark's own ``round`` rounds half up."""
     scale = float(10**places)
@@ -15,8 +18,10 @@ def round_even(x: Column, places: int) -> Column:
 
 
 def to_number(x: Column) -> Column:
-    """Whole-cell number; unreadable text and NaN become null."""
-    number = F.trim(x.cast("string")).try_cast("double")
+    """Whole-cell number; unreadable text and NaN become null. A cast alone would
+    also read the number literals of programming languages, such as ``5d``."""
+    text = F.trim(x.cast("string"))
+    number = F.when(text.rlike(_WHOLE_NUMBER), text.try_cast("double"))
     return F.when(~F.isnan(number), number)
 
 

@@ -17,13 +17,20 @@ LOOKUP_COLUMNS = {
 }
 
 
+def join_known(listings: DataFrame, found: DataFrame) -> DataFrame:
+    """Left join on ``address`` of the listings that have one; the others get nulls."""
+    matched = listings.where(F.col("address").isNotNull()).join(found, "address", "left")
+    return matched.unionByName(listings.where(F.col("address").isNull()), allowMissingColumns=True)
+
+
 def with_geo_lookup(listings: DataFrame, lookup: DataFrame) -> DataFrame:
     """Coordinates, commute minutes and any nearest-point columns of the exact
-    same address. A listing's own value stays where the lookup has none."""
+    same address. A listing's own value stays where the lookup has none. Listings
+    without an address meet no lookup, so they don't travel to one task."""
     sources = {k: v for k, v in LOOKUP_COLUMNS.items() if v in lookup.columns}
     sources.update({c: c for c in cat.POI_COLUMNS if c in lookup.columns})
     found = lookup.select(F.col("address"), *[F.col(v).alias(f"_{k}") for k, v in sources.items()])
-    joined = listings.join(found, "address", "left")
+    joined = join_known(listings, found)
     own = set(listings.columns)
     kept = [c for c in listings.columns if c not in sources]
     return joined.select(

@@ -49,6 +49,7 @@ class _Walk(HTMLParser):
         self.has_canonical = False
         self.blocks: list[str] = []
         self._open: list[tuple[str, str | None]] = []
+        self._count: dict[str, int] = {}
         self._active: list[str] = []
         self._text: list[str] = []
         self._hidden = 0
@@ -95,6 +96,7 @@ class _Walk(HTMLParser):
             if name == "features":
                 self.labels = []
         self._open.append((tag, name))
+        self._count[tag] = self._count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         # HTML has no self-closing elements: "<p/>" opens a paragraph
@@ -102,10 +104,13 @@ class _Walk(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self._flush()
-        depth = next((i for i in range(len(self._open) - 1, -1, -1) if self._open[i][0] == tag), None)
-        if depth is None:
-            return
+        if not self._count.get(tag):
+            return  # never opened: no need to look through what is open
+        depth = len(self._open) - 1
+        while self._open[depth][0] != tag:
+            depth -= 1
         for closed, name in self._open[depth:]:
+            self._count[closed] -= 1
             if closed in _HIDDEN:
                 self._hidden -= 1
                 if self._block is not None:

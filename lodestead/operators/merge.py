@@ -25,11 +25,14 @@ def send_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 def skip_ingested(pages: DataFrame, ledger: DataFrame, with_enrichment: bool = True, force: bool = False) -> DataFrame:
     """Pages still to be read: those not in the ledger, and, when enrichment is
-    wanted, those whose listing has no position yet."""
+    wanted, those whose listing has no position yet. File names alone decide; the
+    pages themselves move only if the new names are too many to send around."""
     if force:
         return pages
     done = ledger.where("lat is not null") if with_enrichment else ledger
-    return pages.join(done.select("source_file"), "source_file", "left_anti")
+    names = pages.select("source_file").where(F.col("source_file").isNotNull()).distinct().join(done.select("source_file"), "source_file", "left_anti")
+    fresh = pages.join(send_if_small(names), "source_file", "left_semi")
+    return fresh.unionByName(pages.where(F.col("source_file").isNull()))
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -96,7 +99,7 @@ def apply_status(listings: DataFrame, edits: DataFrame) -> DataFrame:
     """Non-blank status edits ``(listing_id, status)`` onto the listings."""
     edited = edits.select("listing_id", F.col("status").alias("_status"))
     return (
-        listings.join(edited, "listing_id", "left")
+        listings.join(send_if_small(edited), "listing_id", "left")
         .withColumn("status", F.coalesce("_status", "status"))
         .select(*listings.columns)
     )

@@ -204,11 +204,6 @@ def value_order(signal: DataFrame) -> DataFrame:
     return signal.orderBy(F.desc("residual"), "listing_id")
 
 
-def join_price_signal(report: DataFrame, signal: DataFrame) -> DataFrame:
-    """A stored price signal onto listings; those without one keep nulls."""
-    return report.join(signal, "listing_id", "left")
-
-
 def model_metrics(signal: DataFrame, actual: str = cat.TARGET_COLUMN) -> DataFrame:
     """Mean absolute error and R2 of predictions against known rents."""
     y, p = F.col(actual), F.col("predicted_weekly_rent")

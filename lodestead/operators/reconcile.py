@@ -9,7 +9,7 @@ from lodestead import catalog as cat
 from lodestead.functions import cells
 from lodestead.functions.numbers import sheet_weight, to_number
 from lodestead.functions.text import trimmed_or_null
-from lodestead.operators.merge import latest_per_key
+from lodestead.operators.merge import latest_per_key, send_if_small
 
 
 def _row_order(edits: DataFrame) -> Column:
@@ -53,7 +53,7 @@ def rating_edits(edits: DataFrame, names: list[str], rated_at: Column | None = N
 
 def replace_rows(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     """Stored rows with every row of a fresh key replaced."""
-    return stored.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
+    return stored.join(send_if_small(fresh.select(*keys)), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 # --- listing details ---------------------------------------------------------
@@ -113,15 +113,13 @@ def detail_cells(edits: DataFrame) -> DataFrame:
 
 def detail_corrections(edits: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Cells a person changed: readable and not what was last published. A cell
-    that merely disagrees with the table by now is no correction."""
+    that merely disagrees with the table by now is no correction. Of several rows
+    for a listing each is compared, and the last that changes something counts."""
     readable = detail_cells(edits).where(F.col("value").isNotNull()).select("listing_id", "column_name", "value", "row")
-    latest = latest_per_key(readable, ["listing_id", "column_name"], ["row", "value"]).drop("row")
     published = snapshot.select("listing_id", "column_name", F.col("value").alias("published"))
-    return (
-        latest.join(published, ["listing_id", "column_name"], "left")
-        .where(~F.col("value").eqNullSafe(F.col("published")))
-        .select("listing_id", "column_name", "value")
-    )
+    changed = readable.join(published, ["listing_id", "column_name"], "left").where(~F.col("value").eqNullSafe(F.col("published")))
+    changed = changed.select("listing_id", "column_name", "value", "row")
+    return latest_per_key(changed, ["listing_id", "column_name"], ["row", "value"]).drop("row")
 
 
 def detail_issues(edits: DataFrame) -> DataFrame:
@@ -169,14 +167,17 @@ def weight_issues(sheet: DataFrame, names: list[str], scale: int = cat.SHEET_WEI
 
 
 def suburb_edits(sheet: DataFrame, names: list[str]) -> DataFrame:
-    """The preferred-suburb row, one row per person and suburb."""
+    """The preferred-suburb row, one row per person and suburb. Of several such
+    rows the last one is the list, also when it is blank."""
     rows = _by_person(sheet, "feature", "weight", names).where(F.col("feature") == cat.PREFERRED_SUBURBS_ROW)
-    return rows.select("person", F.explode(cells.list_cell(F.col("raw"))).alias("suburb")).distinct()
+    last = latest_per_key(rows.select("person", "pos", "raw"), ["person"], ["pos", "raw"])
+    return last.select("person", F.explode(cells.list_cell(F.col("raw"))).alias("suburb")).distinct()
 
 
 def filter_edits(sheet: DataFrame, names: list[str]) -> DataFrame:
     """Filter sheet to ``(person, key, num, text, list, on, pos)``. Unknown
-    filters and blank cells are left out; an unticked box stays as off."""
+    filters and blank cells are left out; an unticked box stays as off. Of several
+    rows for a filter the last readable one sets it, at the place of the first."""
     kinds = {k: [f for f, kind in cat.SHEET_FILTERS.items() if kind == k] for k in ("number", "boolean", "list")}
     raw, key = F.col("raw"), F.col("filter")
     rows = _by_person(sheet, "filter", "value", names).where(key.isin(list(cat.SHEET_FILTERS)))
@@ -187,6 +188,8 @@ def filter_edits(sheet: DataFrame, names: list[str]) -> DataFrame:
         F.lit(None).cast("string").alias("text"),
         F.when(key.isin(kinds["list"]), cells.list_cell(raw)).alias("list"),
         F.when(key.isin(kinds["boolean"]), cells.boolean_cell(raw)).alias("on"),
-        F.col("pos").cast("int").alias("pos"),
+        "pos",
     )
-    return parsed.where(F.col("num").isNotNull() | F.col("list").isNotNull() | F.col("on").isNotNull())
+    readable = parsed.where(F.col("num").isNotNull() | F.col("list").isNotNull() | F.col("on").isNotNull())
+    last = F.max_by(F.struct("num", "text", "list", "on"), F.struct("pos", "num", "list", "on")).alias("last")
+    return readable.groupBy("person", "key").agg(last, F.min("pos").cast("int").alias("pos")).select("person", "key", "last.*", "pos")

@@ -33,18 +33,19 @@ def enriched(
                 for c in cat.POI_CATEGORIES
             ]
         )
-        placed = placed.drop(*[c for c in wide.columns if c != "address"]).join(wide, "address", "left")
+        placed = enrich.join_known(placed.drop(*[c for c in wide.columns if c != "address"]), wide)
     return nearest.with_anchor_distance(placed, *(anchor or (None, None)))
 
 
 def merge_batch(
     stored: DataFrame, parsed: DataFrame, overrides: DataFrame, captured_at: Column | None = None
 ) -> DataFrame:
-    """Fold a parsed batch, lay it over the stored listings, then put human
-    corrections over both."""
+    """Fold a parsed batch, put human corrections over it and lay it over the stored
+    listings, which carry theirs already."""
     stamped = conform(parsed).withColumn("date_captured", F.current_timestamp() if captured_at is None else captured_at)
     folded = cut(merge.fold_batch(stamped, "listing_id", file_order(F.col("source_file"))))
-    return merge.apply_overrides(merge.upsert(stored, merge.send_if_small(folded)), overrides)
+    own = overrides.join(merge.send_if_small(folded.select("listing_id")), "listing_id", "left_semi")
+    return merge.upsert(stored, merge.send_if_small(cut(merge.apply_overrides(folded, own))))
 
 
 def ledger_view(workspace: Workspace) -> DataFrame:

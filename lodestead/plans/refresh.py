@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.operators import merge
+from lodestead.operators import merge, score
 from lodestead.operators import reconcile as rec
 from lodestead.plans.ingest import ingest
 from lodestead.plans.report import build_report
@@ -49,18 +49,36 @@ def pull_details(workspace: Workspace, sheet: DataFrame, now: Column) -> DataFra
 
 
 def pull_preferences(workspace: Workspace, edits: Edits, names: list[str]) -> DataFrame | None:
-    """Preferences rebuilt wholesale, sheet by sheet. A sheet that could not be
-    read leaves its preferences as they are."""
+    """Preferences of the named people rebuilt wholesale, sheet by sheet; those of
+    other people stay. A sheet that could not be read leaves its preferences as
+    they are."""
+
+    def replace(table: str, fresh: DataFrame) -> None:
+        others = workspace.read(table).where(~F.col("person").isin(names))
+        workspace.write(table, others.unionByName(fresh, allowMissingColumns=True))
+
     issues = None
     if edits.weights is not None:
-        workspace.write("weights", rec.weight_edits(edits.weights, names).select("person", "feature", "weight", F.col("pos").cast("int")))
-        workspace.write("preferred_suburbs", rec.suburb_edits(edits.weights, names))
+        replace("weights", rec.weight_edits(edits.weights, names).select("person", "feature", "weight", F.col("pos").cast("int")))
+        replace("preferred_suburbs", rec.suburb_edits(edits.weights, names))
         issues = rec.weight_issues(edits.weights, names)
     if edits.filters is not None:
-        workspace.write("hard_filters", rec.filter_edits(edits.filters, names))
+        replace("hard_filters", rec.filter_edits(edits.filters, names))
     return issues
 
 
+def unknown_filters(workspace: Workspace) -> DataFrame:
+    """Filters on columns that the listings do not have, as issue rows."""
+    unknown = score.unknown_columns(workspace.read("listings"), stored_preferences(workspace))
+    return unknown.select(
+        F.col("person").alias("subject"),
+        F.col("column").alias("column_name"),
+        F.col("kind").alias("raw"),
+        F.lit("unknown column").alias("reason"),
+        F.lit("kept").alias("action"),
+    )
+
+
 def pull_edits(workspace: Workspace, edits: Edits, names: list[str] | None = None, now: Column | None = None) -> None:
     known = people(stored_preferences(workspace))
     if names is None:
@@ -78,13 +96,14 @@ def pull_edits(workspace: Workspace, edits: Edits, names: list[str] | None = Non
     if issues is not None:
         found.append(issues)
     if found:
+        found.append(unknown_filters(workspace))
         rejected = found[0]
         for more in found[1:]:
             rejected = rejected.unionByName(more)
         workspace.write("issues", rejected)
 
 
-def publish_all(workspace: Workspace, out: str, names: list[str] | None = None) -> DataFrame:
+def publish_all(workspace: Workspace, out: str) -> DataFrame:
     """Report and detail sheet out, then the snapshot later edits are told from.
     The snapshot comes from the listings that were just shown."""
     preferences = stored_preferences(workspace)
@@ -108,4 +127,4 @@ def refresh(
     ingest nor the publishing can undo one."""
     pull_edits(workspace, edits, names)
     ingest(workspace, pages, **ingest_options)
-    return publish_all(workspace, out, names)
+    return publish_all(workspace, out)

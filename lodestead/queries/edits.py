@@ -155,7 +155,7 @@ def weight_issues(spark, sf_dir):
 # A filter sheet per nation, with known and unknown filters.
 FILTER_SHEET = """SELECT CASE n_nationkey % 5 WHEN 0 THEN 'max_weekly_rent_aud' WHEN 1 THEN 'excluded_suburb' WHEN 2 THEN 'pet_friendly_required'
     WHEN 3 THEN 'max_moon_phase' ELSE 'min_bedrooms' END AS filter,
-  CASE n_nationkey % 5 WHEN 0 THEN ' 1200 ' WHEN 1 THEN concat(' ', n_name, ', ,Glebe ') WHEN 2 THEN 'FALSE' WHEN 3 THEN '3' ELSE 'two' END AS alice_value,
+  CASE n_nationkey % 5 WHEN 0 THEN CASE WHEN n_nationkey = 20 THEN '12F' ELSE concat(' ', CAST(1200 + n_nationkey AS STRING), ' ') END WHEN 1 THEN concat(' ', n_name, ', ,Glebe ') WHEN 2 THEN 'FALSE' WHEN 3 THEN '3' ELSE 'two' END AS alice_value,
   CASE WHEN n_nationkey % 2 = 0 THEN '' WHEN n_nationkey % 5 = 1 THEN ' , ' ELSE 'Yes' END AS bob_value, n_nationkey AS "row" FROM nation"""
 FILTERS_SQL = f"""cells AS (SELECT filter AS "key", 'alice' AS person, alice_value AS raw, "row" AS pos FROM ({FILTER_SHEET})
   UNION ALL SELECT filter, 'bob', bob_value, "row" FROM ({FILTER_SHEET})),
@@ -167,8 +167,10 @@ read AS (SELECT person, "key", CASE WHEN "key" LIKE 'm%' THEN TRY_CAST(trim(raw)
 
 @query(
     "filter_edits",
-    f"""WITH {FILTERS_SQL} SELECT person, "key", num, "on", nullif(items, '') AS items, pos FROM read
-    WHERE num IS NOT NULL OR "on" IS NOT NULL OR items <> ''""",
+    f"""WITH {FILTERS_SQL}, ranked AS (
+      SELECT *, min(pos) OVER (PARTITION BY person, "key") AS first_pos, row_number() OVER (PARTITION BY person, "key" ORDER BY pos DESC) AS place
+      FROM read WHERE num IS NOT NULL OR "on" IS NOT NULL OR items <> '')
+    SELECT person, "key", num, "on", nullif(items, '') AS items, CAST(first_pos AS INTEGER) AS pos FROM ranked WHERE place = 1""",
 )
 def filter_edits(spark, sf_dir):
     found = reconcile.filter_edits(run_sql(spark, sf_dir, FILTER_SHEET), NAMES)
@@ -181,9 +183,11 @@ SUBURB_SHEET = """SELECT CASE WHEN n_nationkey % 6 = 0 THEN 'preferred_suburbs_l
 
 @query(
     "suburb_edits",
-    """SELECT 'alice' AS person, n_name AS suburb FROM nation WHERE n_nationkey % 6 = 0
-    UNION ALL SELECT 'alice', concat('North ', n_name) FROM nation WHERE n_nationkey % 6 = 0
-    UNION ALL SELECT 'bob', n_name FROM nation WHERE n_nationkey % 6 = 0 AND n_nationkey % 12 <> 0""",
+    f"""WITH cells AS (SELECT 'alice' AS person, alice_weight AS raw, "row" AS pos FROM ({SUBURB_SHEET}) WHERE feature = 'preferred_suburbs_list'
+      UNION ALL SELECT 'bob', bob_weight, "row" FROM ({SUBURB_SHEET}) WHERE feature = 'preferred_suburbs_list'),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY pos DESC) AS place FROM cells),
+    items AS (SELECT person, trim(unnest(string_split(raw, ','))) AS suburb FROM ranked WHERE place = 1)
+    SELECT DISTINCT person, suburb FROM items WHERE suburb <> ''""",
 )
 def suburb_edits(spark, sf_dir):
     return reconcile.suburb_edits(run_sql(spark, sf_dir, SUBURB_SHEET), NAMES)
@@ -192,7 +196,7 @@ def suburb_edits(spark, sf_dir):
 # Order dates written in the spellings people use, then read back.
 CELL_TEXTS = """SELECT o_orderkey AS id, CASE o_orderkey % 4
     WHEN 0 THEN {iso} WHEN 1 THEN concat(' ', {day}, '/', {month}, '/', {year}, ' ') WHEN 2 THEN concat({day}, ' ', {name}, ' ', {year}) ELSE 'soon' END AS date_text,
-  CASE o_orderkey % 3 WHEN 0 THEN concat(' ', CAST(o_totalprice AS STRING)) WHEN 1 THEN 'about ten' ELSE '   ' END AS number_text,
+  CASE WHEN o_orderkey % 3 = 0 THEN concat(' ', CAST(o_totalprice AS STRING)) WHEN o_orderkey % 6 = 1 THEN 'about ten' WHEN o_orderkey % 6 = 4 THEN '5d' ELSE '   ' END AS number_text,
   CASE o_orderkey % 5 WHEN 0 THEN ' Yes' WHEN 1 THEN 'TRUE' WHEN 2 THEN '1' WHEN 3 THEN 'nope' ELSE '' END AS boolean_text FROM orders"""
 _DATE_PARTS = {
     "iso": "date_format(o_orderdate, 'yyyy-MM-dd')",

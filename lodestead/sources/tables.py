@@ -48,5 +48,16 @@ def read_edits(spark: SparkSession, path: str | None) -> DataFrame | None:
     if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
         return None
     cells = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
-    # the row's place in the sheet, so that "the later row wins" has a meaning
-    return cells.withColumn("row", F.monotonically_increasing_id())
+    # The row's place in the drop, so that "the later row wins" has a meaning: files by
+    # name, rows as they stand. A multi-line file is read in one piece, so ids are
+    # consecutive in it, but Spark reads larger files first.
+    placed = cells.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id"))
+    files = sorted(placed.groupBy("_file").agg(F.min("_id").alias("first"), F.count("*").alias("n")).collect())
+    before, at = [], 0
+    for name, first, n in files:
+        before.append((name, at - first))
+        at += n
+    if not before:
+        return cells.withColumn("row", F.lit(0).cast("long"))
+    moves = F.broadcast(spark.createDataFrame(before, "_file string, _move long"))
+    return placed.join(moves, "_file").withColumn("row", F.col("_id") + F.col("_move")).drop("_file", "_id", "_move")
