@@ -140,8 +140,8 @@ def joined(spans: Column) -> Column:
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
-    """Distinct (entity, context) with the context's distinct terms."""
-    mention = rows.select("text", F.explode("base").alias("s"))
+    """Distinct (entity, context) with the context's distinct terms and a text that has it."""
+    mention = rows.select("text", F.xxhash64("text").alias("print"), F.explode("base").alias("s"))
     begin, end = F.greatest(F.col("s.start") - REACH, F.lit(0)), F.col("s.end")
     before = F.substring("text", begin + 1, F.col("s.start") - begin)
     after = F.substring("text", end + 1, F.lit(REACH))
@@ -150,9 +150,9 @@ def _contexts(rows: DataFrame) -> DataFrame:
     after = F.when(F.length(after) == REACH, F.regexp_replace(after, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+$", "")).otherwise(after)
     left, right = words_of(before), words_of(after)
     near = F.concat(F.slice(left, F.greatest(F.size(left) - CONTEXT, F.lit(0)) + 1, F.lit(CONTEXT)), F.slice(right, 1, CONTEXT))
-    seen = mention.select(_entity(F.col("s")).alias("entity"), near.alias("near"))
-    seen = seen.groupBy("entity", F.xxhash64("near").alias("context")).agg(F.first("near").alias("near"))
-    return seen.select("entity", F.filter(F.array_distinct("near"), lambda t: (F.length(t) >= 3) & t.rlike("[^0-9]")).alias("terms"))
+    seen = mention.select(_entity(F.col("s")).alias("entity"), near.alias("near"), "print")
+    seen = seen.groupBy("entity", F.xxhash64("near").alias("context")).agg(F.first("near").alias("near"), F.min("print").alias("print"))
+    return seen.select("entity", "print", F.filter(F.array_distinct("near"), lambda t: (F.length(t) >= 3) & t.rlike("[^0-9]")).alias("terms"))
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -165,14 +165,17 @@ def disclosing(docs: DataFrame, rows: DataFrame, alpha: float = ALPHA, support:
     contexts = cut(_contexts(rows))
     entities = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
     pairs = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    pairs = cut(pairs.join(entities, "entity"))
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    n = float(max(1, texts.select(F.xxhash64("text")).distinct().count()))
+    # a term is in at least as many texts as contexts show: pairs that cannot reach alpha any more need no counting
+    least = contexts.select(F.explode("terms").alias("term"), "print").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    pairs = pairs.join(entities, "entity").join(least, "term")
+    pairs = cut(pairs.where(F.col("least") <= F.col("n_te") * F.pow(n / F.col("n_e"), F.lit(1 - alpha)) * (1 + 1e-9)))
     terms = pairs.select("term").distinct()
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words = texts.select(F.xxhash64("text").alias("print"), F.explode(words_of(F.col("text"))).alias("term"))
     counts = words.join(_small(terms), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    n = float(max(1, texts.select(F.xxhash64("text")).distinct().count()))
     share = F.log(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e"))
     scored = pairs.join(counts, "term").where(F.col("n_e") < n).select("entity", "term", F.least(F.lit(1.0), share).alias("disclosure"))
     return cut(scored.where(F.col("disclosure") >= alpha))

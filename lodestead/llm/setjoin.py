@@ -73,13 +73,22 @@ def _sets(words: Words, size: int):
         yield np.unique(shingles(words.hashes[a:b], size))
 
 
-def _table(rows: DataFrame, work, slots: int, kind: type) -> np.ndarray:
-    """The sum of the tables (``slots`` numbers) that ``work`` makes of each task's batches, saturating
-    within a task at the kind's largest value."""
-    most, part = np.iinfo(kind).max, slots // RANGES
+def _levels(sums: np.ndarray) -> np.ndarray:
+    return np.minimum(4 * np.log2(sums + np.float32(1)), 255).astype(np.uint8)
+
+
+def _at_least(least: int):
+    return lambda sums: np.packbits(sums >= least)
+
+
+def _table(rows: DataFrame, work, slots: int, finish) -> np.ndarray:
+    """``finish`` of the sum of the tables (``slots`` numbers) that ``work`` makes of each task's batches,
+    saturating at 255 within a task. Only what ``finish`` gives (bytes) comes to the driver."""
+    part = slots // RANGES
+    empty = finish(np.zeros(part, np.uint32))
 
     def local(batches):
-        table = np.minimum(work(batches), most).astype(kind)
+        table = np.minimum(work(batches), 255).astype(np.uint8)
         some = [i for i in range(RANGES) if table[i * part : (i + 1) * part].any()]
         yield {"part": some, "data": [pack(table[i * part : (i + 1) * part]) for i in some]}
 
@@ -88,13 +97,12 @@ def _table(rows: DataFrame, work, slots: int, kind: type) -> np.ndarray:
         for batch in batches:
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sums[i] = sums.get(i, 0) + unpack(data).astype(np.uint32)
-        levels = {i: np.minimum(4 * np.log2(s + 1.0), 255).astype(np.uint8) for i, s in sums.items()}
-        yield {"part": list(levels), "data": [pack(x) for x in levels.values()]}
+        yield {"part": list(sums), "data": [pack(finish(s)) for s in sums.values()]}
 
-    out = np.zeros(slots, np.uint8)
+    out = np.tile(empty, RANGES)
     sent = map_batches(rows, local, "part int, data binary").repartition(RANGES, "part")
     for row in map_batches(sent, merged, "part int, data binary").collect():
-        out[row["part"] * part : (row["part"] + 1) * part] = unpack(bytes(row["data"]))
+        out[row["part"] * len(empty) : (row["part"] + 1) * len(empty)] = unpack(bytes(row["data"]))
     return out
 
 
@@ -115,7 +123,7 @@ def frequencies(docs: DataFrame, size: int) -> np.ndarray:
             total += np.bincount((runs[inside[: len(runs)]] & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         return total
 
-    return _table(docs.select("text"), work, SLOTS, np.uint8)
+    return _table(docs.select("text"), work, SLOTS, _levels)
 
 
 def signature(found: np.ndarray) -> int:
@@ -171,8 +179,7 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, per
             table[(mix(ids.view(np.uint64)) & np.uint64(WANTED - 1)).astype(np.int64)] = 1
         return table
 
-    table = np.packbits(_table(wanted.select("head"), mark, WANTED, np.uint8) > 0)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(_table(wanted.select("head"), mark, WANTED, _at_least(1)))
 
     def read(batches):
         table = shared.value
@@ -243,8 +250,7 @@ def posted(rows: DataFrame, groups: DataFrame) -> DataFrame:
         return table
 
     groups = cut(groups.select("class", "n", "prefix"))
-    table = np.packbits(_table(groups.select("prefix"), tally, TOKENS, np.uint8) > 4)  # the level of one is four
-    shared = rows.sparkSession.sparkContext.broadcast(table)
+    shared = rows.sparkSession.sparkContext.broadcast(_table(groups.select("prefix"), tally, TOKENS, _at_least(2)))
 
     def post(batches):
         table = shared.value

@@ -135,9 +135,9 @@ def test_jaccard_join(spark, monkeypatch):
 
 def test_jaccard_join_without_any_pruning(spark, monkeypatch):
     """Tables so small that they are full change nothing."""
-    monkeypatch.setattr(setjoin, "SLOTS", 16)
-    monkeypatch.setattr(setjoin, "TOKENS", 16)
-    monkeypatch.setattr(setjoin, "WANTED", 16)
+    monkeypatch.setattr(setjoin, "SLOTS", 128)
+    monkeypatch.setattr(setjoin, "TOKENS", 128)
+    monkeypatch.setattr(setjoin, "WANTED", 128)
     rows = near_copies()[:120]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, setjoin.similar(docs).collect())) == sorted(classes(rows))
