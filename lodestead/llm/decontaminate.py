@@ -30,23 +30,36 @@ BROADCAST_ROWS = 50_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
+    """The words, A-Z lower-cased."""
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _SEPARATORS, -1), "")
 
 
-def _run_hash(at: Column, size: int) -> Column:
+def raw_words(text: Column) -> Column:
+    """The words as they stand."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), _RAW_SEPARATORS, -1), "")
+
+
+def _run_hash(low: str, at: Column, size: int) -> Column:
     """Hash of ``size`` words from place ``at`` on."""
-    return F.xxhash64(F.slice("words", at + 1, F.lit(size)))
+    return F.xxhash64(F.slice(low, at + 1, F.lit(size)))
+
+
+def _lowered(rows: DataFrame) -> DataFrame:
+    """With ``low``, what is hashed: words that agree but for A-Z agree here, too, as lower-casing a
+    word depends on the word alone; which others do, the comparison of words tells."""
+    return rows.withColumn("low", F.transform("words", F.lower))
 
 
 def kept_hashes(rows: DataFrame) -> DataFrame:
     """For rows with ``words``: their columns with ``hash`` and ``at`` for each kept hash, and
     one row with ``at`` null for each row, so that none gets lost."""
     n, count = F.size("words"), WINDOW - GRAM + 1
-    grams = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - GRAM), lambda i: _run_hash(i, GRAM))).otherwise(F.array().cast("array<long>"))
-    rows = rows.withColumn("grams", grams)
+    grams = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - GRAM), lambda i: _run_hash("low", i, GRAM))).otherwise(F.array().cast("array<long>"))
+    rows = _lowered(rows).withColumn("grams", grams).drop("low")
     spread = rows.withColumn("from", F.explode(F.sequence(F.lit(-1), F.greatest(F.lit(-1), F.size("grams") - count))))
     gram = [F.get("grams", F.col("from") + i) for i in range(count)]
     # a window keeps something new if its last hash is the least, or if the one that has left was
@@ -66,7 +79,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def _same(i: Column, j: Column) -> Column:
-    return F.coalesce(F.get("words", i) == F.get("around", j), F.lit(False))
+    return F.coalesce(F.translate(F.get("words", i), _UPPER, _LOWER) == F.get("around", j), F.lit(False))
 
 
 def _run(step: int, most: int, start: int) -> Column:
@@ -82,7 +95,7 @@ def spans(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST
     """``doc_id``, ``print`` (a hash of the text), ``n_words``, ``first``, ``last`` (words, from 0) and ``items`` for
     each span that documents share with items; and one row without a span for each document row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("print"), words_of(F.col("text")).alias("words"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("print"), raw_words(F.col("text")).alias("words"))
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
     items = items_of(benchmark)
     long_items = kept_hashes(items.where(F.size("words") >= WINDOW)).where("at IS NOT NULL")
@@ -109,12 +122,13 @@ def spans(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST
         F.when(hit, F.col("shift") + F.col("at") + F.col("right") - 1).alias("last"), F.when(hit, F.col("items")).alias("items"),
     )
     for n in lengths:
-        short = items.where(F.size("words") == n).withColumn("item_hash", _run_hash(F.lit(0), n)).select("item_hash", "items", F.col("words").alias("around"))
+        short = _lowered(items.where(F.size("words") == n)).withColumn("item_hash", _run_hash("low", F.lit(0), n)).select("item_hash", "items", F.col("words").alias("around"))
         if short.limit(broadcast_rows + 1).count() <= broadcast_rows:
             short = F.broadcast(short)
-        runs = rows.where(F.size("words") >= n).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - n)))
-        runs = runs.select("doc_id", "print", "n_words", "at", _run_hash(F.col("at"), n).alias("hash"), *([F.slice("words", F.col("at") + 1, n).alias("run")] if n else []))
-        same = runs.join(short, (F.col("hash") == F.col("item_hash")) & (F.col("run") == F.col("around")))
+        runs = _lowered(rows.where(F.size("words") >= n)).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - n)))
+        runs = runs.select("doc_id", "print", "n_words", "at", _run_hash("low", F.col("at"), n).alias("hash"), F.slice("words", F.col("at") + 1, F.lit(n)).alias("run"))
+        exact = F.transform("run", lambda w: F.translate(w, _UPPER, _LOWER)) == F.col("around")
+        same = runs.join(short, F.col("hash") == F.col("item_hash")).where(exact)
         out = out.unionByName(same.select("doc_id", "print", "n_words", F.col("at").alias("first"), (F.col("at") + n - 1).alias("last"), "items"))
     return out
 
