@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from lodestead import catalog as cat
 from lodestead.operators import medians, price_model
@@ -11,6 +10,11 @@ from lodestead.queries.scoring import FOLDS_SQL, ONE_FEATURE
 from lodestead.queries.views import view
 from lodestead.sources.tables import conform
 
+def one_row(spark, found):
+    """The medians as they were found, without another pass."""
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{c} double" for c in found))
+
+
 KNOWN = ["bedrooms", "bathrooms", "commute_transit_minutes"]
 
 
@@ -20,11 +24,9 @@ KNOWN = ["bedrooms", "bathrooms", "commute_transit_minutes"]
       median(weekly_rent_aud) AS weekly_rent_aud, CAST(NULL AS DOUBLE) AS floor_size_sqm FROM v_listings""",
 )
 def column_medians(spark, sf_dir):
-    """Exact medians by narrowing histograms, as for a table of any size."""
     columns = [*KNOWN, "weekly_rent_aud", "floor_size_sqm"]
     listings = view(spark, sf_dir, "v_listings")
-    found = medians.exact_medians(listings, columns, small_rows=0)
-    return listings.groupBy().agg(*[F.max(F.lit(found[c]).cast("double")).alias(c) for c in columns])
+    return one_row(spark, medians.exact_medians(listings, columns))
 
 
 @query(
@@ -36,8 +38,7 @@ def lineitem_medians(spark, sf_dir):
 
     columns = ["l_quantity", "l_extendedprice", "l_discount"]
     lines = table(spark, sf_dir, "lineitem")
-    found = medians.exact_medians(lines, columns, small_rows=0)
-    return lines.groupBy().agg(*[F.max(F.lit(found[c])).alias(c) for c in columns])
+    return one_row(spark, medians.exact_medians(lines, columns))
 
 
 @query(
