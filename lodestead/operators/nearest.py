@@ -94,19 +94,22 @@ def _descend(pairs: DataFrame, cells: DataFrame, sites: DataFrame, above: int, l
     reach = _radius("cx", "cy", level)
     apart = haversine_sql(lat, lon, *_centre("qx", "qy", level))
     bounded = (
-        pairs.select("category", "lx", "ly", "px", "py")
+        pairs.select("category", "lx", "ly", "px", "py", F.col("best").alias("bound"))
         .join(listing_side, ["lx", "ly"])
         .join(point_side, ["category", "px", "py"])
         .selectExpr(
             "category", "cx AS lx", "cy AS ly", "qx AS px", "qy AS py", "n",
             f"{apart} - {reach} - {_radius('qx', 'qy', level)} AS least",
             f"{haversine_sql(lat, lon, 'sample.lat', 'sample.lon')} + {reach} AS sure",
+            "bound",
         )
+        # what is sure for a cell is sure for its parts, so most pairs end before they are shuffled
+        .where(f"least <= bound + {SLACK_KM}D")
     )
     return (
-        bounded.selectExpr("*", "min(sure) OVER (PARTITION BY lx, ly, category) AS best")
+        bounded.selectExpr("*", "least(bound, min(sure) OVER (PARTITION BY lx, ly, category)) AS best")
         .where(f"least <= best + {SLACK_KM}D")
-        .select("category", "lx", "ly", "px", "py", "n")
+        .select("category", "lx", "ly", "px", "py", "n", "best")
     )
 
 
@@ -115,7 +118,7 @@ def _leaves(pairs: DataFrame, sites: DataFrame, level: int) -> DataFrame:
     lat, lon = _centre("lx", "ly", level)
     inside = sites.selectExpr("category", "name", "lat", "lon", f"{_up('x', level)} AS px", f"{_up('y', level)} AS py")
     return (
-        pairs.join(inside, ["category", "px", "py"])
+        pairs.drop("best").join(inside, ["category", "px", "py"])
         .selectExpr("*", f"{haversine_sql(lat, lon, 'lat', 'lon')} AS km")
         .selectExpr("*", "min(km) OVER (PARTITION BY lx, ly, category) AS best")
         .where(f"km <= best + 2 * {_radius('lx', 'ly', level)} + {SLACK_KM}D")
@@ -126,7 +129,7 @@ def _leaves(pairs: DataFrame, sites: DataFrame, level: int) -> DataFrame:
 def _cover(located: DataFrame, sites: DataFrame, leaf_points: int) -> tuple[DataFrame, DataFrame]:
     """The cover, and for each base cell the level its cover is kept at."""
     base_cells = cut(located.selectExpr(f"{_up('x', BASE_LEVEL)} AS x", f"{_up('y', BASE_LEVEL)} AS y").distinct())
-    pairs = sites.select("category").distinct().selectExpr("category", "0 AS lx", "0 AS ly", "0 AS px", "0 AS py")
+    pairs = sites.select("category").distinct().selectExpr("category", "0 AS lx", "0 AS ly", "0 AS px", "0 AS py", "1e9D AS best")
     for level in range(STRIDE, BASE_LEVEL + 1, STRIDE):
         cells = base_cells.selectExpr(f"{_up('x', level, BASE_LEVEL)} AS x", f"{_up('y', level, BASE_LEVEL)} AS y").distinct()
         pairs = cut(_descend(pairs, cells, sites, level - STRIDE, level))
@@ -200,6 +203,7 @@ def _with_nearest(listings: DataFrame, points: DataFrame, leaf_points: int) -> D
     placed = listings.selectExpr(
         "*", f"CASE WHEN {KNOWN} THEN {x} END AS _x", f"CASE WHEN {KNOWN} THEN {y} END AS _y", f"{_unit('lat', 'lon')} AS _u"
     )
+    sent = True
     if largest <= leaf_points:
         # few enough points for the whole sphere to be one cell, that of level 0
         cover = F.broadcast(_as_lists(sites.selectExpr("*", "0 AS depth", f"{_up(x, 0)} AS x", f"{_up(y, 0)} AS y")))
@@ -209,16 +213,18 @@ def _with_nearest(listings: DataFrame, points: DataFrame, leaf_points: int) -> D
         located = listings.where(KNOWN).selectExpr(f"{x} AS x", f"{y} AS y")
         cover, depths = _cover(located, sites, leaf_points)
         sizes = " + ".join(f"size(_{c})" for c in cat.POI_CATEGORIES)
-        if (cover.selectExpr(f"sum({sizes})").first()[0] or 0) <= BROADCAST_ENTRIES:
+        sent = (cover.selectExpr(f"sum({sizes})").first()[0] or 0) <= BROADCAST_ENTRIES
+        if sent:
             cover = F.broadcast(cover)
         # at most 4^BASE_LEVEL rows
         depths = F.broadcast(depths.selectExpr("bx AS _bx", "by AS _by", "depth AS _d"))
         placed = placed.join(depths, F.expr(f"{_up('_x', BASE_LEVEL)} = _bx AND {_up('_y', BASE_LEVEL)} = _by"), "left")
-    found = placed.join(
-        cover,
-        F.expr(f"_d = _depth AND shiftright(_x, {DEEPEST} - _d) = _cx AND shiftright(_y, {DEEPEST} - _d) = _cy"),
-        "left",
-    )
+    same_cell = F.expr(f"_d = _depth AND shiftright(_x, {DEEPEST} - _d) = _cx AND shiftright(_y, {DEEPEST} - _d) = _cy")
+    if sent:
+        found = placed.join(cover, same_cell, "left")
+    else:  # without a position there is no cell; such rows would all travel to one task
+        nowhere = placed.where("_x IS NULL")
+        found = placed.where("_x IS NOT NULL").join(cover, same_cell, "left").unionByName(nowhere, allowMissingColumns=True)
     return found.selectExpr(*[f"`{c}`" for c in listings.columns], *[_closest(c) for c in cat.POI_CATEGORIES])
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Quotes are doubled, as spreadsheets expect, and empty cells stay empty.
 CSV = {"header": "true", "escape": '"', "emptyValue": ""}
 _VERSION = re.compile(r"v(\d{8})$")
+# Versions of a table that stay: readers that began before the last few writes can finish.
+KEPT_VERSIONS = 8
 
 
 def _versions(spark: SparkSession, root: str) -> list[tuple[int, str, bool]]:
@@ -42,9 +44,23 @@ def write_version(df: DataFrame, root: str, partition_by: list[str] | None = Non
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(target)
+    _forget_old(df.sparkSession, root)
     return target
 
 
+def _forget_old(spark: SparkSession, root: str) -> None:
+    """Remove what is older than the newest ``KEPT_VERSIONS`` complete versions."""
+    found = _versions(spark, root)
+    complete = [n for n, _, done in found if done]
+    if len(complete) <= KEPT_VERSIONS:
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for n, folder, _ in found:
+        if n < complete[-KEPT_VERSIONS]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
+
+
 def text_columns(df: DataFrame) -> DataFrame:
     """Every column in its export spelling: lists as JSON, the rest as text."""
     return df.select(

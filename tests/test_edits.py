@@ -101,3 +101,25 @@ def test_page_walk_is_linear():
     _walk(page)
     assert time.perf_counter() - start < 3
     assert _walk("<div class=x><p>a</b></p></div>") == _walk("<div class=x><p>a</p></div>")
+
+
+def test_old_versions_go(spark, tmp_path):
+    from lodestead.sinks.tables import KEPT_VERSIONS
+
+    space = Workspace(spark, str(tmp_path / "space"))
+    for i in range(KEPT_VERSIONS + 3):
+        space.write("people", spark.createDataFrame([(f"p{i}",)], "person string").coalesce(1))
+    folders = sorted(p.name for p in (tmp_path / "space" / "people").iterdir())
+    assert len(folders) == KEPT_VERSIONS and space.read("people").first().person == f"p{KEPT_VERSIONS + 2}"
+
+
+def test_nearest_without_broadcast(spark, monkeypatch):
+    from lodestead.operators import nearest
+
+    rows = [(str(i), -33.0 if i % 2 else None, 151.0 + (i % 3) * 0.001) for i in range(40)]
+    listings = spark.createDataFrame(rows, "listing_id string, lat double, lon double")
+    points = spark.createDataFrame([("park", f"P{i}", -33.0 + i * 0.01, 151.0 + i * 0.02) for i in range(50)], "category string, name string, lat double, lon double")
+    one = {r.listing_id: (r.nearest_park, r.nearest_park_km) for r in nearest.nearest_wide(listings, points).collect()}
+    monkeypatch.setattr(nearest, "BROADCAST_ENTRIES", -1)
+    two = {r.listing_id: (r.nearest_park, r.nearest_park_km) for r in nearest.nearest_wide(listings, points, leaf_points=4).collect()}
+    assert one == two and len(two) == 40 and two["0"] == (None, None) and two["1"][0] == "P0"
