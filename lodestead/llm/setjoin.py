@@ -237,7 +237,7 @@ def _allowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(_differ(x, y, F.col("n"), F.col("m"), percent)).select("a", "b")
 
 
-def posted(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def posted(groups: DataFrame) -> DataFrame:
     """``token``, ``at``, ``n`` and ``class`` of the groups' prefixes, without tokens that a table of fixed
     size shows to be in one prefix only."""
 
@@ -249,8 +249,7 @@ def posted(rows: DataFrame, groups: DataFrame) -> DataFrame:
             table[at] = np.minimum(table[at] + np.minimum(n, 255), 255)
         return table
 
-    groups = cut(groups.select("class", "n", "prefix"))
-    shared = rows.sparkSession.sparkContext.broadcast(_table(groups.select("prefix"), tally, TOKENS, _at_least(2)))
+    shared = groups.sparkSession.sparkContext.broadcast(_table(groups.select("prefix"), tally, TOKENS, _at_least(2)))
 
     def post(batches):
         table = shared.value
@@ -265,7 +264,7 @@ def posted(rows: DataFrame, groups: DataFrame) -> DataFrame:
             row, tokens, at = row[kept], tokens[kept], at[kept]
             yield {"token": tokens, "at": at.astype(np.int32), "n": batch.column(1).to_numpy()[row].astype(np.int32), "class": batch.column(0).to_numpy()[row]}
 
-    return map_batches(groups, post, "token long, at int, n int, class long")
+    return map_batches(groups.select("class", "n", "prefix"), post, "token long, at int, n int, class long")
 
 
 def stars(lists: DataFrame, percent: int) -> DataFrame:
@@ -311,14 +310,15 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     words = rows.where("n > 0")
     classes = cut(words.groupBy("class").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("group").alias("group"), F.first("parity").alias("parity")))
     groups = words.groupBy("group").agg(F.min("class").alias("class"), F.max("class").alias("last"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    groups = groups.select("group", "class", (F.col("class") != F.col("last")).alias("several"), "n", "prefix")
-    alike = groups.where("several").select("group")
-    postings = posted(words, groups)
+    groups = cut(groups.select("group", "class", (F.col("class") != F.col("last")).alias("several"), "n", "prefix"))
+    several = cut(groups.where("several").select("group", F.col("class").alias("first")))
+    inside = cut(classes.join(several, "group").select("group", "first", "class", F.col("n").cast("int").alias("n")))
+    postings = posted(groups)
     shared = postings.groupBy("token").count().where("count > 1").select("token", (F.col("count") > HOT).alias("hot"))
     lists = postings.join(shared, "token").select("token", "n", "at", "class", "hot")
-    inside = classes.join(alike, "group").select(F.col("group").alias("token"), F.col("n").cast("int").alias("n"), F.lit(0).alias("at"), "class", F.lit(True).alias("hot"))
+    alike = inside.select(F.col("group").alias("token"), "n", F.lit(0).alias("at"), "class", F.lit(True).alias("hot"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n")
-    lists = keep(lists.unionByName(inside)).withColumn("band", F.explode(F.array(band, band + 1)))
+    lists = keep(lists.unionByName(alike)).withColumn("band", F.explode(F.array(band, band + 1)))
 
     key = ["token", "band"]
     links = verify(docs, classes, cut(_allowed(stars(lists, percent), classes, percent)), size, percent)
@@ -326,10 +326,10 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
 
     # lists that still hold several components, with all members of their groups
     placed = lists.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    placed = cut(placed)
     mixed = placed.groupBy(*key).agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("size"), F.max("hot").alias("hot")).where("r <> s AND (size > 2 OR hot)").select(*key)
-    left = placed.join(mixed, key)
-    others = classes.join(alike, "group").select("group", F.col("class").alias("other"))
-    others = groups.where("several").select("group", "class").join(others, "group").where("other <> class").select("class", "other")
+    left = cut(placed.join(mixed, key))
+    others = inside.where("class <> first").select(F.col("first").alias("class"), F.col("class").alias("other"))
     more = left.join(others, "class").select(*key, "n", "at", F.col("other").alias("class"))
     more = more.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     left = left.select(*key, "n", "at", "class", "root").unionByName(more.select(*key, "n", "at", "class", "root"))
