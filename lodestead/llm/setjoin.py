@@ -155,6 +155,11 @@ def describe(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> Da
     return map_batches(docs, work, "doc_id long, n long, class long, group long, prefix array<long>, parity array<long>")
 
 
+def _merged(side: DataFrame) -> DataFrame:
+    """The side of a join that is shuffled and sorted at any size: many small broadcasts would fill the driver."""
+    return side.hint("merge")
+
+
 def _possible(a: str, b: str, percent: int) -> Column:
     """What sizes and positions of a shared prefix shingle allow."""
     n, m, i, j = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.at", f"{b}.at"))
@@ -170,7 +175,7 @@ def _differ(a: list[Column], b: list[Column], n: Column, m: Column, percent: int
 
 def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets link."""
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes.select("class", "head"), "class")
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(_merged(classes.select("class", "head")), "class")
 
     def mark(batches):
         table = np.zeros(WANTED, np.uint8)
@@ -193,7 +198,8 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, per
 
     sets = map_batches(docs, read, "class long, found binary").groupBy("class").agg(F.first("found").alias("found"))
     sets = cut(sets)
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("found").alias("y")), "b")
+    both = pairs.join(_merged(sets.select(F.col("class").alias("a"), F.col("found").alias("x"))), "a")
+    both = both.join(_merged(sets.select(F.col("class").alias("b"), F.col("found").alias("y"))), "b")
 
     def compare(batches):
         for batch in batches:
@@ -220,9 +226,9 @@ def components(edges: DataFrame) -> DataFrame:
             mapping = parent.select(F.col("a").alias("class"), F.col("p").alias("root"))
         else:
             step = parent.select(F.col("a").alias("root"), F.col("p"))
-            mapping = mapping.join(step, "root", "left").select("class", F.coalesce("p", "root").alias("root"))
+            mapping = mapping.join(_merged(step), "root", "left").select("class", F.coalesce("p", "root").alias("root"))
         mapping = cut(mapping)
-        edges = edges.join(parent, "a").select("b", F.col("p").alias("a")).join(parent.withColumnsRenamed({"a": "b", "p": "q"}), "b")
+        edges = edges.join(_merged(parent), "a").select("b", F.col("p").alias("a")).join(_merged(parent.withColumnsRenamed({"a": "b", "p": "q"})), "b")
         edges = cut(edges.select("a", F.col("q").alias("b")).where("a <> b").distinct())
         if edges.isEmpty():
             return mapping
@@ -232,7 +238,7 @@ def _allowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose parity bitmaps allow a link."""
     one = classes.select(F.col("class").alias("a"), F.col("n").alias("n"), F.col("parity").alias("x"))
     two = classes.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("parity").alias("y"))
-    both = pairs.join(one, "a").join(two, "b")
+    both = pairs.join(_merged(one), "a").join(_merged(two), "b")
     x, y = ([F.col(c)[i] for i in range(PARITY)] for c in "xy")
     return both.where(_differ(x, y, F.col("n"), F.col("m"), percent)).select("a", "b")
 
@@ -312,10 +318,10 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     groups = words.groupBy("group").agg(F.min("class").alias("class"), F.max("class").alias("last"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     groups = cut(groups.select("group", "class", (F.col("class") != F.col("last")).alias("several"), "n", "prefix"))
     several = cut(groups.where("several").select("group", F.col("class").alias("first")))
-    inside = cut(classes.join(several, "group").select("group", "first", "class", F.col("n").cast("int").alias("n")))
+    inside = cut(classes.join(_merged(several), "group").select("group", "first", "class", F.col("n").cast("int").alias("n")))
     postings = posted(groups)
     shared = postings.groupBy("token").count().where("count > 1").select("token", (F.col("count") > HOT).alias("hot"))
-    lists = postings.join(shared, "token").select("token", "n", "at", "class", "hot")
+    lists = postings.join(_merged(shared), "token").select("token", "n", "at", "class", "hot")
     alike = inside.select(F.col("group").alias("token"), "n", F.lit(0).alias("at"), "class", F.lit(True).alias("hot"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n")
     lists = keep(lists.unionByName(alike)).withColumn("band", F.explode(F.array(band, band + 1)))
@@ -325,29 +331,31 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     roots = components(links)
 
     # lists that still hold several components, with all members of their groups
-    placed = lists.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    placed = lists.join(_merged(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
     placed = cut(placed)
     mixed = placed.groupBy(*key).agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("size"), F.max("hot").alias("hot")).where("r <> s AND (size > 2 OR hot)").select(*key)
-    left = cut(placed.join(mixed, key))
+    left = cut(placed.join(_merged(mixed), key))
     others = inside.where("class <> first").select(F.col("first").alias("class"), F.col("class").alias("other"))
-    more = left.join(others, "class").select(*key, "n", "at", F.col("other").alias("class"))
-    more = more.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    more = left.join(_merged(others), "class").select(*key, "n", "at", F.col("other").alias("class"))
+    more = more.join(_merged(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
     left = left.select(*key, "n", "at", "class", "root").unionByName(more.select(*key, "n", "at", "class", "root"))
     bits = classes.select("class", *[F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)])
-    left = cut(left.join(bits, "class"))
+    left = cut(left.join(_merged(bits), "class"))
     x, y = left.alias("x"), left.alias("y")
     meet = F.col("x.token") == F.col("y.token")
     meet &= (F.col("x.band") == F.col("y.band")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & _possible("x", "y", percent)
     parity = ([F.col(f"{c}.p{i}") for i in range(PARITY)] for c in "xy")
     meet &= _differ(*parity, F.col("x.n"), F.col("y.n"), percent)
     rest = x.hint("merge").join(y, meet).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    rest = cut(rest.join(links, ["a", "b"], "left_anti"))
+    rest = cut(rest.join(_merged(links), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        roots = components(links.union(verify(docs, classes, rest, size, percent)))
+        more = verify(docs, classes, rest, size, percent)
+        if not more.isEmpty():
+            roots = components(links.union(more))
 
-    placed = classes.select("class", "head").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    placed = classes.select("class", "head").join(_merged(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = placed.groupBy("root").agg(F.min("head").alias("component_id"))
-    component = cut(placed.join(least, "root").select("class", "component_id"))
-    full = rows.where("n > 0").join(component, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    component = cut(placed.join(_merged(least), "root").select("class", "component_id"))
+    full = rows.where("n > 0").join(_merged(component), "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(none)
