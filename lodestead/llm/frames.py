@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -64,6 +65,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps left: Spark removes shuffle files, broadcasts and checkpoints once
+    the driver's collector finds them unused, which between many short steps it may not do for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keep(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: like a checkpoint, but compressed
     and by columns, for what is large or read in parts. The folder may go when the job is done."""

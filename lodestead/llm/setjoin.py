@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from lodestead.checkpoints import cut
 from lodestead.llm.blocks import pack, unpack
-from lodestead.llm.frames import ids_and_text, keep, map_batches
+from lodestead.llm.frames import ids_and_text, keep, map_batches, release
 from lodestead.llm.words import Words, hash_words, mix, rows_by_bytes, shingles, utf8
 
 SIZE = 4
@@ -312,7 +312,9 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
     docs = ids_and_text(docs)
+    spark = docs.sparkSession
     rows = keep(describe(docs, frequencies(docs, size), size, percent))
+    release(spark)
     words = rows.where("n > 0")
     classes = cut(words.groupBy("class").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("group").alias("group"), F.first("parity").alias("parity")))
     groups = words.groupBy("group").agg(F.min("class").alias("class"), F.max("class").alias("last"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
@@ -326,9 +328,12 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n")
     lists = keep(lists.unionByName(alike)).withColumn("band", F.explode(F.array(band, band + 1)))
 
+    release(spark)
     key = ["token", "band"]
     links = verify(docs, classes, cut(_allowed(stars(lists, percent), classes, percent)), size, percent)
+    release(spark)
     roots = components(links)
+    release(spark)
 
     # lists that still hold several components, with all members of their groups
     placed = lists.join(_merged(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -348,11 +353,14 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     meet &= _differ(*parity, F.col("x.n"), F.col("y.n"), percent)
     rest = x.hint("merge").join(y, meet).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
     rest = cut(rest.join(_merged(links), ["a", "b"], "left_anti"))
+    release(spark)
     if not rest.isEmpty():
         more = verify(docs, classes, rest, size, percent)
+        release(spark)
         if not more.isEmpty():
             roots = components(links.union(more))
 
+    release(spark)
     placed = classes.select("class", "head").join(_merged(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = placed.groupBy("root").agg(F.min("head").alias("component_id"))
     component = cut(placed.join(_merged(least), "root").select("class", "component_id"))
