@@ -167,9 +167,10 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (rest * (100 + percent) >= percent * (n + m))
 
 
-def _differ(a: list[Column], b: list[Column], n: Column, m: Column, percent: int) -> Column:
+def _differ(a: Column, b: Column, n: Column, m: Column, percent: int) -> Column:
     """Whether the parity bitmaps allow a link: they differ in no more places than linked sets can."""
-    far = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a[1:], b[1:])), F.bit_count(a[0].bitwiseXOR(b[0])))
+    places = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int"))
+    far = F.aggregate(places, F.lit(0), lambda total, x: total + x)
     return far * (100 + percent) <= (100 - percent) * (n + m)
 
 
@@ -239,8 +240,7 @@ def _allowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     one = classes.select(F.col("class").alias("a"), F.col("n").alias("n"), F.col("parity").alias("x"))
     two = classes.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("parity").alias("y"))
     both = pairs.join(_merged(one), "a").join(_merged(two), "b")
-    x, y = ([F.col(c)[i] for i in range(PARITY)] for c in "xy")
-    return both.where(_differ(x, y, F.col("n"), F.col("m"), percent)).select("a", "b")
+    return both.where(_differ(F.col("x"), F.col("y"), F.col("n"), F.col("m"), percent)).select("a", "b")
 
 
 def posted(groups: DataFrame) -> DataFrame:
@@ -344,13 +344,11 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     more = left.join(_merged(others), "class").select(*key, "n", "at", F.col("other").alias("class"))
     more = more.join(_merged(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
     left = left.select(*key, "n", "at", "class", "root").unionByName(more.select(*key, "n", "at", "class", "root"))
-    bits = classes.select("class", *[F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)])
-    left = cut(left.join(_merged(bits), "class"))
+    left = cut(left.join(_merged(classes.select("class", "parity")), "class"))
     x, y = left.alias("x"), left.alias("y")
     meet = F.col("x.token") == F.col("y.token")
     meet &= (F.col("x.band") == F.col("y.band")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & _possible("x", "y", percent)
-    parity = ([F.col(f"{c}.p{i}") for i in range(PARITY)] for c in "xy")
-    meet &= _differ(*parity, F.col("x.n"), F.col("y.n"), percent)
+    meet &= _differ(F.col("x.parity"), F.col("y.parity"), F.col("x.n"), F.col("y.n"), percent)
     rest = x.hint("merge").join(y, meet).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
     rest = cut(rest.join(_merged(links), ["a", "b"], "left_anti"))
     release(spark)
