@@ -40,7 +40,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.checkpoints import cut
 from lodestead.llm.blocks import pack, unpack
 from lodestead.llm.frames import ids_and_text, keep, map_batches, release
 from lodestead.llm.words import Words, hash_words, mix, rows_by_bytes, shingles, utf8
@@ -198,7 +197,7 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, per
                 yield {"class": [signature(s) for s in sets], "found": [s.tobytes() for s in sets]}
 
     sets = map_batches(docs, read, "class long, found binary").groupBy("class").agg(F.first("found").alias("found"))
-    sets = cut(sets)
+    sets = keep(sets)
     both = pairs.join(_merged(sets.select(F.col("class").alias("a"), F.col("found").alias("x"))), "a")
     both = both.join(_merged(sets.select(F.col("class").alias("b"), F.col("found").alias("y"))), "b")
 
@@ -212,7 +211,7 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, per
             part = batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
             yield {"a": part.column(0), "b": part.column(1)}
 
-    return cut(map_batches(both.select("a", "b", "x", "y"), compare, "a long, b long"))
+    return keep(map_batches(both.select("a", "b", "x", "y"), compare, "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -222,15 +221,15 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.where("a <> b").distinct()
     while True:
         both = edges.select("a", "b").union(edges.select("b", "a"))
-        parent = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")))
+        parent = keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")))
         if mapping is None:
             mapping = parent.select(F.col("a").alias("class"), F.col("p").alias("root"))
         else:
             step = parent.select(F.col("a").alias("root"), F.col("p"))
             mapping = mapping.join(_merged(step), "root", "left").select("class", F.coalesce("p", "root").alias("root"))
-        mapping = cut(mapping)
+        mapping = keep(mapping)
         edges = edges.join(_merged(parent), "a").select("b", F.col("p").alias("a")).join(_merged(parent.withColumnsRenamed({"a": "b", "p": "q"})), "b")
-        edges = cut(edges.select("a", F.col("q").alias("b")).where("a <> b").distinct())
+        edges = keep(edges.select("a", F.col("q").alias("b")).where("a <> b").distinct())
         if edges.isEmpty():
             return mapping
 
@@ -316,11 +315,11 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     rows = keep(describe(docs, frequencies(docs, size), size, percent))
     release(spark)
     words = rows.where("n > 0")
-    classes = cut(words.groupBy("class").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("group").alias("group"), F.first("parity").alias("parity")))
+    classes = keep(words.groupBy("class").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("group").alias("group"), F.first("parity").alias("parity")))
     groups = words.groupBy("group").agg(F.min("class").alias("class"), F.max("class").alias("last"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    groups = cut(groups.select("group", "class", (F.col("class") != F.col("last")).alias("several"), "n", "prefix"))
-    several = cut(groups.where("several").select("group", F.col("class").alias("first")))
-    inside = cut(classes.join(_merged(several), "group").select("group", "first", "class", F.col("n").cast("int").alias("n")))
+    groups = keep(groups.select("group", "class", (F.col("class") != F.col("last")).alias("several"), "n", "prefix"))
+    several = keep(groups.where("several").select("group", F.col("class").alias("first")))
+    inside = keep(classes.join(_merged(several), "group").select("group", "first", "class", F.col("n").cast("int").alias("n")))
     postings = posted(groups)
     shared = postings.groupBy("token").count().where("count > 1").select("token", (F.col("count") > HOT).alias("hot"))
     lists = postings.join(_merged(shared), "token").select("token", "n", "at", "class", "hot")
@@ -330,27 +329,27 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
 
     release(spark)
     key = ["token", "band"]
-    links = verify(docs, classes, cut(_allowed(stars(lists, percent), classes, percent)), size, percent)
+    links = verify(docs, classes, keep(_allowed(stars(lists, percent), classes, percent)), size, percent)
     release(spark)
     roots = components(links)
     release(spark)
 
     # lists that still hold several components, with all members of their groups
     placed = lists.join(_merged(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    placed = cut(placed)
+    placed = keep(placed)
     mixed = placed.groupBy(*key).agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("size"), F.max("hot").alias("hot")).where("r <> s AND (size > 2 OR hot)").select(*key)
-    left = cut(placed.join(_merged(mixed), key))
+    left = keep(placed.join(_merged(mixed), key))
     others = inside.where("class <> first").select(F.col("first").alias("class"), F.col("class").alias("other"))
     more = left.join(_merged(others), "class").select(*key, "n", "at", F.col("other").alias("class"))
     more = more.join(_merged(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
     left = left.select(*key, "n", "at", "class", "root").unionByName(more.select(*key, "n", "at", "class", "root"))
-    left = cut(left.join(_merged(classes.select("class", "parity")), "class"))
+    left = keep(left.join(_merged(classes.select("class", "parity")), "class"))
     x, y = left.alias("x"), left.alias("y")
     meet = F.col("x.token") == F.col("y.token")
     meet &= (F.col("x.band") == F.col("y.band")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & _possible("x", "y", percent)
     meet &= _differ(F.col("x.parity"), F.col("y.parity"), F.col("x.n"), F.col("y.n"), percent)
     rest = x.hint("merge").join(y, meet).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    rest = cut(rest.join(_merged(links), ["a", "b"], "left_anti"))
+    rest = keep(rest.join(_merged(links), ["a", "b"], "left_anti"))
     release(spark)
     if not rest.isEmpty():
         more = verify(docs, classes, rest, size, percent)
@@ -361,7 +360,7 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     release(spark)
     placed = classes.select("class", "head").join(_merged(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = placed.groupBy("root").agg(F.min("head").alias("component_id"))
-    component = cut(placed.join(_merged(least), "root").select("class", "component_id"))
+    component = keep(placed.join(_merged(least), "root").select("class", "component_id"))
     full = rows.where("n > 0").join(_merged(component), "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(none)
