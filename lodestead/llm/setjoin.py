@@ -16,8 +16,8 @@ the smallest id that links lead to; pairs are never listed in full.
    Pairs that sizes, the positions in the prefixes and parity bitmaps (which bound the
    difference of two sets from below) allow are verified on the whole sets, and linked
    classes contracted to components.
-4. The rest: groups of lists that still hold several components are expanded to their
-   members, and members of different components meet under the same filters, are
+4. The rest: lists whose groups' members are still of several components are expanded to
+   these members, and members of different components meet under the same filters, are
    verified, and contracted. Nothing that can link is left out; what a list holds of one
    component meets no more.
 
@@ -322,8 +322,8 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     inside = keep(classes.join(_merged(several), "group").select("group", "first", "class", F.col("n").cast("int").alias("n")))
     postings = posted(groups)
     shared = postings.groupBy("token").count().where("count > 1").select("token", (F.col("count") > HOT).alias("hot"))
-    lists = postings.join(_merged(shared), "token").select("token", "n", "at", "class", "hot")
-    alike = inside.select(F.col("group").alias("token"), "n", F.lit(0).alias("at"), "class", F.lit(True).alias("hot"))
+    lists = postings.join(_merged(shared), "token").select("token", "n", "at", "class", "hot", F.lit(False).alias("alike"))
+    alike = inside.select(F.col("group").alias("token"), "n", F.lit(0).alias("at"), "class", F.lit(True).alias("hot"), F.lit(True).alias("alike"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n")
     lists = keep(lists.unionByName(alike)).withColumn("band", F.explode(F.array(band, band + 1)))
 
@@ -334,13 +334,19 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     roots = components(links)
     release(spark)
 
-    # lists that still hold several components, with all members of their groups
+    # lists that still hold several components, with all members of their groups; what one group alone
+    # holds meets in its own list
+    spread = inside.join(_merged(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    spread = spread.groupBy(F.col("first").alias("class")).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
     placed = lists.join(_merged(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    placed = keep(placed)
-    mixed = placed.groupBy(*key).agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("size"), F.max("hot").alias("hot")).where("r <> s AND (size > 2 OR hot)").select(*key)
+    placed = keep(placed.join(_merged(spread), "class", "left"))
+    mixed = placed.groupBy(*key).agg(
+        F.min(F.coalesce("low", "root")).alias("r"), F.max(F.coalesce("high", "root")).alias("s"), F.count("*").alias("groups"),
+        F.sum(F.coalesce("members", F.lit(1))).alias("members"), F.max("hot").alias("hot"),
+    ).where("r <> s AND groups > 1 AND (members > 2 OR hot)").select(*key)
     left = keep(placed.join(_merged(mixed), key))
     others = inside.where("class <> first").select(F.col("first").alias("class"), F.col("class").alias("other"))
-    more = left.join(_merged(others), "class").select(*key, "n", "at", F.col("other").alias("class"))
+    more = left.where("NOT alike").join(_merged(others), "class").select(*key, "n", "at", F.col("other").alias("class"))
     more = more.join(_merged(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
     left = left.select(*key, "n", "at", "class", "root").unionByName(more.select(*key, "n", "at", "class", "root"))
     left = keep(left.join(_merged(classes.select("class", "parity")), "class"))

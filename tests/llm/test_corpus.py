@@ -143,6 +143,30 @@ def test_jaccard_join_without_any_pruning(spark, monkeypatch):
     assert sorted(map(tuple, setjoin.similar(docs).collect())) == sorted(classes(rows))
 
 
+def test_jaccard_join_of_groups_with_several_sets(spark):
+    """Sets of equal size and prefix, of which only one stands for the others in the lists."""
+    common = "this phrase stands before every passage".split()
+    passages = {x: [f"{x}{i}" for i in range(60)] for x in "xy"}
+    steps = [[f"z{i}" if i >= 5 * j else f"v{i}" for i in range(60)] for j in range(3)]  # neighbours link, the ends do not
+    rows, orders = [], set()
+    for passage in [*passages.values(), *steps]:
+        for _ in range(25):
+            rows.append((1000 + len(rows), " ".join([f"own{len(rows)}of{i}" for i in range(30)] + common + passage)))
+    for k in range(8):
+        own = [f"r{k}of{i}" for i in range(60)] + common
+        a, b = own + passages["x"], own + passages["y"]
+        sets = [next(setjoin._sets(setjoin.hash_words(*setjoin.utf8(pa.array([" ".join(t)]))), 4)) for t in (a, b)]
+        orders.add(setjoin.signature(sets[0]) < setjoin.signature(sets[1]))
+        rows += [(10 * k + i, " ".join(t)) for i, t in enumerate([a, b, b + ["end"]])]
+        own = [f"s{k}of{i}" for i in range(60)] + common
+        rows += [(10 * k + 5 + i, " ".join(t)) for i, t in enumerate([own + steps[0], own + steps[2], own + steps[1] + ["end"], own + steps[1] + ["tail"]])]
+    assert orders == {True, False}
+    expected = sorted(classes(rows))
+    assert [c for key, _, c in expected if key < 9] == [0, 1, 1, 5, 5, 5, 5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, setjoin.similar(docs).collect())) == expected
+
+
 # -- PII ----------------------------------------------------------------------
 
 PATTERNS = {
