@@ -314,6 +314,26 @@ def test_language_model_floor_rises_until_it_fits(spark):
     assert (roomy.count(hashes) > 0).all() and (tight.count(hashes[::10]) > 0).all()
 
 
+def test_language_model_beyond_the_broadcast_limit(spark):
+    """Filters too large to be broadcast are asked where they lie: no count is dropped, and scores stay the same."""
+    from lodestead.llm.frames import bucket
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 80) % 3000) for _ in range(60)] + [None, "", "once in all texts", "never seen"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    held = bucket(docs.doc_id, 7) == 2
+    whole, asked = ({r.doc_id: r for r in bloomlm.score(docs, held, **limit).collect()} for limit in ({}, {"max_bits": 64}))
+    assert whole == asked and len(whole) == len(texts)
+    assert bloomlm.score(docs.limit(0), held, max_bits=64).count() == 0
+    nothing = bloomlm.score(docs, docs.doc_id.isNotNull(), max_bits=64).collect()
+    assert all(r.score == 0 for r in nothing)
+    # without a limit of its own the filter keeps all keys, however many they are
+    hashes = np.sort(bloomlm.mix(np.arange(1, 1_000_001, dtype=np.uint64)))
+    keys, levels = bloomlm._keys(hashes, np.full(len(hashes), 1 << 13))
+    frame = spark.createDataFrame([(-1, 0, bytearray(keys), bytearray(levels))], "block long, segment int, data binary, levels binary")
+    assert bloomlm.build(frame, 1).floor == 0
+
+
 def test_model_beats_its_base_on_held_out_texts(spark):
     rows = [r for r in QUERIES["op10_lm_scoring"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
