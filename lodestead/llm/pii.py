@@ -14,10 +14,15 @@ distinct texts with the term anywhere,
     disclosure = log(N * n_te / (n_t * n_e)) / log(N / n_e)
 
 is the share of the entity's information content that the term carries (1: the
-term occurs with that entity only). A term that at least ``SUPPORT`` distinct
-contexts support and whose disclosure reaches ``ALPHA`` is a span of kind ``term``
-wherever a text names the entity, unless it lies in a base span. Equal contexts and
-equal texts count once, so that copies of one text disclose nothing.
+term occurs with that entity only). Every rare word beside a value met it once, so the
+meeting that makes a pair a candidate tells nothing: the same share is estimated with one
+text left out (each count of texts, N too, less one), where n_te and n_e count the texts that
+contexts stand in. It needs no least number: what recurs with a value in a second text counts,
+what one text alone shows gets none. Pairs of ``SUPPORT`` contexts or more, be they of one text, may
+reach ``ALPHA`` by the plain share as well. A term whose disclosure, the greater of both, reaches
+``ALPHA`` is a span of kind ``term`` wherever a text names the entity, unless it lies in a
+base span. Equal contexts and equal texts count once, so that copies of one text disclose
+nothing.
 
 What is broadcast is checked: candidate terms and disclosing pairs beyond
 ``BROADCAST_ROWS`` are joined by shuffling. Spans of a text are gathered within
@@ -41,8 +46,9 @@ CONTEXT = 8
 SUPPORT = 3
 ALPHA = 0.9
 BROADCAST_ROWS = 100_000
-#: Characters on either side of a mention in which its context is looked for.
-REACH = 200
+#: Characters on either side of a mention in which its context is looked for: the first that hold
+#: all its words, or else the whole side.
+REACHES = (200, 4000)
 
 _LOCAL = "A-Za-z0-9._%+-"
 _LABEL = "[A-Za-z0-9-]++"
@@ -139,18 +145,27 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", _named(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _nearest(text: Column, begin: Column, end: Column) -> Column:
+    """The ``CONTEXT`` words before ``begin`` and after ``end``, or as many as there are."""
+    last = lambda w: F.slice(w, F.greatest(F.size(w) - CONTEXT, F.lit(0)) + 1, F.lit(CONTEXT))
+    before = last(words_of(F.substring(text, F.lit(1), begin)))
+    after = F.slice(words_of(F.substring(text, end + 1, F.length(text))), 1, CONTEXT)
+    for reach in reversed(REACHES):
+        start = F.greatest(begin - reach, F.lit(0))
+        piece = F.substring(text, start + 1, begin - start)
+        # a word that the reach cuts is left out, and looked for farther off if it is needed
+        found = words_of(F.when(start > 0, F.regexp_replace(piece, r"^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "")).otherwise(piece))
+        before = F.when((F.size(found) >= CONTEXT) | (start == 0), last(found)).otherwise(before)
+        piece = F.substring(text, end + 1, F.lit(reach))
+        found = words_of(F.when(F.length(piece) == reach, F.regexp_replace(piece, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+$", "")).otherwise(piece))
+        after = F.when((F.size(found) >= CONTEXT) | (F.length(piece) < reach), F.slice(found, 1, CONTEXT)).otherwise(after)
+    return F.concat(before, after)
+
+
 def _contexts(rows: DataFrame) -> DataFrame:
     """Distinct (entity, context) with the context's distinct terms and a text that has it."""
     mention = rows.select("text", F.xxhash64("text").alias("print"), F.explode("base").alias("s"))
-    begin, end = F.greatest(F.col("s.start") - REACH, F.lit(0)), F.col("s.end")
-    before = F.substring("text", begin + 1, F.col("s.start") - begin)
-    after = F.substring("text", end + 1, F.lit(REACH))
-    # a word that the reach cuts is left out
-    before = F.when(begin > 0, F.regexp_replace(before, r"^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "")).otherwise(before)
-    after = F.when(F.length(after) == REACH, F.regexp_replace(after, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+$", "")).otherwise(after)
-    left, right = words_of(before), words_of(after)
-    near = F.concat(F.slice(left, F.greatest(F.size(left) - CONTEXT, F.lit(0)) + 1, F.lit(CONTEXT)), F.slice(right, 1, CONTEXT))
-    seen = mention.select(_entity(F.col("s")).alias("entity"), near.alias("near"), "print")
+    seen = mention.select(_entity(F.col("s")).alias("entity"), _nearest(F.col("text"), F.col("s.start"), F.col("s.end")).alias("near"), "print")
     seen = seen.groupBy("entity", F.xxhash64("near").alias("context")).agg(F.first("near").alias("near"), F.min("print").alias("print"))
     return seen.select("entity", "print", F.filter(F.array_distinct("near"), lambda t: (F.length(t) >= 3) & t.rlike("[^0-9]")).alias("terms"))
 
@@ -159,25 +174,40 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
+def _disclosure(n: float, n_t: Column, support: int) -> Column:
+    """The disclosure of a term that ``n_t`` texts have, from counts of contexts (c) and of their texts (n)."""
+    plain = F.log(F.try_divide(n * F.col("c_te"), n_t * F.col("c_e"))) / F.log(n / F.col("c_e"))
+    plain = F.when((F.col("c_te") >= support) & (F.col("c_e") < n), plain)
+    others = F.try_divide((n - 1) * (F.col("n_te") - 1), (n_t - 1) * (F.col("n_e") - 1))
+    left_out = F.when((F.col("n_te") > 1) & (F.col("n_e") < n), F.log(others) / F.log((n - 1) / (F.col("n_e") - 1)))
+    return F.least(F.lit(1.0), F.greatest(plain, left_out))
+
+
 def disclosing(docs: DataFrame, rows: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """``entity``, ``term`` and ``disclosure`` for the terms that reach ``alpha``. ``docs`` has the texts of the
     corpus, ``rows`` those with base spans."""
     contexts = cut(_contexts(rows))
-    entities = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    pairs = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+
+    def counted(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        by_text = rows.groupBy(*keys, "print").agg(F.count("*").alias("c"))
+        return by_text.groupBy(*keys).agg(F.sum("c").alias(f"c_{name}"), F.count("*").alias(f"n_{name}"))
+
+    met = contexts.select("entity", "print", F.explode("terms").alias("term"))
+    recurring = lambda name: (F.col(f"n_{name}") > 1) | (F.col(f"c_{name}") >= support)
+    entities = counted(contexts.select("entity", "print"), ["entity"], "e").where(recurring("e"))
+    pairs = counted(met, ["entity", "term"], "te").where(recurring("te"))
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = float(max(1, texts.select(F.xxhash64("text")).distinct().count()))
     # a term is in at least as many texts as contexts show: pairs that cannot reach alpha any more need no counting
-    least = contexts.select(F.explode("terms").alias("term"), "print").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    least = met.select("term", "print").distinct().groupBy("term").agg(F.count("*").alias("least"))
     pairs = pairs.join(entities, "entity").join(least, "term")
-    pairs = cut(pairs.where(F.col("least") <= F.col("n_te") * F.pow(n / F.col("n_e"), F.lit(1 - alpha)) * (1 + 1e-9)))
+    pairs = cut(pairs.where(_disclosure(n, F.col("least"), support) >= alpha - 1e-9))
     terms = pairs.select("term").distinct()
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
     words = texts.select(F.xxhash64("text").alias("print"), F.explode(words_of(F.col("text"))).alias("term"))
     counts = words.join(_small(terms), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    share = F.log(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e"))
-    scored = pairs.join(counts, "term").where(F.col("n_e") < n).select("entity", "term", F.least(F.lit(1.0), share).alias("disclosure"))
+    scored = pairs.join(counts, "term").select("entity", "term", _disclosure(n, F.col("n_t"), support).alias("disclosure"))
     return cut(scored.where(F.col("disclosure") >= alpha))
 
 

@@ -225,6 +225,19 @@ def test_disclosing_terms(spark):
     assert not any("term" in r.spans for r in pii.report(docs).collect())
 
 
+def test_terms_of_rare_values(spark):
+    secret = ["a note by Quixotl (ann@x.org) on rivers", "later Quixotl moved, ask ann@x.org for more", "once only Zebulon wrote bob@y.org here"]
+    long = "9" * 150 + "x"  # the context is eight words however long they are
+    secret += [f"Umbriel {long} {long} cat@z.org first", f"then Umbriel {long}y {long}z cat@z.org second"]
+    secret += [f"dan@w.org {'q' * 250} Ariel one", f"two {'r' * 5000} Ariel {'s' * 250} dan@w.org"]
+    secret += ["eve@v.org met Tethys, eve@v.org and Tethys again"]  # what one text shows twice
+    texts = secret + [f"some other thing number {i} on rivers for more" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    found = [sorted({texts[i][a:b] for a, b in (map(int, s.split(":")[1:]) for s in spans[i].split(",") if s.startswith("term"))}) for i in range(len(texts))]
+    assert found == [["Quixotl"]] * 2 + [[]] + [["Umbriel"]] * 2 + [["Ariel"]] * 2 + [[]] * 41
+
+
 # -- fingerprints -------------------------------------------------------------
 
 
