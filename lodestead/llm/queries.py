@@ -97,7 +97,8 @@ FROM words LEFT JOIN covered ON id = covered.doc_id LEFT JOIN found ON id = foun
 @query("op2_decontaminate", _OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
-    return found.withColumn("items", F.sha2(F.array_join("items", ","), 256)).withColumnRenamed("items", "items_sha256")
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
 @query("op3_jaccard_join")

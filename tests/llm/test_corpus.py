@@ -65,6 +65,29 @@ def test_decontamination(spark, rows):
     assert not any(r.contaminated for r in decontaminate.report(docs, benchmark.limit(0)).collect())
 
 
+def test_decontamination_keeps_what_is_little_contaminated(spark):
+    a = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, a), (1, "clean text"), (2, a + " other" * 100), (None, a), (3, None)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, a)], "item_id long, text string")
+    left = decontaminate.clean(docs, benchmark, 0.5).collect()
+    assert sorted(((r.doc_id or 0), len((r.text or "").split())) for r in left) == [(1, 2), (2, 112), (3, 0)]
+
+
+def test_decontamination_is_linear_in_a_text(spark):
+    import time
+
+    benchmark = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20))), (2, "short item")], "item_id long, text string")
+
+    def seconds(n):
+        docs = spark.createDataFrame([(i, " ".join(f"Word{(j * j + i) % 5000}" for j in range(n))) for i in range(40)], "doc_id long, text string").repartition(4)
+        began = time.perf_counter()
+        assert {r.n_words for r in decontaminate.report(docs, benchmark).collect()} == {n}
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(20_000) < 12 * seconds(2_000)
+
+
 def test_decontamination_twin(spark):
     duck = duckdb.connect()
     for name in ("documents", "benchmark"):
@@ -136,8 +159,9 @@ def test_jaccard_join(spark, monkeypatch):
 def test_jaccard_join_without_any_pruning(spark, monkeypatch):
     """Tables so small that they are full change nothing."""
     monkeypatch.setattr(setjoin, "SLOTS", 128)
-    monkeypatch.setattr(setjoin, "TOKENS", 128)
-    monkeypatch.setattr(setjoin, "WANTED", 128)
+    monkeypatch.setattr(setjoin, "MOST_WANTED", 128)
+    monkeypatch.setattr(setjoin, "BLOCK", 7)
+    monkeypatch.setattr("lodestead.llm.frames.BATCH_ROWS", 5)
     rows = near_copies()[:120]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, setjoin.similar(docs).collect())) == sorted(classes(rows))
