@@ -10,6 +10,8 @@ everywhere but in the document with the largest id among those that hold them.
 2. Hashes that occur in few rows are set aside by a count that is combined before the
    shuffle. Of the others the distinct documents are counted in two levels, first
    by hash and document, then by hash, so that a line of very many documents is spread.
+   Both lists of hashes are kept before the lines are joined to them: an aggregate inside the join would
+   fix how its lines are dealt, and Spark could not split those of one hash.
 3. Positions of common lines come back by document and are gathered there (a document
    bounds their number); the text is put together from the positions that are left, in linear time.
 
@@ -56,11 +58,11 @@ def long_lines(docs: DataFrame, least: int) -> DataFrame:
 def common_lines(lines: DataFrame, documents: int) -> tuple[DataFrame, DataFrame]:
     """The rows of ``lines`` whose hash occurs often enough to be common, and of the common hashes
     the number of documents and the one that keeps its lines (null: those without an id)."""
-    often = lines.groupBy("h", "i").agg(F.count("*").alias("rows")).where(F.col("rows") >= documents).select("h", "i")
+    often = keep(lines.groupBy("h", "i").agg(F.count("*").alias("rows")).where(F.col("rows") >= documents).select("h", "i"))
     met = keep(lines.join(often, ["h", "i"]))
     each = met.groupBy("h", "i", "doc_id").agg(F.lit(1).alias("one"))
     common = each.groupBy("h", "i").agg(F.count("*").alias("n_documents"), F.max("doc_id").alias("keeper")).where(F.col("n_documents") >= documents)
-    return met, common
+    return met, keep(common)
 
 
 def deduplicate(docs: DataFrame, least: int = LEAST, documents: int = DOCUMENTS) -> DataFrame:
