@@ -11,6 +11,7 @@ the smallest id that links lead to; pairs are never listed in full.
 2. Equal sets form a class. A set's prefix holds its rarest shingles, as many that two
    linked sets must share one. Classes of equal prefix and size form a group, and only
    groups enter the lists of prefix shingles.
+   Of the lists, which are dealt by shingle, those of one group only are dropped where they lie.
 3. Stars: in each list (of a shingle, within a band of sizes) every group meets the list's first
    group and the one before it.
    Pairs that sizes, the positions in the prefixes and parity bitmaps (which bound the
@@ -19,10 +20,12 @@ the smallest id that links lead to; pairs are never listed in full.
 4. The rest: lists whose groups' members are still of several components are expanded to
    these members, and members of different components meet under the same filters, are
    verified, and contracted. Nothing that can link is left out; what a list holds of one
-   component meets no more.
+   component meets no more. A long list is cut into blocks, and each block meets all
+   of the list's members in a place of its own, so that one list is the work of many tasks.
 
 Shingles, and classes, are told apart by 64-bit hashes. Sets are read again only of
-documents in surviving pairs, by a bitmap of fixed size. Results between steps are
+documents in surviving pairs, by a bitmap that grows with their number up to ``MOST_WANTED`` bits (a
+full one costs time, never links). Results between steps are
 checkpointed; nothing but tables of fixed size and counts passes the driver.
 
 Defined results: documents without words (null, empty, blank) have size 0 and are their own
@@ -46,11 +49,11 @@ from lodestead.llm.words import Words, hash_words, mix, rows_by_bytes, shingles,
 
 SIZE = 4
 PERCENT = 85
-#: Counters of the frequency table, and bits of the table of wanted documents.
+#: Counters of the frequency table. What shares a counter by chance grows with the input as common shingles do.
 SLOTS = 1 << 22
-WANTED = 1 << 24
-#: Counters of the table of prefix shingles.
-TOKENS = 1 << 25
+#: Bits for each wanted document, and in all.
+WANTED = 16
+MOST_WANTED = 1 << 28
 #: Ranges in which tables of fixed size are summed.
 RANGES = 16
 #: 64-bit words of a parity bitmap.
@@ -58,6 +61,8 @@ PARITY = 16
 #: Places among which the groups of a list of more than ``HOT`` are dealt out.
 SALTS = 4
 HOT = 64
+#: Members of a block of a long list.
+BLOCK = 2000
 
 
 def _pieces(batches, column: int):
@@ -176,21 +181,25 @@ def _differ(a: Column, b: Column, n: Column, m: Column, percent: int) -> Column:
 def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets link."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(_merged(classes.select("class", "head")), "class")
+    wanted = keep(wanted)
+    bits = min(MOST_WANTED, max(1 << 7, 1 << (WANTED * wanted.count()).bit_length()))
+
+    def places(column):
+        ids = np.array([0 if i is None else i for i in column.to_pylist()], np.int64)
+        return (mix(ids.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
 
     def mark(batches):
-        table = np.zeros(WANTED, np.uint8)
+        table = np.zeros(bits, np.uint8)
         for batch in batches:
-            ids = np.array([0 if i is None else i for i in batch.column(0).to_pylist()], np.int64)
-            table[(mix(ids.view(np.uint64)) & np.uint64(WANTED - 1)).astype(np.int64)] = 1
+            table[places(batch.column(0))] = 1
         return table
 
-    shared = docs.sparkSession.sparkContext.broadcast(_table(wanted.select("head"), mark, WANTED, _at_least(1)))
+    shared = docs.sparkSession.sparkContext.broadcast(_table(wanted.select("head"), mark, bits, _at_least(1)))
 
     def read(batches):
         table = shared.value
         for batch in batches:
-            ids = np.array([0 if i is None else i for i in batch.column(0).to_pylist()], np.int64)
-            at = (mix(ids.view(np.uint64)) & np.uint64(WANTED - 1)).astype(np.int64)
+            at = places(batch.column(0))
             part = batch.filter(pa.array((table[at >> 3] >> (7 - (at & 7))) & 1 == 1))
             for _, words in _pieces([part], 1):
                 sets = list(_sets(words, size))
@@ -243,33 +252,45 @@ def _allowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def posted(groups: DataFrame) -> DataFrame:
-    """``token``, ``at``, ``n`` and ``class`` of the groups' prefixes, without tokens that a table of fixed
-    size shows to be in one prefix only."""
-
-    def tally(batches):
-        table = np.zeros(TOKENS, np.uint8)
-        for batch in batches:
-            tokens = batch.column(0).flatten().to_numpy().view(np.uint64)
-            at, n = np.unique((mix(tokens) & np.uint64(TOKENS - 1)).astype(np.int64), return_counts=True)
-            table[at] = np.minimum(table[at] + np.minimum(n, 255), 255)
-        return table
-
-    shared = groups.sparkSession.sparkContext.broadcast(_table(groups.select("prefix"), tally, TOKENS, _at_least(2)))
+    """``token``, ``at``, ``n``, ``class`` and ``nth`` (the row's place among those of its token) of the groups' prefixes,
+    without tokens that are in one prefix only. Neighbours in the sorted stream tell, so a list of any length passes by."""
 
     def post(batches):
-        table = shared.value
         for batch in batches:
             lists = batch.column(2)
             sizes = pc.list_value_length(lists).to_numpy()
-            tokens = lists.flatten().to_numpy()
-            slot = (mix(tokens.view(np.uint64)) & np.uint64(TOKENS - 1)).astype(np.int64)
-            kept = (table[slot >> 3] >> (7 - (slot & 7))) & 1 == 1
             row = np.repeat(np.arange(len(sizes)), sizes)
-            at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            row, tokens, at = row[kept], tokens[kept], at[kept]
-            yield {"token": tokens, "at": at.astype(np.int32), "n": batch.column(1).to_numpy()[row].astype(np.int32), "class": batch.column(0).to_numpy()[row]}
+            at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield {"token": lists.flatten(), "at": at.astype(np.int32), "n": batch.column(1).to_numpy()[row].astype(np.int32), "class": batch.column(0).to_numpy()[row]}
+
+    def alone(batches):
+        """Rows whose token is that of the row before or after."""
+        held, place = None, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            own = [batch.column(i).to_numpy() for i in range(4)]
+            if held is not None:
+                own = [np.concatenate(x) for x in zip(held, own)]
+            token = own[0]
+            new = np.append(True, token[1:] != token[:-1])
+            starts = np.flatnonzero(new)
+            nth = np.arange(len(token)) - starts[np.cumsum(new) - 1]
+            nth[: starts[1] if len(starts) > 1 else len(token)] += place
+            several = ~new | np.append(~new[1:], False)
+            several[0] |= place > 0
+            last = len(token) - 1
+            out = np.flatnonzero(several[:last])
+            if len(out):
+                yield {c: x[out] for c, x in zip(names, own)} | {"nth": nth[out]}
+            held, place = [x[last:] for x in own], int(nth[last])
+        if held is not None and place > 0:
+            yield {c: x for c, x in zip(names, held)} | {"nth": [place]}
 
-    return map_batches(groups.select("class", "n", "prefix"), post, "token long, at int, n int, class long")
+    names = ["token", "at", "n", "class"]
+    rows = map_batches(groups.select("class", "n", "prefix"), post, "token long, at int, n int, class long")
+    dealt = rows.repartition("token").sortWithinPartitions("token")
+    return map_batches(dealt, alone, "token long, at int, n int, class long, nth long")
 
 
 def stars(lists: DataFrame, percent: int) -> DataFrame:
@@ -320,9 +341,9 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     groups = keep(groups.select("group", "class", (F.col("class") != F.col("last")).alias("several"), "n", "prefix"))
     several = keep(groups.where("several").select("group", F.col("class").alias("first")))
     inside = keep(classes.join(_merged(several), "group").select("group", "first", "class", F.col("n").cast("int").alias("n")))
-    postings = posted(groups)
-    shared = postings.groupBy("token").count().where("count > 1").select("token", (F.col("count") > HOT).alias("hot"))
-    lists = postings.join(_merged(shared), "token").select("token", "n", "at", "class", "hot", F.lit(False).alias("alike"))
+    postings = keep(posted(groups))
+    hot = keep(postings.where(F.col("nth") == HOT).select("token", F.lit(True).alias("hot")))
+    lists = postings.join(_merged(hot), "token", "left").select("token", "n", "at", "class", F.coalesce("hot", F.lit(False)).alias("hot"), F.lit(False).alias("alike"))
     alike = inside.select(F.col("group").alias("token"), "n", F.lit(0).alias("at"), "class", F.lit(True).alias("hot"), F.lit(True).alias("alike"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n")
     lists = keep(lists.unionByName(alike)).withColumn("band", F.explode(F.array(band, band + 1)))
@@ -350,9 +371,13 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     more = more.join(_merged(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
     left = left.select(*key, "n", "at", "class", "root").unionByName(more.select(*key, "n", "at", "class", "root"))
     left = keep(left.join(_merged(classes.select("class", "parity")), "class"))
-    x, y = left.alias("x"), left.alias("y")
+    blocks = keep(left.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"))
+    left = left.join(_merged(blocks), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    x = left.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).alias("x")
+    y = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     meet = F.col("x.token") == F.col("y.token")
-    meet &= (F.col("x.band") == F.col("y.band")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & _possible("x", "y", percent)
+    meet &= (F.col("x.band") == F.col("y.band")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.class") < F.col("y.class"))
+    meet &= (F.col("x.root") != F.col("y.root")) & _possible("x", "y", percent)
     meet &= _differ(F.col("x.parity"), F.col("y.parity"), F.col("x.n"), F.col("y.n"), percent)
     rest = x.hint("merge").join(y, meet).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
     rest = keep(rest.join(_merged(links), ["a", "b"], "left_anti"))
