@@ -136,13 +136,13 @@ def signature(found: np.ndarray) -> int:
 
 
 def describe(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
-    """For each row its set's size, class, prefix, group and parity bitmap."""
+    """For each row a hash of its text and its set's size, class, prefix, group and parity bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def work(batches):
         level = shared.value
         for part, words in _pieces(batches, 1):
-            rows = {c: [] for c in ("n", "class", "group", "prefix", "parity")}
+            rows = {c: [] for c in ("n", "class", "group", "prefix", "parity")} | {"print": part.column(2)}
             for found in _sets(words, size):
                 n = len(found)
                 keep = n - -(-percent * n // 100) + 1 if n else 0
@@ -156,7 +156,8 @@ def describe(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> Da
                 rows["parity"].append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
             yield {"doc_id": part.column(0), **rows}
 
-    return map_batches(docs, work, "doc_id long, n long, class long, group long, prefix array<long>, parity array<long>")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("print"))
+    return map_batches(rows, work, "doc_id long, print long, n long, class long, group long, prefix array<long>, parity array<long>")
 
 
 def _merged(side: DataFrame) -> DataFrame:
@@ -329,6 +330,12 @@ def stars(lists: DataFrame, percent: int) -> DataFrame:
 
 def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` for every row."""
+    return placed(docs, size, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def placed(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The same with ``print`` (xxhash64 of the text) and ``root``, which all rows of a component share and no others (null
+    without words): it tells components apart also where ids are missing or repeated."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
     docs = ids_and_text(docs)
@@ -359,13 +366,13 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     # holds meets in its own list
     spread = inside.join(_merged(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
     spread = spread.groupBy(F.col("first").alias("class")).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
-    placed = lists.join(_merged(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    placed = keep(placed.join(_merged(spread), "class", "left"))
-    mixed = placed.groupBy(*key).agg(
+    spots = lists.join(_merged(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    spots = keep(spots.join(_merged(spread), "class", "left"))
+    mixed = spots.groupBy(*key).agg(
         F.min(F.coalesce("low", "root")).alias("r"), F.max(F.coalesce("high", "root")).alias("s"), F.count("*").alias("groups"),
         F.sum(F.coalesce("members", F.lit(1))).alias("members"), F.max("hot").alias("hot"),
     ).where("r <> s AND groups > 1 AND (members > 2 OR hot)").select(*key)
-    left = keep(placed.join(_merged(mixed), key))
+    left = keep(spots.join(_merged(mixed), key))
     others = inside.where("class <> first").select(F.col("first").alias("class"), F.col("class").alias("other"))
     more = left.where("NOT alike").join(_merged(others), "class").select(*key, "n", "at", F.col("other").alias("class"))
     more = more.join(_merged(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -389,9 +396,9 @@ def similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
             roots = components(links.union(more))
 
     release(spark)
-    placed = classes.select("class", "head").join(_merged(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = placed.groupBy("root").agg(F.min("head").alias("component_id"))
-    component = keep(placed.join(_merged(least), "root").select("class", "component_id"))
-    full = rows.where("n > 0").join(_merged(component), "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    whole = classes.select("class", "head").join(_merged(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    least = whole.groupBy("root").agg(F.min("head").alias("component_id"))
+    component = keep(whole.join(_merged(least), "root").select("class", "root", "component_id"))
+    full = rows.where("n > 0").join(_merged(component), "class").select("doc_id", "print", F.col("n").alias("n_shingles"), "root", "component_id")
+    none = rows.where("n = 0").select("doc_id", "print", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
     return full.unionByName(none)

@@ -105,6 +105,20 @@ def test_pipeline(spark, tmp_path):
         assert none.count() == 0 and (name == "bpe" or none.columns == docs.columns)
 
 
+def test_pipeline_keeps_unlike_texts(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    stages = dict(corpus_pipeline.STAGES)
+    nothing = spark.createDataFrame([(1, "some text", None, "s", 9), (2, "other words", None, "s", 11), (3, "12 34", None, "s", 5), (4, None, None, "s", 0)], schema)
+    assert sorted(r.doc_id for r in stages["language_id"](spark, nothing, "").collect()) == [1, 2]
+    near = stages["jaccard_join"]
+    assert near(spark, spark.createDataFrame([(None, f"text of its own number {i}", "en", "s", 1) for i in "abc"], schema), "").count() == 3
+    assert near(spark, spark.createDataFrame([(5, "one text of that id", "en", "s", 1), (5, "quite another one", "en", "s", 1)], schema), "").count() == 2
+    rows = [(None, "a text of several rows", "en", "s", 1)] * 3 + [(7, "a text of several rows", "en", "s", 1), (8, "A text of several rows", "en", "s", 1), (9, " ", "en", "s", 1), (9, " ", "en", "s", 1)]
+    assert sorted(r.doc_id for r in near(spark, spark.createDataFrame(rows, schema), "").collect()) == [7, 9, 9]
+    equal = near(spark, spark.createDataFrame([(7, "same text", "fr", "s", 1), (7, "same text", "en", "t", 2)], schema), "").collect()
+    assert [tuple(r) for r in equal] == [(7, "same text", "en", "t", 2)]
+
+
 def test_stages_compose_to_the_run(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
