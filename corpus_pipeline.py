@@ -4,10 +4,12 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before ke
 what it returns is written as Parquet and read again as the next one's documents.
 All but the last keep the columns of ``documents``.
 
-1. Language ID drops documents that have no language: null texts and texts without a letter.
-2. The n-gram Jaccard join keeps of each component of near-duplicates the document with
-   the smallest id (of repeated rows of that id, the one whose text is the least).
-   Documents without words are no duplicates of each other and stay.
+1. Language ID drops documents that have no language: null texts and texts without a letter. Where no
+   row has a language to learn from, all others stay.
+2. The n-gram Jaccard join keeps of each component of near-duplicate texts one row: that of the
+   smallest id (of several texts of that id, the one whose hash is the least; of rows
+   without an id one if there is no other; of equal rows one). Different texts stay, whether or not they
+   have an id of their own. Documents without words are no duplicates of each other and stay.
 3. Benchmark decontamination drops documents that share ten consecutive words with
    a benchmark item, or a whole shorter item.
 4. PII generalises personal data, and terms that disclose it, to their kinds in brackets,
@@ -33,19 +35,29 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.predict(docs, langid.train(docs), out="_language", score="_score")
+    model = langid.train(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.predict(docs, model, out="_language", score="_score")
     return found.where(F.col("_language") != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = cut(setjoin.similar(docs))
-    kept = found.groupBy(F.col("component_id").alias("_kept")).agg(F.sum(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), 1).otherwise(0)).alias("_rows"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept"))
-    once = docs.join(kept.where("_rows <= 1"), same, "left_semi")
-    repeated = docs.join(kept.where("_rows > 1"), same, "left_semi")
+    found = setjoin.placed(docs).withColumn("_none", F.col("doc_id").isNull())
+    texts = found.groupBy(F.col("doc_id").alias("_id"), "_none", F.col("print").alias("_print"), "root").agg(F.count("*").alias("_rows"))
+    first = F.min(F.struct("_none", "_id", "_print", "_rows")).alias("_first")
+    kept = texts.where("root IS NOT NULL").groupBy("root").agg(first).select("_first.*")
+    wordless = texts.where("root IS NULL").select("_none", "_id", "_print", F.lit(1).cast("long").alias("_rows"))
+    kept = cut(kept.unionByName(wordless))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_print"))
+    once = docs.join(kept.where("_rows = 1"), same, "left_semi")
+    several = kept.where("_rows > 1")
+    if several.isEmpty():
+        return once
+    repeated = docs.join(several, same, "left_semi")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    least = repeated.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_row"))
-    return once.unionByName(least.select("doc_id", "_row.*").select(*docs.columns))
+    least = repeated.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *rest)).alias("_row"))
+    return once.unionByName(least.select("doc_id", "text", *[F.col(f"_row.{c}") for c in rest]).select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
