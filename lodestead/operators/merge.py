@@ -16,23 +16,61 @@ def _name(column: str) -> str:
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether measuring ``df`` shows that it may be sent to every executor."""
+    return (df.select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0) <= limit
+
+
 def send_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked to be sent to every executor, if measuring it shows that it
     is small; otherwise as it is, to be joined by key."""
-    size = df.select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
-def skip_ingested(pages: DataFrame, ledger: DataFrame, with_enrichment: bool = True, force: bool = False) -> DataFrame:
+def skip_ingested(
+    pages: DataFrame, ledger: DataFrame, with_enrichment: bool = True, force: bool = False, limit: int = BROADCAST_BYTES
+) -> DataFrame:
     """Pages still to be read: those not in the ledger, and, when enrichment is
-    wanted, those whose listing has no position yet. File names alone decide; the
-    pages themselves move only if the new names are too many to send around."""
+    wanted, those whose listing has no position yet. File names alone decide, and
+    pages are read once: the new names are sent to them, or, beyond ``limit`` bytes,
+    a bitmap of the ledger's names with the few names that it claims wrongly."""
     if force:
         return pages
-    done = ledger.where("lat is not null") if with_enrichment else ledger
-    names = pages.select("source_file").where(F.col("source_file").isNotNull()).distinct().join(done.select("source_file"), "source_file", "left_anti")
-    fresh = pages.join(send_if_small(names), "source_file", "left_semi")
-    return fresh.unionByName(pages.where(F.col("source_file").isNull()))
+    done = (ledger.where("lat is not null") if with_enrichment else ledger).select("source_file")
+    names = pages.select("source_file").where(F.col("source_file").isNotNull()).distinct()
+    fresh = names.join(done, "source_file", "left_anti").withColumn("_fresh", F.lit(True))
+    if is_small(fresh, limit):
+        return pages.join(F.broadcast(fresh), "source_file", "left").where(F.col("_fresh") | F.col("source_file").isNull()).select(pages.columns)
+    claimed, width = claims(done)
+    wrong = claimed(names).where("_claimed").select("source_file").join(done, "source_file", "left_anti").withColumn("_wrong", F.lit(True))
+    marked = claimed(pages).join(send_if_small(wrong), "source_file", "left")
+    return marked.where(~F.col("_claimed") | F.col("_wrong") | F.col("source_file").isNull()).select(pages.columns)
+
+
+# Bits of a name bitmap for each name, and in all (128 MB).
+BITS_PER_NAME = 32
+MOST_BITS = 1 << 30
+
+
+def claims(names: DataFrame, most_bits: int = MOST_BITS):
+    """A function that adds ``_claimed`` to rows with ``source_file``: false only for names that ``names``
+    does not hold. One bit a name, in rows of 4 KB that are sent to all executors; with it the number of bits.
+    A name is claimed wrongly once in ``BITS_PER_NAME`` times, and more often beyond ``most_bits``."""
+    bits = 1 << 15
+    while bits < min(most_bits, BITS_PER_NAME * names.count()):
+        bits *= 2
+    place = F.pmod(F.xxhash64("source_file"), F.lit(bits))
+    spots = names.where(F.col("source_file").isNotNull()).select(F.bitmap_bucket_number(place).alias("_part"), F.bitmap_bit_position(place).alias("_bit"))
+    table = spots.groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+
+    def add(rows: DataFrame) -> DataFrame:
+        placed = rows.withColumn("_part", F.bitmap_bucket_number(place)).withColumn("_bit", F.bitmap_bit_position(place))
+        met = placed.join(F.broadcast(table), "_part", "left")
+        byte = F.conv(F.hex(F.expr("substring(_map, CAST(_bit DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+        hit = F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1
+        return met.select(*[F.col(_name(c)) for c in rows.columns], F.coalesce(hit, F.lit(False)).alias("_claimed"))
+
+    return add, bits
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -111,3 +149,8 @@ def run_counters(pages: DataFrame, todo: DataFrame) -> DataFrame:
     return marked.agg(
         F.count_if(F.col("_todo")).alias("processed"), F.count_if(F.col("_todo").isNull()).alias("skipped")
     )
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    """Bucket of a row by its key alone."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")

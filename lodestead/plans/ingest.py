@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodestead import catalog as cat
@@ -37,21 +37,28 @@ def enriched(
     return nearest.with_anchor_distance(placed, *(anchor or (None, None)))
 
 
+def folded_batch(parsed: DataFrame, overrides: DataFrame, captured_at: Column | None = None) -> DataFrame:
+    """A parsed batch, one row for each listing, under the human corrections of its listings."""
+    stamped = conform(parsed).withColumn("date_captured", F.current_timestamp() if captured_at is None else captured_at)
+    folded = cut(merge.fold_batch(stamped, "listing_id", file_order(F.col("source_file"))))
+    own = overrides.join(merge.send_if_small(folded.select("listing_id")), "listing_id", "left_semi")
+    return cut(merge.apply_overrides(folded, own))
+
+
 def merge_batch(
     stored: DataFrame, parsed: DataFrame, overrides: DataFrame, captured_at: Column | None = None
 ) -> DataFrame:
     """Fold a parsed batch, put human corrections over it and lay it over the stored
     listings, which carry theirs already."""
-    stamped = conform(parsed).withColumn("date_captured", F.current_timestamp() if captured_at is None else captured_at)
-    folded = cut(merge.fold_batch(stamped, "listing_id", file_order(F.col("source_file"))))
-    own = overrides.join(merge.send_if_small(folded.select("listing_id")), "listing_id", "left_semi")
-    return merge.upsert(stored, merge.send_if_small(cut(merge.apply_overrides(folded, own))))
+    return merge.upsert(stored, merge.send_if_small(folded_batch(parsed, overrides, captured_at)))
 
 
-def ledger_view(workspace: Workspace) -> DataFrame:
-    """Every file ever read, with what is known of its listing's position."""
-    positions = workspace.read("listings").select("listing_id", "lat")
-    return workspace.read("ledger").join(positions, "listing_id", "left").select("source_file", "lat")
+def ledger_view(ledger: DataFrame, listings: DataFrame, pages: DataFrame) -> DataFrame:
+    """Those of a batch's files that were ever read, with what is known of their listings' positions."""
+    names = pages.select("source_file").where(F.col("source_file").isNotNull()).distinct()
+    met = ledger.join(merge.send_if_small(names), "source_file", "left_semi")
+    positions = listings.select("listing_id", "lat").join(merge.send_if_small(met.select("listing_id").distinct()), "listing_id", "left_semi")
+    return met.join(merge.send_if_small(positions), "listing_id", "left").select("source_file", "lat")
 
 
 def ingest(
@@ -63,20 +70,31 @@ def ingest(
     anchor: tuple[float, float] | None = None,
 ) -> dict[str, int]:
     """Read the pages that are new (all of them with ``force``) into the listing
-    table. Running it again on the same pages changes nothing. Returns how many
-    pages were read and how many skipped."""
-    todo = merge.skip_ingested(pages, ledger_view(workspace), with_enrichment, force)
+    table, of which only the buckets of the batch's listings are read and written. Running it again on the
+    same pages changes nothing. Returns how many pages were read and how many skipped, by a count of the pages
+    as they are parsed and one of the names, and notes both in the run log."""
+    seen = ledger_view(workspace.read("ledger"), workspace.read("listings"), pages)
+    taken, stored = Observation(), Observation()
+    todo = merge.skip_ingested(pages, seen, with_enrichment, force)
     # page parsing is the dear step, and its result is looked at several times
-    parsed = conform(extract(todo)).persist()
-    try:
-        batch = parsed
-        if with_enrichment:
-            batch = conform(enriched(parsed, workspace.read("geo_lookup"), workspace.read("points"), walks, anchor))
-        workspace.write("listings", merge_batch(workspace.read("listings"), batch, workspace.read("overrides")))
-        fresh = parsed.select("source_file", "listing_id")
-        known = workspace.read("ledger")
-        workspace.write("ledger", known.join(fresh.select("source_file"), "source_file", "left_anti").unionByName(fresh))
-        processed = parsed.count()
-    finally:
-        parsed.unpersist()
-    return {"processed": processed, "skipped": pages.count() - processed}
+    parsed = cut(conform(extract(todo)).observe(taken, F.count("*").alias("n")))
+    processed = taken.get["n"]
+    skipped = pages.select("source_file").count() - processed
+    if processed == 0:
+        log_run(workspace, "ingest", processed, skipped, 0, 0)
+        return {"processed": processed, "skipped": skipped}
+    batch = parsed
+    if with_enrichment:
+        batch = conform(enriched(parsed, workspace.read("geo_lookup"), workspace.read("points"), walks, anchor))
+    fresh = merge.send_if_small(folded_batch(batch, workspace.read("overrides")))
+    buckets = workspace.revise("listings", fresh, lambda rows: merge.upsert(rows, fresh).observe(stored, F.count("*").alias("n")))
+    files = parsed.select("source_file", "listing_id").where(F.col("source_file").isNotNull()).distinct()
+    workspace.append("ledger", files.join(workspace.read("ledger"), "source_file", "left_anti"))
+    log_run(workspace, "ingest", processed, skipped, stored.get["n"], buckets)
+    return {"processed": processed, "skipped": skipped}
+
+
+def log_run(workspace: Workspace, job: str, processed: int, skipped: int, stored: int, buckets: int) -> None:
+    """One row on a run: pages read and left alone, rows in the buckets it wrote, and how many buckets these were."""
+    row = workspace.spark.createDataFrame([(job, processed, skipped, stored, buckets)], "job string, processed long, skipped long, stored long, buckets int")
+    workspace.append("run_log", row.select(F.current_timestamp().alias("at"), "*"))

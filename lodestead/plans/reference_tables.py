@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestead import catalog as cat
+from lodestead.checkpoints import cut
 from lodestead.operators.stations import build_stations
 from lodestead.plans.workspace import Workspace
-from lodestead.sinks.tables import replace_categories
+from lodestead.sinks.tables import current_path, drop_partition, overwrite_partitions, replace_categories
 from lodestead.sources import points as src
 
 
@@ -32,6 +34,17 @@ def refresh_places(workspace: Workspace, answers: dict[str, str]) -> DataFrame:
 
 
 def _replace(workspace: Workspace, fresh: DataFrame, categories: list[str]) -> DataFrame:
-    points = replace_categories(workspace.read("points"), fresh, categories)
-    ordered = points.select("category", "name", "lat", "lon").repartitionByRange("category", "name", "lat", "lon")
-    return workspace.write("points", ordered.sortWithinPartitions("category", "name", "lat", "lon"), ["category"])
+    """The categories' rows anew, each in a folder of its own; the files of other categories are left alone."""
+    folder = current_path(workspace.spark, workspace.path("points"))
+    rows = fresh if folder is not None else replace_categories(workspace.read("points"), fresh, categories)
+    rows = cut(rows.where(F.col("category").isin(categories)).select("category", "name", "lat", "lon"))
+    ordered = rows.repartitionByRange("category", "name", "lat", "lon").sortWithinPartitions("category", "name", "lat", "lon")
+    if folder is None:
+        return workspace.write("points", ordered, ["category"])
+    filled = {r[0] for r in rows.select("category").distinct().collect()}
+    if filled:
+        overwrite_partitions(ordered, folder, ["category"])
+    for category in categories:
+        if category not in filled:
+            drop_partition(workspace.spark, folder, "category", category)
+    return workspace.read("points")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestead.checkpoints import cut
 from lodestead.operators import merge, score
 from lodestead.operators import reconcile as rec
 from lodestead.plans.ingest import ingest
@@ -34,17 +35,17 @@ def stored_preferences(workspace: Workspace):
 def pull_ratings(workspace: Workspace, sheet: DataFrame, names: list[str], now: Column) -> None:
     statuses = rec.status_edits(sheet)
     ratings = rec.rating_edits(sheet, names, now)
-    workspace.write("listings", merge.apply_status(workspace.read("listings"), statuses))
+    workspace.revise("listings", statuses, lambda rows: merge.apply_status(rows, statuses))
     workspace.write("ratings", rec.replace_rows(workspace.read("ratings"), ratings, ["listing_id", "person"]))
 
 
 def pull_details(workspace: Workspace, sheet: DataFrame, now: Column) -> DataFrame:
-    """Corrections into the override store and the listings; returns the cells
-    nobody could read."""
-    corrections = rec.detail_corrections(sheet, workspace.read("snapshot")).withColumn("set_at", now)
+    """Corrections into the override store and their own listings (which carry earlier
+    ones already); returns the cells nobody could read."""
+    corrections = cut(rec.detail_corrections(sheet, workspace.read("snapshot")).withColumn("set_at", now))
     keys = ["listing_id", "column_name"]
-    overrides = workspace.write("overrides", rec.replace_rows(workspace.read("overrides"), corrections, keys))
-    workspace.write("listings", merge.apply_overrides(workspace.read("listings"), overrides))
+    workspace.write("overrides", rec.replace_rows(workspace.read("overrides"), corrections, keys))
+    workspace.revise("listings", corrections, lambda rows: merge.apply_overrides(rows, corrections))
     return rec.detail_issues(sheet)
 
 

@@ -48,6 +48,18 @@ def write_version(df: DataFrame, root: str, partition_by: list[str] | None = Non
     return target
 
 
+def overwrite_partitions(df: DataFrame, folder: str, partition_by: list[str]) -> None:
+    """Replace, in a table that is there, just the partitions that ``df`` has rows of. ``df`` must not read the table
+    any more. A job that dies on the way leaves old or new partitions, so its rows must bear being written again."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(folder)
+
+
+def drop_partition(spark: SparkSession, folder: str, column: str, value: str) -> None:
+    """Remove a partition that has no rows any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder, f"{column}={value}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _forget_old(spark: SparkSession, root: str) -> None:
     """Remove what is older than the newest ``KEPT_VERSIONS`` complete versions."""
     found = _versions(spark, root)

@@ -95,6 +95,36 @@ def test_skipping_moves_names_only(spark):
     assert moved and "BroadcastHashJoin [source_file" in plan
 
 
+def test_skipping_beyond_a_broadcast(spark):
+    """A bitmap of the ledger's names is applied where the pages are read; only names it claims are looked up."""
+    pages = spark.range(2000).selectExpr("CASE WHEN id % 50 = 7 THEN NULL ELSE concat('f', CAST(id AS STRING)) END AS source_file", "concat('h', CAST(id AS STRING)) AS html", "id AS _part").repartition(3)
+    ledger = spark.range(500, 3000).selectExpr("concat('f', CAST(id AS STRING)) AS source_file", "CASE WHEN id % 3 = 0 THEN NULL ELSE 1e0 END AS lat")
+    expected = sorted(r.html for r in merge.skip_ingested(pages, ledger).collect())
+    assert len(expected) == sum(i % 50 == 7 or i < 500 or i % 3 == 0 for i in range(2000))
+    assert sorted(r.html for r in merge.skip_ingested(pages, ledger, limit=-1).collect()) == expected
+    add, bits = merge.claims(ledger, most_bits=1 << 15)
+    claimed = add(pages.select("source_file"))
+    assert bits == 1 << 15 and claimed.join(ledger, "source_file").where("NOT _claimed").count() == 0
+    assert claimed.where("NOT _claimed").count() > 300
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        todo = merge.skip_ingested(pages.select("source_file", "html"), ledger, limit=-1)
+        moved = []
+
+        def walk(node):
+            if node.nodeName().startswith("Exchange") and "REPARTITION" not in node.toString().splitlines()[0]:
+                moved.append(node.output().mkString(","))
+            for i in range(node.children().size()):
+                walk(node.children().apply(i))
+
+        walk(todo._jdf.queryExecution().executedPlan().initialPlan())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert moved and not any("html" in m for m in moved)
+    assert merge.skip_ingested(pages, ledger.limit(0), limit=-1).count() == 2000
+
+
 def test_page_walk_is_linear():
     page = "<div>" * 100_000 + "</span>" * 100_000
     start = time.perf_counter()

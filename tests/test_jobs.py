@@ -9,7 +9,7 @@ from lodestead.plans.refresh import Edits, publish_all, pull_edits, refresh, sto
 from lodestead.plans.workspace import Workspace
 from lodestead.sinks.tables import current_path, export_csv, write_stations
 from lodestead.sources.pages import read_pages
-from lodestead.sources.tables import read_edits, read_listings, read_ratings
+from lodestead.sources.tables import conform, read_edits, read_listings, read_ratings
 from lodestead.streaming.pickup import pick_up_pages
 
 PAGE = """<link rel=canonical href="https://h.example/x-{id}"><h1 class="property-info-address">{id} High St, Glebe NSW 2037</h1>
@@ -62,6 +62,50 @@ def test_ingest_again_and_again(spark, tmp_path):
     assert ingest(space, read_pages(spark, str(folder)), force=True, with_enrichment=False)["processed"] == 3
 
 
+def files_of(space, name):
+    from pathlib import Path
+
+    root = Path(current_path(space.spark, space.path(name)).removeprefix("file:"))
+    found = {}
+    for f in root.glob("*=*/*.parquet"):
+        found.setdefault(f.parent.name, set()).add(f.name)
+    return found
+
+
+def test_ingest_touches_only_its_buckets(spark, tmp_path):
+    space, folder = space_with_points(spark, tmp_path), tmp_path / "pages"
+    rows = spark.range(500).selectExpr("CAST(id AS STRING) AS listing_id", "CAST(id AS DOUBLE) AS weekly_rent_aud", "'x' AS suburb")
+    space.write("listings", conform(rows))
+    before = files_of(space, "listings")
+    assert len(before) == 64 and all(b.startswith("bucket_of_64=") for b in before)
+    save(folder, "one.html", id=3, rent=900)
+    save(folder, "two.html", id=1000)
+    ingest(space, read_pages(spark, str(folder)), with_enrichment=False)
+    after = files_of(space, "listings")
+    assert sorted(b for b in after if after[b] != before[b]) == sorted({f"bucket_of_64={r[0]}" for r in spark.sql("SELECT CAST(pmod(xxhash64(x), 64) AS INT) FROM VALUES ('3'), ('1000') AS t(x)").collect()})
+    found = by_id(space)
+    assert len(found) == 501 and found["3"]["weekly_rent_aud"] == 900.0 and found["3"]["suburb"] == "Glebe" and found["4"]["weekly_rent_aud"] == 4.0
+    # a workspace that would make other buckets keeps to those that are there
+    other = Workspace(spark, str(tmp_path / "space"), buckets=8)
+    other.revise("listings", spark.createDataFrame([("4",)], "listing_id string"), lambda r: r.withColumn("suburb", F.when(F.col("listing_id") == "4", "Y").otherwise(F.col("suburb"))))
+    assert by_id(other)["4"]["suburb"] == "Y" and len(files_of(other, "listings")) == 64 and len(by_id(other)) == 501
+    log = [(r.job, r.processed, r.skipped, r.buckets) for r in space.read("run_log").collect()]
+    assert log == [("ingest", 2, 0, 2)] or log == [("ingest", 2, 0, 1)]
+
+
+def test_points_replace_only_their_categories(spark, tmp_path):
+    from lodestead.plans.reference_tables import _replace
+
+    space = Workspace(spark, str(tmp_path / "space"))
+    point = lambda *rows: spark.createDataFrame(rows, "category string, name string, lat double, lon double")
+    _replace(space, point(("park", "A", 1.0, 2.0), ("school", "S", 1.0, 2.0), ("beach", "B", 1.0, 2.0)), ["park", "school", "beach"])
+    before = files_of(space, "points")
+    _replace(space, point(("park", "C", 1.0, 2.0), ("beach", "not asked for", 1.0, 2.0)), ["park", "school"])
+    after = files_of(space, "points")
+    assert sorted((r.category, r.name) for r in space.read("points").collect()) == [("beach", "B"), ("park", "C")]
+    assert set(after) == {"category=park", "category=beach"} and after["category=beach"] == before["category=beach"] and after["category=park"] != before["category=park"]
+
+
 def test_pickup_takes_every_file_once(spark, tmp_path):
     space, folder, checkpoint = space_with_points(spark, tmp_path), tmp_path / "pages", str(tmp_path / "cp")
     save(folder, "one.html")
