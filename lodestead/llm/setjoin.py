@@ -51,7 +51,7 @@ SIZE = 4
 PERCENT = 85
 #: Counters of the frequency table. What shares a counter by chance grows with the input as common shingles do.
 SLOTS = 1 << 22
-#: Bits for each wanted document, and in all.
+#: Bits for each wanted document (by its id and by its class), and in all.
 WANTED = 16
 MOST_WANTED = 1 << 28
 #: Ranges in which tables of fixed size are summed.
@@ -183,28 +183,34 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, per
     """The pairs (a, b) of classes whose whole sets link."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(_merged(classes.select("class", "head")), "class")
     wanted = keep(wanted)
-    bits = min(MOST_WANTED, max(1 << 7, 1 << (WANTED * wanted.count()).bit_length()))
+    bits = min(MOST_WANTED, max(1 << 7, 1 << (2 * WANTED * wanted.count()).bit_length()))
 
-    def places(column):
-        ids = np.array([0 if i is None else i for i in column.to_pylist()], np.int64)
-        return (mix(ids.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+    def places(numbers, what: int):
+        ids = np.array([0 if i is None else i for i in numbers], np.int64).view(np.uint64)
+        return (mix(mix(ids) + np.uint64(what)) & np.uint64(bits - 1)).astype(np.int64)
 
     def mark(batches):
         table = np.zeros(bits, np.uint8)
         for batch in batches:
-            table[places(batch.column(0))] = 1
+            for what in (0, 1):
+                table[places(batch.column(what).to_pylist(), what)] = 1
         return table
 
-    shared = docs.sparkSession.sparkContext.broadcast(_table(wanted.select("head"), mark, bits, _at_least(1)))
+    shared = docs.sparkSession.sparkContext.broadcast(_table(wanted.select("head", "class"), mark, bits, _at_least(1)))
+
+    def marked(table, numbers, what: int):
+        at = places(numbers, what)
+        return (table[at >> 3] >> (7 - (at & 7))) & 1 == 1
 
     def read(batches):
         table = shared.value
         for batch in batches:
-            at = places(batch.column(0))
-            part = batch.filter(pa.array((table[at >> 3] >> (7 - (at & 7))) & 1 == 1))
+            part = batch.filter(pa.array(marked(table, batch.column(0).to_pylist(), 0)))
             for _, words in _pieces([part], 1):
                 sets = list(_sets(words, size))
-                yield {"class": [signature(s) for s in sets], "found": [s.tobytes() for s in sets]}
+                names = [signature(s) for s in sets]
+                own = np.flatnonzero(marked(table, names, 1)) if names else ()
+                yield {"class": [names[i] for i in own], "found": [sets[i].tobytes() for i in own]}
 
     sets = map_batches(docs, read, "class long, found binary").groupBy("class").agg(F.first("found").alias("found"))
     sets = keep(sets)
