@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestead.checkpoints import cut
-from lodestead.operators import merge, score
+from lodestead.operators import merge
 from lodestead.operators import reconcile as rec
+from lodestead.operators.people import unknown_columns
 from lodestead.plans.ingest import ingest
 from lodestead.plans.report import build_report
 from lodestead.plans.workspace import Workspace
@@ -70,7 +71,7 @@ def pull_preferences(workspace: Workspace, edits: Edits, names: list[str]) -> Da
 
 def unknown_filters(workspace: Workspace) -> DataFrame:
     """Filters on columns that the listings do not have, as issue rows."""
-    unknown = score.unknown_columns(workspace.read("listings"), stored_preferences(workspace))
+    unknown = unknown_columns(workspace.read("hard_filters"), workspace.read("listings").columns)
     return unknown.select(
         F.col("person").alias("subject"),
         F.col("column").alias("column_name"),

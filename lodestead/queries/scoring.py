@@ -9,6 +9,7 @@ from lodestead.checkpoints import cut
 from lodestead.functions.numbers import round_even
 from lodestead.operators import decision, merge, price_model, score
 from lodestead.operators.nearest import nearest_wide
+from lodestead.operators.people import score_people, tables_of
 from lodestead.plans.report import build_report
 from lodestead.queries.registry import query
 from lodestead.queries.views import view
@@ -134,7 +135,7 @@ def _with(*parts: str) -> str:
           "SELECT listing_id, person, hard_filter_pass, hard_filter_reasons, round(raw, 6) AS raw_score, fit_score FROM scores"),
 )
 def fit_scores_long(spark, sf_dir):
-    long = score.score_all(conform(view(spark, sf_dir, "v_listings")), PEOPLE)
+    long = score_people(conform(view(spark, sf_dir, "v_listings")), *tables_of(spark, PEOPLE))
     return long.withColumn("raw_score", F.round("raw_score", 6))
 
 

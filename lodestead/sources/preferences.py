@@ -1,8 +1,8 @@
 """People's preferences: three long tables and their checked, in-memory form.
 
-Preferences are configuration: a few dozen rows per person. They are read to
-the driver behind a size check and become expressions over the listing
-columns they name, so scoring scans those columns only and joins nothing.
+Any number of people are scored as tables (``operators.people``). The wide report
+gives each of its people columns of their own; only what these people prefer is
+read to the driver, and becomes expressions over the listing columns they name.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ WEIGHT_SCHEMA = "person string, feature string, weight double, pos int"
 SUBURB_SCHEMA = "person string, suburb string"
 DOCUMENT_SCHEMA = "person string, hard_filters map<string,string>, preferred_suburbs array<string>, weights map<string,double>"
 EXAMPLE_PERSON = "example"
-MAX_CONFIG_ROWS = 100_000
 
 # Key prefixes are looked at before the suffix.
 FILTER_PREFIXES = {"max_": "max", "min_": "min", "allowed_": "allowed", "excluded_": "excluded"}
@@ -61,24 +60,21 @@ def select_person(preferences: list[Preferences], person: str) -> Preferences:
     raise LookupError(f"no preferences stored for {person!r}")
 
 
-def _config_rows(df: DataFrame) -> list:
-    rows = df.limit(MAX_CONFIG_ROWS + 1).collect()
-    if len(rows) > MAX_CONFIG_ROWS:
-        raise ValueError(f"more than {MAX_CONFIG_ROWS} preference rows: this is not a preference table")
-    return rows
-
-
 def load_preferences(
-    filters: DataFrame | None, weights: DataFrame | None, suburbs: DataFrame | None, persons: DataFrame | None = None
+    filters: DataFrame | None, weights: DataFrame | None, suburbs: DataFrame | None, persons: DataFrame | None = None,
+    names: list[str] | None = None,
 ) -> list[Preferences]:
-    """Preferences of every person, by name; the example person is left out. A
-    section nobody filled in is empty, and a person listed in ``persons`` counts
+    """Preferences of the named people (None: of every person, by name; the example person is left
+    out). A section nobody filled in is empty, and a person listed in ``persons`` or named counts
     even without any."""
-    names = {r.person for r in _config_rows(persons)} if persons is not None else set()
-    filter_rows = _config_rows(filters) if filters is not None else []
-    weight_rows = _config_rows(weights) if weights is not None else []
-    suburb_rows = _config_rows(suburbs) if suburbs is not None else []
-    found = {r.person for r in [*filter_rows, *weight_rows, *suburb_rows]} | names
+
+    def rows(df: DataFrame | None) -> list:
+        if df is None:
+            return []
+        return (df.where(F.col("person").isin(names)) if names is not None else df.where(F.col("person") != EXAMPLE_PERSON)).collect()
+
+    listed, filter_rows, weight_rows, suburb_rows = (rows(df) for df in (persons, filters, weights, suburbs))
+    found = {r.person for r in [*filter_rows, *weight_rows, *suburb_rows, *listed]} | set(names or ())
     loaded = []
     for person in sorted(found - {EXAMPLE_PERSON}):
         mine = sorted((r for r in filter_rows if r.person == person), key=lambda r: r.pos)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestead import catalog as cat
 from lodestead.operators import decision, medians, merge, price_model, reconcile, score
+from lodestead.operators import people as people_rows
 from lodestead.sources.preferences import HardFilter, Preferences, load_preferences, people, read_documents, select_person
 from lodestead.sources.tables import conform
 
@@ -247,3 +248,55 @@ def test_models_compared(spark):
     models = {"ridge": price_model.ridge, "boosted_trees": partial(price_model.boosted_trees, rounds=2)}
     rows = price_model.compare_models(rent_table(spark, 120), models, features=features).collect()
     assert [r["model"] for r in rows] == ["ridge", "boosted_trees"] and all(r["n"] == 120 and r["mae"] < 60 for r in rows)
+
+
+def test_people_as_rows(spark):
+    """Scores of people in tables are those of people in columns, for every kind of rule and weight."""
+    schema = "listing_id string, weekly_rent_aud double, suburb string, pet_friendly int, pool int, available_from date, bathrooms int"
+    rows = [
+        ("a", 1300.0, "Glebe", 1, 1, dt.date(2026, 9, 1), 1), ("b", None, None, None, None, None, None), ("c", 900.0, "O'Brien", 0, 0, dt.date(2026, 12, 1), 3),
+        ("d", float("nan"), 'x "y"', 1, None, None, 2), ("e", 900.0, "", 0, 1, dt.date(2027, 1, 1), 2),
+    ]
+    df = listings(spark, rows, schema)
+    rules = lambda **r: [HardFilter.parse(k, v) for k, v in r.items()]
+    folk = [
+        Preferences("p", rules(max_weekly_rent_aud=1200, excluded_suburb=["Glebe", "O'Brien"], allowed_suburb=["Glebe"], pet_friendly_required=True, suburb_required=True)),
+        Preferences("q", rules(min_weekly_rent_aud=1000.5, max_available_from="2026-10-01", available_from_required=True, garden_required=True, max_moon=3, pool_required=False, allowed_bathrooms=[1, 2], excluded_bathrooms=[2.0], allowed_pool=[])),
+        Preferences("r", [], {"weekly_rent_aud": -1.0, "pool": 0.5, "preferred_suburbs": 1.0, "gone": 3.0, "suburb": 0.2, "bathrooms": 0.3, "pet_friendly": 0.0, "available_from": 0.1}, ["Glebe", "O'Brien"]),
+        Preferences("s"),
+    ]
+    key = lambda r: (r.listing_id, r.person)
+    columns = ["listing_id", "person", "hard_filter_pass", "hard_filter_reasons", "raw_score", "fit_score"]
+    expected = score.score_all(df, folk).select(columns).collect()
+    tables = people_rows.tables_of(spark, folk)
+    found = people_rows.score_people(df, *tables).select(columns).collect()
+    assert sorted(found, key=key) == sorted(expected, key=key) and len(found) == 20
+    told = people_rows.unknown_columns(tables[0], df.columns).collect()
+    assert sorted(map(tuple, told)) == [("q", "max", "moon"), ("q", "required", "garden")]
+    assert people_rows.score_people(df, *(t.limit(0) for t in tables)).count() == 0
+    assert people_rows.score_people(df.limit(0), *tables).count() == 0
+    wrong = spark.createDataFrame([("p", "rent_at_most", 3.0, None, None, None, 0)], "person string, key string, num double, text string, list array<string>, `on` boolean, pos int")
+    with pytest.raises(Exception, match="rent_at_most"):
+        people_rows.score_people(df, wrong, *tables[1:]).collect()
+
+
+def test_two_thousand_people(spark, monkeypatch):
+    """The plan does not grow with the people, with or without broadcasts."""
+    df = listings(spark, [(str(i), 100.0 + i, i % 3) for i in range(40)], "listing_id string, weekly_rent_aud double, bathrooms int")
+    weights = spark.range(4000).selectExpr("concat('p', CAST(id % 2000 AS STRING)) AS person", "CASE WHEN id < 2000 THEN 'weekly_rent_aud' ELSE 'bathrooms' END AS feature", "CAST(id % 7 - 3 AS DOUBLE) AS weight", "CAST(id AS INT) AS pos")
+    filters = spark.range(2000).selectExpr("concat('p', CAST(id AS STRING)) AS person", "'max_weekly_rent_aud' AS key", "100e0 + id % 50 AS num", "CAST(NULL AS STRING) AS text", "CAST(NULL AS array<string>) AS list", "CAST(NULL AS boolean) AS `on`", "0 AS pos")
+    suburbs = spark.createDataFrame([], "person string, suburb string")
+
+    def plan(n):
+        few = f"CAST(substring(person, 2) AS INT) < {n}"
+        found = people_rows.score_people(df, filters.where(few), weights.where(few), suburbs)
+        return found, len(found._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+    many, size = plan(2000)
+    assert size == plan(2)[1] and many.count() == 80_000
+    one = {(r.listing_id, r.person): tuple(r) for r in many.collect()}
+    assert one["7", "p1003"][2:4] == (False, "weekly_rent_aud = 107.0 > max 103.0") and one["7", "p1008"][2]
+    person = Preferences("p9", [HardFilter("max", "weekly_rent_aud", 109.0)], {"weekly_rent_aud": float(9 % 7 - 3), "bathrooms": float(2009 % 7 - 3)})
+    assert [one[r.listing_id, "p9"] for r in score.score_all(df, [person]).select(many.columns).collect()] == [tuple(r) for r in score.score_all(df, [person]).select(many.columns).collect()]
+    monkeypatch.setattr(people_rows, "is_small", lambda df: False)
+    assert {(r.listing_id, r.person): tuple(r) for r in plan(2000)[0].collect()} == one
