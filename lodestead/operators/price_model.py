@@ -6,6 +6,7 @@ import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -14,11 +15,10 @@ from pyspark.sql import functions as F
 
 from lodestead import catalog as cat
 from lodestead.functions.numbers import round_even, to_number
+from lodestead.operators import ridge as fold_ridge
 from lodestead.operators.medians import exact_medians
 
 SIGNAL_SCHEMA = "listing_id string, predicted_weekly_rent double, residual double, pct_over_or_under double"
-# Above this many features the normal equations are not available.
-NORMAL_SOLVER_FEATURES = 4096
 # A suburb list of this size or less is sent to all executors.
 BROADCAST_SUBURBS = 1_000_000
 
@@ -118,17 +118,43 @@ def fold_of(listing_id: Column, folds: int = cat.FOLDS) -> Column:
 
 
 def ridge(train: DataFrame, n: int, std_population: float, std_sample: float, n_features: int, alpha: float = 1.0):
-    """Ridge with an unpenalized intercept and unscaled features. The library
-    divides its penalty by the label's deviation (and by n), hence the factor."""
-    normal = n_features <= NORMAL_SOLVER_FEATURES
-    deviation = std_population if normal else std_sample
+    """Ridge with an unpenalized intercept and unscaled features, of one set of vectors, by the library. It
+    divides its penalty by the label's deviation (and by n), hence the factor. ``with_price_signal`` fits the ridge of
+    all folds by one pass instead (``operators.ridge``); this one is what other models are written like."""
     estimator = LinearRegression(
-        featuresCol="features", labelCol=cat.TARGET_COLUMN, solver="normal" if normal else "l-bfgs",
-        standardization=False, elasticNetParam=0.0, regParam=alpha * deviation / n,
+        featuresCol="features", labelCol=cat.TARGET_COLUMN, solver="normal", standardization=False, elasticNetParam=0.0, regParam=alpha * std_population / n
     )
     return estimator.fit(train)
 
 
+def _scalars(features: Features) -> Column:
+    return F.array(*[F.col(f"x_{c}").cast("double") for c in features.scalar_columns]).cast("array<double>")
+
+
+def _with_predictions(listings: DataFrame, predicted: DataFrame, known: Column) -> DataFrame:
+    """Listings with the price signal of what ``predicted`` says in its column of that name."""
+    kept = [c for c in listings.columns if c != "predicted_weekly_rent"]
+    target = F.col(cat.TARGET_COLUMN)
+    return predicted.select(*kept, F.when(known, F.col("_signal")).alias("predicted_weekly_rent")).withColumns(
+        {
+            "residual": target - F.col("predicted_weekly_rent"),
+            "pct_over_or_under": round_even(
+                F.try_divide(target - F.col("predicted_weekly_rent"), F.col("predicted_weekly_rent")) * 100.0, 1
+            ),
+        }
+    )
+
+
+def ridge_models(listings: DataFrame, features: Features, folds: int, in_sample: bool, alpha: float = 1.0):
+    """The listings' feature columns and the ridge of each fold's outside (of everything, in sample), with
+    which folds each model sees."""
+    columns = feature_columns(listings, features)
+    labels = ["property_label", "suburb_bucket"] if features.categorical else []
+    rows = priced(columns).select(fold_of(F.col("listing_id"), folds).alias("fold"), F.col(cat.TARGET_COLUMN).cast("double").alias("y"), _scalars(features).alias("x"), *labels)
+    used = np.ones((1, folds)) if in_sample else 1.0 - np.eye(folds)
+    return columns, fold_ridge.fit(rows, features.scalar_columns, features.categorical, used, alpha), used
+
+
 def boosted_trees(train: DataFrame, n: int, std_population: float, std_sample: float, n_features: int, rounds: int = 100):
     """Gradient-boosted trees, for comparison with the ridge."""
     estimator = GBTRegressor(
@@ -154,6 +180,8 @@ def with_price_signal(
     target = F.col(cat.TARGET_COLUMN)
     known = target.isNotNull() & ~F.isnan(target)
     outside = [F.when(fold != k, target) for k in range(folds)]
+    if fit is ridge:
+        return _ridge_signal(listings, features, min_rows, folds)
     stats = priced(listings).agg(
         F.count("*").alias("n"), F.stddev_pop(target).alias("pop"), F.stddev_samp(target).alias("samp"),
         *[F.count(y).alias(f"n{k}") for k, y in enumerate(outside)],
@@ -180,15 +208,24 @@ def with_price_signal(
     for k, model in models.items():
         scored = model.setPredictionCol(f"_p{k}").transform(scored)
     predicted = F.col("_p0") if in_sample else F.get(F.array(*[F.col(f"_p{k}") for k in models]), fold)
-    kept = [c for c in listings.columns if c != "predicted_weekly_rent"]
-    return scored.select(*kept, F.when(known, predicted).alias("predicted_weekly_rent")).withColumns(
-        {
-            "residual": target - F.col("predicted_weekly_rent"),
-            "pct_over_or_under": round_even(
-                F.try_divide(target - F.col("predicted_weekly_rent"), F.col("predicted_weekly_rent")) * 100.0, 1
-            ),
-        }
-    )
+    return _with_predictions(listings, scored.withColumn("_signal", predicted), known)
+
+
+def _ridge_signal(listings: DataFrame, features: Features, min_rows: int, folds: int) -> DataFrame:
+    target = F.col(cat.TARGET_COLUMN)
+    known = target.isNotNull() & ~F.isnan(target)
+    sizes = {r["fold"]: r["n"] for r in priced(listings).groupBy(fold_of(F.col("listing_id"), folds).alias("fold")).agg(F.count("*").alias("n")).collect()}
+    n = sum(sizes.values())
+    if n == 0:
+        nothing = F.lit(None).cast("double")
+        return listings.withColumns({c: nothing for c in ("predicted_weekly_rent", "residual", "pct_over_or_under")})
+    in_sample = n < min_rows or any(n == sizes.get(k, 0) for k in range(folds))
+    if in_sample:
+        warnings.warn(f"only {n} priced listings: predictions are in-sample and optimistic", stacklevel=3)
+    columns, model, _ = ridge_models(listings, features, folds, in_sample)
+    scored = fold_ridge.predictions(columns, model, _scalars(features))
+    place = F.lit(0) if in_sample else fold_of(F.col("listing_id"), folds)
+    return _with_predictions(listings, scored.withColumn("_signal", F.get("_predicted", place)), known)
 
 
 def predict_value(listings: DataFrame, **options) -> DataFrame:

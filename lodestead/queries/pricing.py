@@ -118,3 +118,26 @@ def model_metrics(spark, sf_dir):
 def value_signal_full(spark, sf_dir):
     """Out-of-fold ridge on every feature; checked against a closed form in the tests."""
     return price_model.predict_value(conform(view(spark, sf_dir, "v_listings")))
+
+
+FEATURES_SQL = ", ".join(f"('{c}')" for c in ["intercept", *price_model.ALL_FEATURES.scalar_columns])
+
+
+@query(
+    "ridge_gradient_folds",
+    f"""WITH priced AS (SELECT * FROM v_listings WHERE weekly_rent_aud IS NOT NULL),
+    common AS (SELECT suburb FROM priced WHERE suburb IS NOT NULL GROUP BY suburb HAVING count(*) >= 3),
+    features AS (
+      SELECT * FROM (VALUES {FEATURES_SQL}) AS v(feature)
+      UNION ALL SELECT DISTINCT concat('property_label:', coalesce(property_type, 'unknown')) FROM priced
+      UNION ALL SELECT DISTINCT concat('suburb_bucket:', coalesce(c.suburb, 'other')) FROM priced p LEFT JOIN common c ON p.suburb = c.suburb)
+    SELECT CAST(model AS INT) AS model, feature, 0e0 AS gradient FROM features, range(5) AS m(model)""",
+)
+def ridge_gradient_folds(spark, sf_dir):
+    """What is left of the derivative of each fold's penalized error on every feature: nothing."""
+    listings = conform(view(spark, sf_dir, "v_listings"))
+    columns, model, used = price_model.ridge_models(listings, price_model.ALL_FEATURES, cat.FOLDS, in_sample=False)
+    found = price_model.fold_ridge.gradients(
+        price_model.priced(columns), model, price_model._scalars(price_model.ALL_FEATURES), price_model.fold_of(F.col("listing_id")), used, 1.0, cat.TARGET_COLUMN
+    )
+    return found.select("model", "feature", (F.round("gradient", 6) + F.lit(0.0)).alias("gradient"))

@@ -300,3 +300,30 @@ def test_two_thousand_people(spark, monkeypatch):
     assert [one[r.listing_id, "p9"] for r in score.score_all(df, [person]).select(many.columns).collect()] == [tuple(r) for r in score.score_all(df, [person]).select(many.columns).collect()]
     monkeypatch.setattr(people_rows, "is_small", lambda df: False)
     assert {(r.listing_id, r.person): tuple(r) for r in plan(2000)[0].collect()} == one
+
+
+def left_over(df, alpha=1.0):
+    columns, model, used = price_model.ridge_models(df, price_model.ALL_FEATURES, 5, in_sample=False)
+    x, fold = price_model._scalars(price_model.ALL_FEATURES), price_model.fold_of(F.col("listing_id"))
+    return model, price_model.fold_ridge.gradients(price_model.priced(columns), model, x, fold, used, alpha, "weekly_rent_aud")
+
+
+def many_listings(spark, n, suburbs):
+    return conform(spark.range(n).selectExpr(
+        "CAST(id AS STRING) AS listing_id", f"concat('s', CAST(id % {suburbs} AS STRING)) AS suburb", "concat('t', CAST(id % 3 AS STRING)) AS property_type",
+        f"300e0 + id % {suburbs} % 7 * 20 + id % 3 * 50 + id % 11 AS weekly_rent_aud", "CAST(id % 5 AS INT) AS bedrooms",
+    ))
+
+
+def test_ridge_of_very_many_suburbs(spark):
+    """Suburbs are no columns: 100,000 of them are eliminated one by one, and every fold's weights solve its own equations."""
+    model, left = left_over(many_listings(spark, 300_000, 100_000))
+    assert model.suburbs.count() == 100_000 and model.core.shape == (5, 1 + len(model.scalars) + 3)
+    found = left.agg(F.count("*").alias("n"), F.max(F.abs("gradient")).alias("most")).first()
+    assert found.n == 5 * (1 + len(model.scalars) + 3 + 100_000) and found.most < 1e-8
+
+
+def test_gradients_tell_other_weights_apart(spark):
+    df = many_listings(spark, 300, 20)
+    assert left_over(df)[1].agg(F.max(F.abs("gradient"))).first()[0] < 1e-9
+    assert left_over(df, alpha=1.5)[1].agg(F.max(F.abs("gradient"))).first()[0] > 1e-3
