@@ -132,8 +132,7 @@ class Bpe:
         self.pattern = regex.compile(split["pattern"]["Regex"] if split else BYTE_LEVEL_PATTERN)
         self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.unletter = {c: b for b, c in enumerate(letters)}
-        self.words = Generations(REMEMBER)
-        self.chunks = Generations(REMEMBER)
+        self.forget()
         self._tables = self._symbols = None
 
     # -- one pre-token -------------------------------------------------------
@@ -328,6 +327,10 @@ class Bpe:
 
     # -- digests, chunk by chunk ---------------------------------------------
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts; the vocabulary stays."""
+        self.words, self.chunks = Generations(REMEMBER), Generations(REMEMBER)
+
     def learn_chunks(self, chunks: list[str]) -> dict[str, tuple[int, str, str]]:
         """For each chunk (what stands between white space): number of tokens, ids, decoded pieces."""
         cut = [[c] if c.isalpha() else self.pattern.findall(c) for c in chunks]
@@ -537,9 +540,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 
     def work(batches):
         bpe = built(shared.value)
-        for batch in batches:
-            ids = [np.fromiter(bpe.ids(t or ""), np.int32) for t in batch.column(at).to_pylist()]
-            yield {**{c: batch.column(i) for i, c in enumerate(names)}, out: ids}
+        try:
+            for batch in batches:
+                ids = [np.fromiter(bpe.ids(t or ""), np.int32) for t in batch.column(at).to_pylist()]
+                yield {**{c: batch.column(i) for i, c in enumerate(names)}, out: ids}
+        finally:  # a worker outlives its tasks, and what other steps of a pipeline run in it needs the memory
+            bpe.forget()
 
     return map_batches(docs.select(*[F.col(f"`{c}`") for c in names]), work, schema)
 
