@@ -4,16 +4,16 @@ Counts of words and word pairs over all training texts are quantised to their
 binary logarithm, and filters (one for words, one for pairs) hold a key (n-gram, j) for each j up to that
 level: asking for j = 1, 2, ... until one is missing gives back the level, so
 a count costs few probes and the filter stores no n-gram. Counting is
-distributed by segments (see ``blocks``), and each segment's task builds its own part
-of a filter, whose bits grow with the number of keys. Filters of ``MAX_BITS`` at most
-pass the driver and are broadcast. Of a larger one the parts stay where they are built:
-every block sends its distinct n-grams to their segments, which answer with the levels
-that the part gives, the same as from a broadcast.
+distributed by segments (see ``blocks``): every block of texts sends its distinct n-grams to their segments, and a
+segment's task adds their counts up, builds its own part of the filter, whose bits grow with its keys, and answers each
+block with the levels that the part gives. A filter of what a growing corpus knows has no bound under which it could be
+sent to every worker, so at no size does a part leave its task: one exchange of a block's n-grams brings counts there
+and levels back.
 
 The probability of a word after another mixes the pair's count over the first
 one's count (``SHARE``) with the word's own add-one probability; a text's score is
 the sum of log10 over its words and one end. Words count from their first
-occurrence, pairs from their second. The same blocks give the exact add-one
+occurrence, pairs from ``LEAST_PAIR`` (1 counts every pair). The same blocks give the exact add-one
 unigram score (``base_score``).
 
 Defined results: null text is the empty text, which has the end as its only
@@ -23,7 +23,6 @@ repeat; an empty table gives an empty one. Only ``doc_id`` and ``text`` are read
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,13 +33,14 @@ from pyspark.sql import functions as F
 
 from lodestead.checkpoints import cut
 from lodestead.llm.blocks import dictionary, grouped, new_block, pack, segment_of, segments, unpack
-from lodestead.llm.frames import map_batches
+from lodestead.llm.frames import keep, map_batches, release
 from lodestead.llm.words import hash_words, mix, utf8
 
-#: Bits of a filter that is broadcast at most, bits for each key, probes for each key.
-MAX_BITS = 1 << 27
+#: Bits of a filter for each key (rounded up to a power of two for each part), probes for each key.
 BITS = 10
 PROBES = 4
+#: Occurrences in training texts from which a word pair counts.
+LEAST_PAIR = 2
 #: Share of a pair's relative frequency in a probability; the rest is the word's own.
 SHARE = 0.3
 #: N-grams that a segment merges, about.
@@ -58,11 +58,9 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Filter:
-    """``bits`` has one part for each segment; the levels count from ``floor``."""
+    """One segment's part of a filter."""
 
     bits: np.ndarray
-    parts: int
-    floor: int
 
     def level(self, hashes: np.ndarray) -> np.ndarray:
         """The quantised level of each n-gram, 0 if it is not there."""
@@ -74,26 +72,33 @@ class Filter:
             j += 1
         return out
 
-    def count(self, hashes: np.ndarray) -> np.ndarray:
-        """The mean of the counts that share the level."""
-        return counts_of(self.level(hashes), self.floor)
-
     def _has(self, hashes: np.ndarray, j: int) -> np.ndarray:
-        size = 8 * len(self.bits) // self.parts
-        base = segment_of(hashes, self.parts) * size
         found = np.ones(len(hashes), bool)
         live = np.arange(len(hashes))
-        for at in places(hashes, j, size):
-            at = at[live] + base[live]
+        for at in places(hashes, j, 8 * len(self.bits)):
+            at = at[live]
             hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             found[live[~hit]] = False
             live = live[hit]
         return found
 
 
-def counts_of(level: np.ndarray, floor: int = 0) -> np.ndarray:
+def filled(hashes: np.ndarray, counts: np.ndarray, bits: int) -> Filter:
+    """The part that holds distinct n-grams with their counts, ``bits`` for each of its keys at least."""
+    top = np.log2(counts).astype(np.int64) + 1
+    if not len(top):
+        return Filter(np.zeros(0, np.uint8))
+    size = max(64, 1 << (int(top.sum()) * bits - 1).bit_length())
+    found = np.zeros(size, bool)
+    for j in range(1, int(top.max()) + 1):
+        for at in places(hashes[top >= j], j, size):
+            found[at] = True
+    return Filter(np.packbits(found, bitorder="little"))
+
+
+def counts_of(level: np.ndarray) -> np.ndarray:
     """The mean of the counts that share a level."""
-    return np.where(level > 0, 1.5 * 2.0 ** (level - 1 + floor) - 0.5, 0.0)
+    return np.where(level > 0, 1.5 * 2.0 ** (level - 1) - 0.5, 0.0)
 
 
 def places(hashes: np.ndarray, j: int, size: int) -> list[np.ndarray]:
@@ -103,20 +108,12 @@ def places(hashes: np.ndarray, j: int, size: int) -> list[np.ndarray]:
     return [((key + np.uint64(i) * step) & np.uint64(size - 1)).astype(np.int64) for i in range(PROBES)]
 
 
-def _keys(hashes: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted hashes as gaps between their leading bits, and each one's binary logarithm of the count."""
-    lead = hashes >> np.uint64(64 - KEY)
-    gaps = np.diff(lead, prepend=np.uint64(0))
-    gaps = gaps.astype(np.uint32) if len(gaps) and gaps[1:].max(initial=0) < 1 << 32 and gaps[0] < 1 << 32 else gaps
-    return pack(gaps), pack(np.log2(counts).astype(np.uint8))
-
-
 def _unkeys(gaps: bytes) -> np.ndarray:
     return np.cumsum(unpack(gaps).astype(np.uint64)) << np.uint64(64 - KEY)
 
 
 def to_blocks(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Blocks of index sequences, written to the checkpoint folder as they are read several times."""
+    """Blocks of index sequences, written to the shared folder as they are read several times, by columns."""
 
     def work(batches):
         partition = TaskContext.get().partitionId()
@@ -135,12 +132,24 @@ def to_blocks(docs: DataFrame, held_out: Column) -> DataFrame:
             }
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held"))
-    return cut(map_batches(rows, work, "block long, ids array<long>, held binary, bounds binary, tokens binary, words binary, counts binary, n long, n_words long"))
+    return keep(map_batches(rows, work, "block long, ids array<long>, held binary, bounds binary, tokens binary, words binary, counts binary, n long, n_words long"))
+
+
+#: What a segment answers a block: exact counts (words) and the filter's levels of the n-grams that the block sent, in
+#: that order. The segment's numbers of distinct and of all tokens stand on its first row.
+ANSWER = "block long, kind int, segment int, data binary, levels binary, types long, total long"
 
 
-def count_words(blocks: DataFrame, parts: int) -> DataFrame:
-    """Rows of three kinds: for each block and segment (``block`` >= 0) the corpus counts of the block's words
-    there; for each segment (-1) the keys of the filter; and (-2) its numbers of distinct and of all tokens."""
+def _answers(blocks: list[int], kind: int, segment: int, data: list[bytes], levels: list[bytes], types: int = 0, total: int = 0) -> pa.Table:
+    rest = [0] * (len(blocks) - 1)
+    return pa.table([
+        pa.array(blocks, pa.int64()), pa.array([kind] * len(blocks), pa.int32()), pa.array([segment] * len(blocks), pa.int32()),
+        pa.array(data, pa.binary()), pa.array(levels, pa.binary()), pa.array([types, *rest], pa.int64()), pa.array([total, *rest], pa.int64()),
+    ], names=["block", "kind", "segment", "data", "levels", "types", "total"])
+
+
+def count_words(blocks: DataFrame, parts: int, bits: int = BITS) -> DataFrame:
+    """For each block and segment the corpus counts and the filter's levels of the block's words there."""
 
     def send(batches):
         for batch in batches:
@@ -163,18 +172,14 @@ def count_words(blocks: DataFrame, parts: int) -> DataFrame:
         distinct, back = np.unique(np.concatenate(words), return_inverse=True)
         total = np.zeros(len(distinct), np.int64)
         np.add.at(total, back, np.concatenate(counts))
-        cuts = np.cumsum([len(w) for w in words])
-        answers = [pack(a) for a in np.split(total[back], cuts[:-1])]
-        kept = total >= 1
-        keys, levels = _keys(distinct[kept], total[kept])
-        stats = np.array([(total > 0).sum(), total.sum()])
-        return pa.table([
-            pa.array([*blocks, -1, -2], pa.int64()), pa.array([segment] * (len(blocks) + 2), pa.int32()),
-            pa.array([*answers, keys, pack(stats)], pa.binary()), pa.array([b""] * len(blocks) + [levels, b""], pa.binary()),
-        ], names=["block", "segment", "data", "levels"])
+        known = total > 0
+        level = filled(distinct[known], total[known], bits).level(distinct).astype(np.uint8)
+        cuts = np.cumsum([len(w) for w in words])[:-1]
+        answers, levels = ([pack(a) for a in np.split(x[back], cuts)] for x in (total, level))
+        return _answers(blocks, 1, segment, answers, levels, int(known.sum()), int(total.sum()))
 
     sent = map_batches(blocks.select("block", "words", "counts"), send, "segment int, block long, words binary, counts binary")
-    return cut(sent.groupBy("segment").applyInArrow(merge, "block long, segment int, data binary, levels binary"))
+    return cut(sent.groupBy("segment").applyInArrow(merge, ANSWER))
 
 
 def sequences(tokens: np.ndarray, bounds: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,36 +193,48 @@ def sequences(tokens: np.ndarray, bounds: np.ndarray, words: np.ndarray) -> tupl
     return index, before, first
 
 
-def count_pairs(blocks: DataFrame, parts: int) -> DataFrame:
-    """For each segment the keys of the word pairs that training texts have twice or more."""
+def count_pairs(blocks: DataFrame, parts: int, least: int = LEAST_PAIR, bits: int = BITS) -> DataFrame:
+    """For each block and segment the filter's levels of the block's word pairs there (in the order of their hashes),
+    which the filter holds if training texts have them ``least`` times."""
 
     def send(batches):
         for batch in batches:
-            for held, bounds, tokens, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for block, held, bounds, tokens, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 held, bounds, tokens, words = unpack(held).astype(bool), unpack(bounds), unpack(tokens), np.frombuffer(words, np.uint64)
                 index, before, _ = sequences(tokens, bounds, words)
-                learned = np.repeat(~held, np.diff(bounds) + 1)
-                pairs, counts = np.unique(pair_hash(before[learned], words[index[learned]]), return_counts=True)
+                pairs, back = np.unique(pair_hash(before, words[index]), return_inverse=True)
+                # pairs of texts held out are asked for, and count nothing
+                counts = np.bincount(back[np.repeat(~held, np.diff(bounds) + 1)], minlength=len(pairs))
                 ends = np.searchsorted(segment_of(pairs, parts), np.arange(parts + 1))
                 some = np.flatnonzero(np.diff(ends))
                 cut_at = [slice(ends[s], ends[s + 1]) for s in some]
                 lead = pairs >> np.uint64(64 - KEY)
-                yield {"segment": some, "gaps": [pack(_narrow(np.diff(lead[c], prepend=np.uint64(0)))) for c in cut_at], "counts": [pack(_narrow(counts[c])) for c in cut_at]}
+                yield {
+                    "segment": some, "block": [block] * len(some),
+                    "gaps": [pack(_narrow(np.diff(lead[c], prepend=np.uint64(0)))) for c in cut_at], "counts": [pack(_narrow(counts[c])) for c in cut_at],
+                }
 
     def merge(table: pa.Table) -> pa.Table:
         segment = table.column("segment")[0].as_py()
-        pairs = np.concatenate([_unkeys(x) for x in table.column("gaps").to_pylist()])
-        counts = np.concatenate([unpack(x).astype(np.int64) for x in table.column("counts").to_pylist()])
+        asked = [_unkeys(x.as_py()) for x in table.column("gaps")]
+        cuts = np.cumsum([len(a) for a in asked])[:-1]
+        pairs = np.concatenate(asked)
+        del asked
+        counts = np.concatenate([unpack(x.as_py()).astype(np.int64) for x in table.column("counts")])
         order = np.argsort(pairs, kind="stable")
         pairs = pairs[order]
-        first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
-        total = np.add.reduceat(counts[order], first) if len(first) else counts
-        kept = total >= 2
-        keys, levels = _keys(pairs[first][kept], total[kept])
-        return pa.table([pa.array([-1], pa.int64()), pa.array([segment], pa.int32()), pa.array([keys], pa.binary()), pa.array([levels], pa.binary())], names=["block", "segment", "data", "levels"])
+        new = np.append(True, pairs[1:] != pairs[:-1])
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(counts[order], first)
+        kept = total >= max(1, least)
+        distinct = pairs[first]
+        levels = np.empty(len(pairs), np.uint8)
+        levels[order] = filled(distinct[kept], total[kept], bits).level(distinct).astype(np.uint8)[np.cumsum(new) - 1]
+        blocks = table.column("block").to_pylist()
+        return _answers(blocks, 2, segment, [b""] * len(blocks), [pack(x) for x in np.split(levels, cuts)])
 
-    sent = map_batches(blocks.select("held", "bounds", "tokens", "words"), send, "segment int, gaps binary, counts binary")
-    return cut(sent.groupBy("segment").applyInArrow(merge, "block long, segment int, data binary, levels binary"))
+    sent = map_batches(blocks.select("block", "held", "bounds", "tokens", "words"), send, "segment int, block long, gaps binary, counts binary")
+    return cut(sent.groupBy("segment").applyInArrow(merge, ANSWER))
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -225,138 +242,35 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint32) if len(x) and x.max() < 1 << 32 else x.astype(np.uint64)
 
 
-def key_counts(keys: DataFrame) -> np.ndarray:
-    """How many n-grams have each level."""
-
-    def tally(batches):
-        total = np.zeros(64, np.int64)
-        for batch in batches:
-            for levels in batch.column(0).to_pylist():
-                total += np.bincount(unpack(levels), minlength=64)
-        yield {"level": np.arange(64), "n": total}
-
-    tallied = map_batches(keys.select("levels"), tally, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()
-    number = np.zeros(64, np.int64)
-    for r in tallied:
-        number[r["level"]] = r["n"]
-    return number
-
-
-def part_size(total: int, parts: int) -> int:
-    """Bits of a segment's part of a filter of ``total`` keys."""
-    return max(64, 1 << (total * BITS // parts - 1).bit_length())
-
-
-def _part(data: list[bytes], levels: list[bytes], floor: int, size: int) -> np.ndarray:
-    """A segment's part of the filter, from the segment's keys."""
-    bits = np.zeros(size, bool)
-    for hashes, found in zip(map(_unkeys, data), levels):
-        found = unpack(found).astype(np.int64)
-        for j in range(1, int(found.max(initial=0)) - floor + 2):
-            for at in places(hashes[found - floor + 1 >= j], j, size):
-                bits[at] = True
-    return np.packbits(bits, bitorder="little")
-
-
-def build(keys: DataFrame, parts: int, max_bits: int | None = None, number: np.ndarray | None = None) -> Filter:
-    """The filter over all keys, built by segments. Nothing is left out unless a caller sets ``max_bits``:
-    then the least count that is kept doubles until the keys fit."""
-    number = key_counts(keys) if number is None else number
-    floor = 0
-    while (total := sum(int(n) * (i - floor + 1) for i, n in enumerate(number) if i >= floor)) * BITS > (max_bits or math.inf):
-        floor += 1
-    if not total:
-        return Filter(np.zeros(0, np.uint8), parts, floor)
-    size = part_size(total, parts)
-    while size * parts > (max_bits or math.inf) and size > 64:
-        size //= 2
-
-    def fill(table: pa.Table) -> pa.Table:
-        bits = _part(table.column("data").to_pylist(), table.column("levels").to_pylist(), floor, size)
-        return pa.table([table.column("segment").slice(0, 1).cast(pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["segment", "bits"])
-
-    found = keys.select("segment", "data", "levels").groupBy("segment").applyInArrow(fill, "segment int, bits binary").toArrow()
-    whole = np.zeros((parts, size // 8), np.uint8)
-    for segment, bits in zip(found["segment"].to_pylist(), found["bits"]):
-        whole[segment] = np.frombuffer(bits.as_buffer(), np.uint8)
-    return Filter(whole.reshape(-1), parts, floor)
-
-
-def pair_hashes(bounds: np.ndarray, tokens: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The distinct word pairs of a block's texts, those held out as well."""
-    index, before, _ = sequences(tokens, bounds, words)
-    return np.unique(pair_hash(before, words[index]))
-
-
-def looked_up(blocks: DataFrame, keys: DataFrame, parts: int, size: int, kind: int) -> DataFrame:
-    """For each block and segment (and ``kind``) the levels of the block's distinct words (kind 1, in the order of
-    their leading bits) or word pairs (kind 2) there, from parts of a filter of ``size`` bits, none of which leaves its task."""
-
-    def send(batches):
-        for batch in batches:
-            for block, bounds, tokens, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                words = np.frombuffer(words, np.uint64)
-                grams = np.sort(words) if kind == 1 else pair_hashes(unpack(bounds), unpack(tokens), words)
-                ends = np.searchsorted(segment_of(grams, parts), np.arange(parts + 1))
-                some = np.flatnonzero(np.diff(ends))
-                lead = grams >> np.uint64(64 - KEY)
-                yield {"segment": some, "block": [block] * len(some), "gaps": [pack(_narrow(np.diff(lead[ends[s] : ends[s + 1]], prepend=np.uint64(0)))) for s in some]}
-
-    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        part = Filter(_part(held.column("data").to_pylist(), held.column("levels").to_pylist(), 0, size), 1, 0)
-        levels = [pack(part.level(_unkeys(x.as_py())).astype(np.uint8)) for x in asked.column("gaps")]
-        return pa.table([asked.column("block"), pa.array([kind] * len(asked), pa.int32()), asked.column("segment"), pa.array(levels, pa.binary())], names=["block", "kind", "segment", "data"])
-
-    sent = map_batches(blocks.select("block", "bounds", "tokens", "words"), send, "segment int, block long, gaps binary")
-    own = keys.select("segment", "data", "levels").groupBy("segment")
-    return sent.groupBy("segment").cogroup(own).applyInArrow(answer, "block long, kind int, segment int, data binary")
-
-
-def _answered(hashes: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
-    """The mean counts of n-grams, from the segments' answers about the distinct ones in order."""
-    distinct, back = np.unique(hashes, return_inverse=True)
-    if not len(distinct):
-        return np.zeros(0)
-    return counts_of(np.concatenate([unpack(answers[s]) for s in sorted(answers)]).astype(np.int64))[back]
-
-
-def score(docs: DataFrame, held_out: Column, share: float = SHARE, max_bits: int = MAX_BITS) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, share: float = SHARE, least: int = LEAST_PAIR, bits: int = BITS) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every
-    row, learning from those where ``held_out`` is false. Filters beyond ``max_bits`` are asked by segments instead
-    of broadcast, with the same answers."""
+    row, learning from those where ``held_out`` is false."""
     spark = docs.sparkSession
     blocks = to_blocks(docs, held_out)
-    size = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("w")).first()
-    parts = segments(int(size["n"]), EACH, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    words = count_words(blocks, parts)
-    pairs = count_pairs(blocks, parts)
-    stats = [unpack(bytes(r["data"])) for r in words.where("block = -2").select("data").collect()]
-    types, total = (int(sum(s[i] for s in stats)) for i in (0, 1))
-    answers = words.where("block >= 0").select("block", F.lit(0).alias("kind"), "segment", "data")
-    filters: list[Filter | None] = []
-    for kind, keys in enumerate((words.where("block = -1"), pairs), 1):
-        number = key_counts(keys)
-        size = part_size(sum(int(n) * (i + 1) for i, n in enumerate(number)), parts)
-        filters.append(build(keys, parts, number=number) if size * parts <= max_bits else None)
-        if filters[-1] is None:
-            answers = answers.unionByName(looked_up(blocks, keys, parts, size, kind))
-    shared = spark.sparkContext.broadcast(tuple(filters))
+    size = int(blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
+    parts = segments(size, EACH, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = count_pairs(blocks, parts, least, bits)
+    release(spark)
+    words = count_words(blocks, parts, bits)
+    release(spark)
+    types, total = words.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    answers = words.unionByName(pairs).select("block", "kind", "segment", "data", "levels")
     norm = float(total + types + 1)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        ones, twos = shared.value
-        rows = left.to_pylist()
-        answers: tuple[dict, dict, dict] = ({}, {}, {})
-        for kind, segment, data in zip(*(right.column(c).to_pylist() for c in ("kind", "segment", "data"))):
-            answers[kind][segment] = data
+        counts, ones, twos = {}, {}, {}
+        for kind, segment, data, levels in zip(*(right.column(c).to_pylist() for c in ("kind", "segment", "data", "levels"))):
+            (ones if kind == 1 else twos)[segment] = levels
+            if kind == 1:
+                counts[segment] = data
         out = {c: [] for c in names}
-        for row in rows:
+        for row in left.to_pylist():
             held, bounds, tokens = unpack(row["held"]).astype(bool), unpack(row["bounds"]), unpack(row["tokens"])
             known = np.frombuffer(row["words"], np.uint64)
-            segment = segment_of(known, parts)
-            order = np.argsort(segment, kind="stable")
-            exact = np.empty(len(known), np.int64)
-            exact[order] = np.concatenate([unpack(answers[0][s]) for s in np.unique(segment).tolist()])
+            order = np.argsort(segment_of(known, parts), kind="stable")
+            exact, one = np.empty(len(known), np.int64), np.empty(len(known))
+            exact[order] = _joined(counts)
+            one[order] = counts_of(_joined(ones).astype(np.int64))
             index, before, first = sequences(tokens, bounds, known)
             sizes = np.diff(bounds) + 1
             log = np.log10((exact + 1) / norm)
@@ -366,12 +280,11 @@ def score(docs: DataFrame, held_out: Column, share: float = SHARE, max_bits: int
             out["n_known"] += np.add.reduceat((exact > 0)[index].astype(np.int64), first).tolist()
             out["train_tokens"] += [total] * len(held)
             out["base_score"] += np.add.reduceat(log[index], first).tolist()
-            one = ones.count(known) if ones else _answered(known, answers[1])
             context = np.empty(len(index))
             context[1:] = one[index[:-1]]
             context[first] = one[-1]  # as many beginnings as ends
-            grams = pair_hash(before, known[index])
-            pair = np.minimum(twos.count(grams) if twos else _answered(grams, answers[2]), context)
+            _, back = np.unique(pair_hash(before, known[index]), return_inverse=True)
+            pair = np.minimum(counts_of(_joined(twos).astype(np.int64))[back], context)
             single = ((one + 1) / norm)[index]
             chance = np.where(context > 0, share * pair / np.maximum(1, context) + (1 - share) * single, single)
             out["score"] += np.add.reduceat(np.log10(chance), first).tolist()
@@ -381,3 +294,8 @@ def score(docs: DataFrame, held_out: Column, share: float = SHARE, max_bits: int
     names = list(kinds)
     left = blocks.select("block", "ids", "held", "bounds", "tokens", "words").groupBy("block")
     return left.cogroup(answers.groupBy("block")).applyInArrow(work, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _joined(answers: dict[int, bytes]) -> np.ndarray:
+    """A block's answers, one segment after another."""
+    return np.concatenate([unpack(answers[s]) for s in sorted(answers)])

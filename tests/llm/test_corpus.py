@@ -310,13 +310,10 @@ def test_edited_texts(spark):
 def test_filter_gives_back_levels():
     hashes = bloomlm.mix(np.arange(3000, dtype=np.uint64))
     levels = np.arange(3000) % 5
-    bits = np.zeros(1 << 16, bool)
-    for j in range(1, 5):
-        for at in bloomlm.places(hashes[levels >= j], j, 1 << 16):
-            bits[at] = True
-    model = bloomlm.Filter(np.packbits(bits, bitorder="little"), 1, 0)
+    there = levels > 0
+    model = bloomlm.filled(hashes[there], 2 ** levels[there] // 2, bloomlm.BITS)
     assert (model.level(hashes) == levels).mean() > 0.97 and (model.level(hashes) >= levels).all()
-    assert bloomlm.Filter(np.zeros(0, np.uint8), 1, 0).count(hashes).sum() == 0
+    assert bloomlm.filled(hashes[:0], levels[:0], bloomlm.BITS).level(hashes).sum() == 0
 
 
 def test_language_model(spark):
@@ -340,35 +337,47 @@ def test_language_model(spark):
     assert all(r.train_tokens == 0 and r.base_score == 0 and r.score == 0 for r in nothing)
 
 
-def test_language_model_floor_rises_until_it_fits(spark):
-    from pyspark.sql import functions as F
+def mixed_score(texts, learned, least, share=bloomlm.SHARE):
+    """The score of every text by exact counts, each replaced by the mean of those with its binary logarithm."""
+    tokens = [[*blank_words(t), None] for t in texts]
+    words = Counter(w for t, use in zip(tokens, learned) if use for w in t)
+    pairs = Counter(p for t, use in zip(tokens, learned) if use for p in zip([0, *t], t))
+    norm = sum(words.values()) + len(words) + 1
 
-    hashes = np.sort(bloomlm.mix(np.arange(1, 2001, dtype=np.uint64)))
-    keys, levels = bloomlm._keys(hashes, np.where(np.arange(2000) % 10 == 0, 64, 1))
-    frame = spark.createDataFrame([(-1, 0, bytearray(keys), bytearray(levels))], "block long, segment int, data binary, levels binary")
-    roomy, tight = bloomlm.build(frame, 1), bloomlm.build(frame.where(F.lit(True)), 1, max_bits=1 << 13)
-    assert roomy.floor == 0 and tight.floor > 0 and 8 * len(tight.bits) <= 1 << 13
-    assert (roomy.count(hashes) > 0).all() and (tight.count(hashes[::10]) > 0).all()
+    def rough(n):
+        return 1.5 * 2 ** (n.bit_length() - 1) - 0.5 if n else 0.0
 
+    out = []
+    for t in tokens:
+        total = 0.0
+        for before, word in zip([0, *t], t):
+            single, context = (rough(words[word]) + 1) / norm, rough(words[before if before != 0 else None])
+            n = pairs[before, word]
+            pair = min(rough(n if n >= least else 0), context)
+            total += math.log10(share * pair / max(1, context) + (1 - share) * single if context else single)
+        out.append(total)
+    return out
 
-def test_language_model_beyond_the_broadcast_limit(spark):
-    """Filters too large to be broadcast are asked where they lie: no count is dropped, and scores stay the same."""
+
+def test_language_model_score_against_exact_counts(spark):
     from lodestead.llm.frames import bucket
 
     rng = np.random.default_rng(5)
-    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 80) % 3000) for _ in range(60)] + [None, "", "once in all texts", "never seen"]
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 80) % 3000) for _ in range(60)] + [None, "", "once in all texts", "never seen", "w1 w1 " * 3000, "w1", "w1"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     held = bucket(docs.doc_id, 7) == 2
-    whole, asked = ({r.doc_id: r for r in bloomlm.score(docs, held, **limit).collect()} for limit in ({}, {"max_bits": 64}))
-    assert whole == asked and len(whole) == len(texts)
-    assert bloomlm.score(docs.limit(0), held, max_bits=64).count() == 0
-    nothing = bloomlm.score(docs, docs.doc_id.isNotNull(), max_bits=64).collect()
-    assert all(r.score == 0 for r in nothing)
-    # without a limit of its own the filter keeps all keys, however many they are
-    hashes = np.sort(bloomlm.mix(np.arange(1, 1_000_001, dtype=np.uint64)))
-    keys, levels = bloomlm._keys(hashes, np.full(len(hashes), 1 << 13))
-    frame = spark.createDataFrame([(-1, 0, bytearray(keys), bytearray(levels))], "block long, segment int, data binary, levels binary")
-    assert bloomlm.build(frame, 1).floor == 0
+    learned = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
+    for least in (1, 2):
+        # bits enough for a wrong yes of the filter to be unlikely in a small corpus
+        found = {r.doc_id: r.score for r in bloomlm.score(docs, held, least=least, bits=200).collect()}
+        assert len(found) == len(texts)
+        for i, wanted in enumerate(mixed_score(texts, learned, least)):
+            assert math.isclose(found[i], wanted, rel_tol=1e-9), (least, i)
+    # with the bits of the query a wrong yes moves few scores, and those little
+    rough = {r.doc_id: r.score for r in bloomlm.score(docs, held).collect()}
+    off = [abs(rough[i] - wanted) / abs(wanted) for i, wanted in enumerate(mixed_score(texts, learned, 2))]
+    assert np.median(off) < 0.01 and max(off) < 0.2
+    assert bloomlm.score(docs.limit(0), held, least=1).count() == 0
 
 
 def test_model_beats_its_base_on_held_out_texts(spark):
