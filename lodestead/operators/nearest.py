@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestead import catalog as cat
 from lodestead.checkpoints import cut
-from lodestead.functions.geo import haversine_km, haversine_sql
+from lodestead.functions.geo import EARTH_RADIUS_KM, haversine_km, haversine_sql
 
 # Tree levels. Level k has 2^k by 2^k cells over longitude and latitude.
 STRIDE, BASE_LEVEL, DEEPEST = 3, 9, 27
@@ -68,6 +68,26 @@ def _radius(x: str, y: str, level: int) -> str:
     return f"greatest({haversine_sql(lat, lon, south, east)}, {haversine_sql(lat, lon, north, east)})"
 
 
+def _unit(lat: str, lon: str) -> str:
+    """SQL for a position as a point on the unit sphere."""
+    return (
+        f"struct(cos(radians({lat})) * cos(radians({lon})) AS x, cos(radians({lat})) * sin(radians({lon})) AS y,"
+        f" sin(radians({lat})) AS z)"
+    )
+
+
+def _chord(a: str, b: str) -> str:
+    """SQL for the straight line between two points of the unit sphere."""
+    return f"sqrt({' + '.join(f'({a}.{c} - {b}.{c}) * ({a}.{c} - {b}.{c})' for c in 'xyz')})"
+
+
+def _arc_km(a: str, b: str) -> str:
+    """SQL for the distance of two points of the unit sphere, good to 0.0002 km
+    (which ``SLACK_KM`` covers): bounds of pairs need one root and one arc sine
+    where all that belongs to one side is a column of that side."""
+    return f"({2 * EARTH_RADIUS_KM!r}D * asin(least(1D, {_chord(a, b)} / 2)))"
+
+
 def distinct_sites(points: DataFrame) -> DataFrame:
     """One row per category and position. Points that share a position are at
     equal distance from everywhere, and of equals the first by name is wanted."""
@@ -81,27 +101,26 @@ def distinct_sites(points: DataFrame) -> DataFrame:
 def _descend(pairs: DataFrame, cells: DataFrame, sites: DataFrame, above: int, level: int) -> DataFrame:
     """Surviving pairs one step further down both trees."""
     listing_side = cells.selectExpr(
-        "x AS cx", "y AS cy", f"{_up('x', above, level)} AS lx", f"{_up('y', above, level)} AS ly"
+        "x AS cx", "y AS cy", f"{_up('x', above, level)} AS lx", f"{_up('y', above, level)} AS ly",
+        f"{_unit(*_centre('x', 'y', level))} AS c", f"{_radius('x', 'y', level)} AS reach",
     )
     # occupied point cells with their size and one real point
     point_side = (
-        sites.selectExpr("category", f"{_up('x', level)} AS qx", f"{_up('y', level)} AS qy", "struct(lat, lon) AS at")
+        sites.selectExpr("category", f"{_up('x', level)} AS qx", f"{_up('y', level)} AS qy", "u")
         .groupBy("category", "qx", "qy")
-        .agg(F.count("*").alias("n"), F.min("at").alias("sample"))
-        .selectExpr("*", f"{_up('qx', above, level)} AS px", f"{_up('qy', above, level)} AS py")
+        .agg(F.count("*").alias("n"), F.min("u").alias("sample"))
+        .selectExpr(
+            "*", f"{_up('qx', above, level)} AS px", f"{_up('qy', above, level)} AS py",
+            f"{_unit(*_centre('qx', 'qy', level))} AS q", f"{_radius('qx', 'qy', level)} AS spread",
+        )
     )
-    lat, lon = _centre("cx", "cy", level)
-    reach = _radius("cx", "cy", level)
-    apart = haversine_sql(lat, lon, *_centre("qx", "qy", level))
     bounded = (
         pairs.select("category", "lx", "ly", "px", "py", F.col("best").alias("bound"))
         .join(listing_side, ["lx", "ly"])
         .join(point_side, ["category", "px", "py"])
         .selectExpr(
             "category", "cx AS lx", "cy AS ly", "qx AS px", "qy AS py", "n",
-            f"{apart} - {reach} - {_radius('qx', 'qy', level)} AS least",
-            f"{haversine_sql(lat, lon, 'sample.lat', 'sample.lon')} + {reach} AS sure",
-            "bound",
+            f"{_arc_km('c', 'q')} - reach - spread AS least", f"{_arc_km('c', 'sample')} + reach AS sure", "bound",
         )
         # what is sure for a cell is sure for its parts, so most pairs end before they are shuffled
         .where(f"least <= bound + {SLACK_KM}D")
@@ -115,13 +134,15 @@ def _descend(pairs: DataFrame, cells: DataFrame, sites: DataFrame, above: int, l
 
 def _leaves(pairs: DataFrame, sites: DataFrame, level: int) -> DataFrame:
     """Candidate points per listing cell and category."""
-    lat, lon = _centre("lx", "ly", level)
-    inside = sites.selectExpr("category", "name", "lat", "lon", f"{_up('x', level)} AS px", f"{_up('y', level)} AS py")
+    from_cells = pairs.selectExpr(
+        "category", "lx", "ly", "px", "py", f"{_unit(*_centre('lx', 'ly', level))} AS c", f"{_radius('lx', 'ly', level)} AS reach"
+    )
+    inside = sites.selectExpr("category", "name", "lat", "lon", "u", f"{_up('x', level)} AS px", f"{_up('y', level)} AS py")
     return (
-        pairs.drop("best").join(inside, ["category", "px", "py"])
-        .selectExpr("*", f"{haversine_sql(lat, lon, 'lat', 'lon')} AS km")
+        from_cells.join(inside, ["category", "px", "py"])
+        .selectExpr("*", f"{_arc_km('c', 'u')} AS km")
         .selectExpr("*", "min(km) OVER (PARTITION BY lx, ly, category) AS best")
-        .where(f"km <= best + 2 * {_radius('lx', 'ly', level)} + {SLACK_KM}D")
+        .where(f"km <= best + 2 * reach + {SLACK_KM}D")
         .selectExpr(f"{level} AS depth", "lx AS x", "ly AS y", "category", "name", "lat", "lon")
     )
 
@@ -174,21 +195,13 @@ def _as_lists(entries: DataFrame) -> DataFrame:
     return entries.groupBy(F.expr("depth AS _depth"), F.expr("x AS _cx"), F.expr("y AS _cy")).agg(*lists)
 
 
-def _unit(lat: str, lon: str) -> str:
-    """SQL for a position as a point on the unit sphere."""
-    return (
-        f"struct(cos(radians({lat})) * cos(radians({lon})) AS x, cos(radians({lat})) * sin(radians({lon})) AS y,"
-        f" sin(radians({lat})) AS z)"
-    )
-
-
 def _closest(category: str) -> str:
     """SQL for the nearest candidate; of equally near ones the first by name,
     then by position. Straight-line chords, which need no trigonometry per
     candidate, find those within a hair of the nearest; the exact distance
     decides among them. The one-element array gives the shortest chord a name,
     so that it is worked out once and not once per candidate."""
-    chord = "sqrt((p.u.x - _u.x) * (p.u.x - _u.x) + (p.u.y - _u.y) * (p.u.y - _u.y) + (p.u.z - _u.z) * (p.u.z - _u.z))"
+    chord = _chord("p.u", "_u")
     km = haversine_sql("lat", "lon", "p.lat", "p.lon")
     found = f"struct({km} AS km, p.name AS name, p.lat AS lat, p.lon AS lon)"
     nearest = f"array_min(transform(filter(_{category}, p -> {chord} <= shortest + 1E-12D), p -> {found}))"
@@ -209,8 +222,9 @@ def _with_nearest(listings: DataFrame, points: DataFrame, leaf_points: int) -> D
         cover = F.broadcast(_as_lists(sites.selectExpr("*", "0 AS depth", f"{_up(x, 0)} AS x", f"{_up(y, 0)} AS y")))
         placed = placed.withColumn("_d", F.lit(0))
     else:
-        sites = cut(sites.selectExpr("*", f"{x} AS x", f"{y} AS y"))
-        located = listings.where(KNOWN).selectExpr(f"{x} AS x", f"{y} AS y")
+        sites = cut(sites.selectExpr("*", f"{x} AS x", f"{y} AS y", f"{_unit('lat', 'lon')} AS u"))
+        # one scan of the listings, however deep the trees go
+        located = cut(listings.where(KNOWN).selectExpr(f"{x} AS x", f"{y} AS y").distinct())
         cover, depths = _cover(located, sites, leaf_points)
         sizes = " + ".join(f"size(_{c})" for c in cat.POI_CATEGORIES)
         sent = (cover.selectExpr(f"sum({sizes})").first()[0] or 0) <= BROADCAST_ENTRIES
