@@ -105,17 +105,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             for a, b in rows_by_bytes(offsets):
-                found = np.minimum(counts(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), 65535).astype(np.uint16)
+                found = counts(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).astype(np.float32)
                 part = batch.slice(a, b - a)
                 yield {"doc_id": part.column(0), "label": part.column(2), "found": [r.tobytes() for r in found]}
 
     table = map_batches(rows, work, "doc_id long, label int, found binary").toArrow()
     ids, label_of = table["doc_id"].to_numpy(), table["label"].to_numpy()
-    found = [np.frombuffer(x.as_py(), np.uint16) for x in table["found"]]
+    found = [np.frombuffer(x.as_py(), np.float32) for x in table["found"]]
     order = sorted(range(len(found)), key=lambda i: (ids[i], found[i].tobytes()))
     if not order:
         return Model(np.zeros(FEATURES + 1, np.float32), np.zeros((FEATURES + 1, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
-    x = np.stack([found[i] for i in order]).astype(np.float32)
+    x = np.stack([found[i] for i in order])
     y = label_of[order].astype(np.float32)
     scale = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
     x = _unit(_dampened(x) * scale)
