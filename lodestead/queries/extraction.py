@@ -53,9 +53,9 @@ BODY = "CASE k % 3 WHEN 0 THEN concat('Sunny home.&lt;br/&gt;- Reverse cycle air
 LEASE_WORDS = "CASE k % 4 WHEN 0 THEN 'A twelve month lease or 6 months term.' WHEN 1 THEN 'Lease of 9 months, or 2 year lease.' WHEN 2 THEN 'six-month tenancy only.' ELSE 'Ask about lease terms.' END"
 
 
-def _facts(source: str) -> str:
+def _facts(source: str, more: str = "") -> str:
     facts = ", ".join(f"{expression} AS {name}" for name, expression in FACTS.items())
-    worded = f"SELECT k, {facts}, {LEASE_WORDS} AS lease_words FROM ({source})"
+    worded = f"SELECT k, {more}{facts}, {LEASE_WORDS} AS lease_words FROM ({source})"
     return f"SELECT *, {BODY} AS body FROM ({worded})"
 
 
@@ -63,8 +63,8 @@ LISTING_KEYS = "SELECT p_partkey AS k FROM part"
 PAGE_KEYS = "SELECT page_id AS k FROM pages"
 
 
-def _pages(keys: str) -> str:
-    return f"WITH facts AS ({_facts(keys)}) {PAGE_SQL}"
+def _pages(keys: str, more: str = "") -> str:
+    return f"WITH facts AS ({_facts(keys, more)}) {PAGE_SQL.replace('SELECT k,', f'SELECT k, {more}', 1)}"
 
 
 def _twin(keys: str) -> str:
@@ -103,8 +103,7 @@ def extract_rendered(spark, sf_dir):
 def extract_noisy_pages(spark, sf_dir):
     """The same facts planted in the real pages, noise and all."""
     # the facts are functions of the key, so they are put on the page's own row
-    keyed = table(spark, sf_dir, "pages", heavy=True).selectExpr("page_id AS k", "html AS page")
-    planted = run_sql(spark, sf_dir, _pages(PAGE_KEYS)).join(keyed, "k")
+    planted = run_sql(spark, sf_dir, _pages("SELECT page_id AS k, html AS page FROM pages", "page, "), heavy=("pages",))
     pages = planted.withColumn("html", F.replace("page", F.lit("<article>"), F.concat(F.lit("<article>"), F.col("markup"))))
     return _shown(ex.extract(pages))
 
