@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestead import catalog as cat
 from lodestead.checkpoints import cut
 from lodestead.operators import enrich, merge, nearest
-from lodestead.operators.extract import extract
+from lodestead.operators.extract import COVERAGE_FIELDS, extract
 from lodestead.plans.workspace import Workspace
 from lodestead.sources.pages import file_order
 from lodestead.sources.tables import conform
@@ -72,12 +72,14 @@ def ingest(
     """Read the pages that are new (all of them with ``force``) into the listing
     table, of which only the buckets of the batch's listings are read and written. Running it again on the
     same pages changes nothing. Returns how many pages were read and how many skipped, by a count of the pages
-    as they are parsed and one of the names, and notes both in the run log."""
+    as they are parsed and one of the names, and notes both in the run log, and how often each
+    required field was missing from them in the coverage table."""
     seen = ledger_view(workspace.read("ledger"), workspace.read("listings"), pages)
     taken, stored = Observation(), Observation()
     todo = merge.skip_ingested(pages, seen, with_enrichment, force)
     # page parsing is the dear step, and its result is looked at several times
-    parsed = cut(conform(extract(todo)).observe(taken, F.count("*").alias("n")))
+    missing = [F.count_if(F.col(f).isNull()).alias(f) for f in COVERAGE_FIELDS]
+    parsed = cut(conform(extract(todo)).observe(taken, F.count("*").alias("n"), *missing))
     processed = taken.get["n"]
     skipped = pages.select("source_file").count() - processed
     if processed == 0:
@@ -91,6 +93,8 @@ def ingest(
     files = parsed.select("source_file", "listing_id").where(F.col("source_file").isNotNull()).distinct()
     workspace.append("ledger", files.join(workspace.read("ledger"), "source_file", "left_anti"))
     log_run(workspace, "ingest", processed, skipped, stored.get["n"], buckets)
+    found = workspace.spark.createDataFrame([(f, taken.get[f], processed) for f in COVERAGE_FIELDS], "field string, missing long, total long")
+    workspace.append("coverage", found.select(F.current_timestamp().alias("at"), "*"))
     return {"processed": processed, "skipped": skipped}
 
 

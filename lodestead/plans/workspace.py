@@ -18,6 +18,7 @@ from lodestead.sources.tables import conform
 
 LEDGER_SCHEMA = "source_file string, listing_id string"
 RUN_SCHEMA = "at timestamp, job string, processed long, skipped long, stored long, buckets int"
+COVERAGE_SCHEMA = "at timestamp, field string, missing long, total long"
 ISSUE_SCHEMA = "subject string, column_name string, raw string, reason string, action string"
 
 SCHEMAS = {
@@ -34,6 +35,7 @@ SCHEMAS = {
     "preferred_suburbs": prefs.SUBURB_SCHEMA,
     "issues": ISSUE_SCHEMA,
     "run_log": RUN_SCHEMA,
+    "coverage": COVERAGE_SCHEMA,
 }
 # Tables kept in buckets of this column, so that a batch reads and writes the buckets of its own keys only.
 BUCKETED = {"listings": "listing_id"}

@@ -91,6 +91,10 @@ def test_ingest_touches_only_its_buckets(spark, tmp_path):
     assert by_id(other)["4"]["suburb"] == "Y" and len(files_of(other, "listings")) == 64 and len(by_id(other)) == 501
     log = [(r.job, r.processed, r.skipped, r.buckets) for r in space.read("run_log").collect()]
     assert log == [("ingest", 2, 0, 2)] or log == [("ingest", 2, 0, 1)]
+    parsed = [r for r in found.values() if r["source_file"]]
+    seen = {r.field: (r.missing, r.total) for r in space.read("coverage").collect()}
+    assert len(seen) == 5 and seen["weekly_rent_aud"] == (sum(r["weekly_rent_aud"] is None for r in parsed), 2)
+    assert seen["address"] == (sum(r["address"] is None for r in parsed), 2)
 
 
 def test_points_replace_only_their_categories(spark, tmp_path):
