@@ -30,6 +30,8 @@ SLACK_KM = 0.001
 # A cover with at most this many candidate entries (about 60 bytes each) is
 # sent to all executors; a larger one is joined by key.
 BROADCAST_ENTRIES = 1_000_000
+# Pairs of cells, or of cells and points, that one task is given to bound and sort (some 200 bytes each).
+TASK_PAIRS = 500_000
 
 KNOWN = "(lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon))"
 
@@ -98,8 +100,26 @@ def distinct_sites(points: DataFrame) -> DataFrame:
     )
 
 
-def _descend(pairs: DataFrame, cells: DataFrame, sites: DataFrame, above: int, level: int) -> DataFrame:
-    """Surviving pairs one step further down both trees."""
+def _tasks(rows: int) -> int:
+    return max(1, -(-rows // TASK_PAIRS))
+
+
+def _walk(pairs: DataFrame, count: int, cells: DataFrame, sites: DataFrame, level: int, to: int) -> tuple[DataFrame, int]:
+    """``count`` pairs of ``level`` walked down to the listing cells of level ``to``, and how many survive.
+    Many pairs go one level at a time, where a pair makes 16 at most, of which few go on."""
+    while level < to:
+        step = next((n for n in range(to - level, 1, -1) if count * 16**n <= TASK_PAIRS), 1)
+        above, level = level, level + step
+        within = cells.selectExpr(f"{_up('x', level, to)} AS x", f"{_up('y', level, to)} AS y").distinct()
+        pairs = cut(_descend(pairs, within, sites, above, level, _tasks(count * 16**step)))
+        count = pairs.count()
+    return pairs, count
+
+
+def _descend(pairs: DataFrame, cells: DataFrame, sites: DataFrame, above: int, level: int, tasks: int) -> DataFrame:
+    """Surviving pairs one step further down both trees. Pairs are dealt to
+    ``tasks`` places before they multiply: by the size of what goes in, a few
+    cells would all be one task, which then sorts all that comes out."""
     listing_side = cells.selectExpr(
         "x AS cx", "y AS cy", f"{_up('x', above, level)} AS lx", f"{_up('y', above, level)} AS ly",
         f"{_unit(*_centre('x', 'y', level))} AS c", f"{_radius('x', 'y', level)} AS reach",
@@ -117,6 +137,7 @@ def _descend(pairs: DataFrame, cells: DataFrame, sites: DataFrame, above: int, l
     bounded = (
         pairs.select("category", "lx", "ly", "px", "py", F.col("best").alias("bound"))
         .join(listing_side, ["lx", "ly"])
+        .repartition(tasks, "cx", "cy", "category")
         .join(point_side, ["category", "px", "py"])
         .selectExpr(
             "category", "cx AS lx", "cy AS ly", "qx AS px", "qy AS py", "n",
@@ -132,14 +153,14 @@ def _descend(pairs: DataFrame, cells: DataFrame, sites: DataFrame, above: int, l
     )
 
 
-def _leaves(pairs: DataFrame, sites: DataFrame, level: int) -> DataFrame:
-    """Candidate points per listing cell and category."""
+def _leaves(pairs: DataFrame, sites: DataFrame, level: int, tasks: int) -> DataFrame:
+    """Candidate points per listing cell and category; ``tasks`` as above."""
     from_cells = pairs.selectExpr(
         "category", "lx", "ly", "px", "py", f"{_unit(*_centre('lx', 'ly', level))} AS c", f"{_radius('lx', 'ly', level)} AS reach"
     )
     inside = sites.selectExpr("category", "name", "lat", "lon", "u", f"{_up('x', level)} AS px", f"{_up('y', level)} AS py")
     return (
-        from_cells.join(inside, ["category", "px", "py"])
+        from_cells.repartition(tasks, "category", "px", "py").join(inside, ["category", "px", "py"])
         .selectExpr("*", f"{_arc_km('c', 'u')} AS km")
         .selectExpr("*", "min(km) OVER (PARTITION BY lx, ly, category) AS best")
         .where(f"km <= best + 2 * reach + {SLACK_KM}D")
@@ -151,35 +172,38 @@ def _cover(located: DataFrame, sites: DataFrame, leaf_points: int) -> tuple[Data
     """The cover, and for each base cell the level its cover is kept at."""
     base_cells = cut(located.selectExpr(f"{_up('x', BASE_LEVEL)} AS x", f"{_up('y', BASE_LEVEL)} AS y").distinct())
     pairs = sites.select("category").distinct().selectExpr("category", "0 AS lx", "0 AS ly", "0 AS px", "0 AS py", "1e9D AS best")
-    for level in range(STRIDE, BASE_LEVEL + 1, STRIDE):
-        cells = base_cells.selectExpr(f"{_up('x', level, BASE_LEVEL)} AS x", f"{_up('y', level, BASE_LEVEL)} AS y").distinct()
-        pairs = cut(_descend(pairs, cells, sites, level - STRIDE, level))
+    count, level = len(cat.POI_CATEGORIES), BASE_LEVEL
+    for above in range(0, BASE_LEVEL, STRIDE):
+        cells = base_cells.selectExpr(f"{_up('x', above + STRIDE, BASE_LEVEL)} AS x", f"{_up('y', above + STRIDE, BASE_LEVEL)} AS y").distinct()
+        pairs, count = _walk(pairs, count, cells, sites, above, above + STRIDE)
 
     leaves, depths = [], []
     while True:
         base = [f"{_up('lx', BASE_LEVEL, level)} AS bx", f"{_up('ly', BASE_LEVEL, level)} AS by"]
         load = (
-            pairs.groupBy("lx", "ly", "category").agg(F.sum("n").alias("load")).selectExpr(*base, "load")
-            .groupBy("bx", "by").agg(F.max("load").alias("load"))
+            pairs.groupBy("lx", "ly", "category").agg(F.sum("n").alias("load"), F.count("*").alias("pairs")).selectExpr(*base, "load", "pairs")
+            .groupBy("bx", "by").agg(F.max("load").alias("load"), F.sum("load").alias("entries"), F.sum("pairs").alias("pairs"))
         )
         load = cut(load.withColumn("settled", F.expr("true" if level >= DEEPEST else f"load <= {leaf_points}")))
+        entries, still = load.selectExpr("coalesce(sum(entries) FILTER (WHERE settled), 0)", "coalesce(sum(pairs) FILTER (WHERE NOT settled), 0)").first()
         done = load.where("settled").select("bx", "by")
         tagged = pairs.selectExpr("*", *base)
-        leaves.append(_leaves(tagged.join(done, ["bx", "by"]), sites, level))
+        leaves.append(_leaves(tagged.join(done, ["bx", "by"]), sites, level, _tasks(entries)))
         depths.append(done.withColumn("depth", F.lit(level)))
-        unsettled = load.where("NOT settled").select("bx", "by")
-        if unsettled.isEmpty():
+        if still == 0:
             break
+        unsettled = load.where("NOT settled").select("bx", "by")
         deeper = level + STRIDE
         # at most 4^BASE_LEVEL rows, so sending them everywhere is safe
-        cells = (
+        cells = cut(
             located.selectExpr("x", "y", f"{_up('x', BASE_LEVEL)} AS bx", f"{_up('y', BASE_LEVEL)} AS by")
             .join(F.broadcast(unsettled), ["bx", "by"], "left_semi")
             .selectExpr(f"{_up('x', deeper)} AS x", f"{_up('y', deeper)} AS y")
             .distinct()
         )
-        open_pairs = tagged.join(unsettled, ["bx", "by"], "left_semi")
-        pairs, level = cut(_descend(open_pairs, cells, sites, level, deeper)), deeper
+        pairs = tagged.join(F.broadcast(unsettled), ["bx", "by"], "left_semi")
+        pairs, _ = _walk(pairs, still, cells, sites, level, deeper)
+        level = deeper
 
     entries, depth_map = leaves[0], depths[0]
     for more, more_depths in zip(leaves[1:], depths[1:]):

@@ -4,6 +4,7 @@ import json
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestead import catalog as cat
 from lodestead.operators import enrich, nearest, stations
@@ -60,6 +61,24 @@ def test_one_crowded_place(spark, leaf_points):
     check(spark, listings, [p for p in pois if p[0] != "helipad"] if leaf_points > 100 else [p for p in pois if p[0] in cat.POI_CATEGORIES], leaf_points)
 
 
+def test_pairs_of_a_crowded_place_are_many_tasks(spark, monkeypatch):
+    """Few cells go into a step and many pairs come out: these are dealt to tasks before they multiply."""
+    monkeypatch.setattr(nearest, "TASK_PAIRS", 2000, raising=False)
+    found, cut = [], nearest.cut
+
+    def counted(df):
+        out = cut(df)
+        if "best" in out.columns:
+            found.append([r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()])
+        return out
+
+    monkeypatch.setattr(nearest, "cut", counted)
+    pois = [("school", f"s{i:04d}", a, b) for i, (a, b) in enumerate(spread(300, 1, -33.9, -33.6, 151.1, 151.6))]
+    check(spark, [(f"a{i}", a, b) for i, (a, b) in enumerate(spread(300, 9, -33.9, -33.6, 151.1, 151.6))], pois, 4)
+    assert max(map(sum, found)) > 2000
+    assert all(len(parts) > 1 and max(parts) <= 2000 for parts in found if sum(parts) > 2000)
+
+
 def test_edges_of_the_map(spark):
     pois = [("park", f"p{i:03d}", a, b) for i, (a, b) in enumerate(spread(60, 2, -89.9, 89.9, -180, 180))]
     pois += [("park", "east", 10.0, 179.99), ("park", "west", 10.0, -179.99), ("park", "pole", 90.0, 0.0), ("park", "corner", -90.0, 180.0)]
