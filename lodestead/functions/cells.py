@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from lodestead.functions.numbers import to_number
 from lodestead.functions.text import trimmed_or_null
 
-# Date spellings, tried in order. Days come before months unless the cell is
-# written with dashes; a time of day is ignored.
+# Date spellings, tried in order, by what a text must look like for any of them to
+# read it: a spelling that fails costs far more than the look. Days come before months
+# unless the cell is written with dashes; a time of day is ignored.
 DATE_FORMATS = [
-    "yyyy-M-d", "M-d-yyyy", "d-M-yyyy",
-    "d/M/yyyy", "M/d/yyyy", "d/M/yy", "yyyy/M/d",
-    "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy",
+    (r"^[0-9+-]+$", [
+        (r"^[+-]?[0-9]{4,}-", "yyyy-M-d"), (r"-[+-]?[0-9]{4,}$", "M-d-yyyy"), (r"-[+-]?[0-9]{4,}$", "d-M-yyyy"),
+    ]),
+    (r"^[0-9+/-]+$", [
+        (r"/[+-]?[0-9]{4,}$", "d/M/yyyy"), (r"/[+-]?[0-9]{4,}$", "M/d/yyyy"), (r"/[0-9]{2}$", "d/M/yy"), (r"^[+-]?[0-9]{4,}/", "yyyy/M/d"),
+    ]),
+    (r"^[0-9+-]+ [A-Za-z]+ [0-9+-]+$", [("", "d MMM yyyy"), ("", "d MMMM yyyy")]),
+    (r"^[A-Za-z]+ [0-9+-]+, [0-9+-]+$", [("", "MMM d, yyyy"), ("", "MMMM d, yyyy")]),
 ]
 TRUE_WORDS = ["true", "yes", "1"]
 
@@ -34,8 +40,17 @@ def list_cell(raw: Column) -> Column:
 
 
 def date_cell(raw: Column) -> Column:
-    day = F.regexp_replace(trimmed_or_null(raw), r"[T ]\d{1,2}:.*$", "")
-    return F.coalesce(*[F.try_to_date(day, f) for f in DATE_FORMATS])
+    text = F.regexp_replace(trimmed_or_null(raw), r"[T ]\d{1,2}:.*$", "")
+
+    def read(day: Column) -> Column:
+        found = None
+        for looks, spellings in DATE_FORMATS:
+            tried = F.coalesce(*[F.when(day.rlike(own), F.try_to_date(day, f)) if own else F.try_to_date(day, f) for own, f in spellings])
+            found = F.when(day.rlike(looks), tried) if found is None else found.when(day.rlike(looks), tried)
+        return found
+
+    # the one-element array gives the text a name, so that it is trimmed once and not once per look
+    return F.get(F.transform(F.array(text), read), 0)
 
 
 def canonical_number(value: Column) -> Column:
