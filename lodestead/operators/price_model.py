@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestead import catalog as cat
+from lodestead.checkpoints import cut
 from lodestead.functions.numbers import round_even, to_number
 from lodestead.operators import ridge as fold_ridge
 from lodestead.operators.medians import exact_medians
@@ -230,11 +231,13 @@ def _ridge_signal(listings: DataFrame, features: Features, min_rows: int, folds:
 
 def predict_value(listings: DataFrame, **options) -> DataFrame:
     """The price signal alone, dearest against its prediction first."""
-    return value_order(
+    signal = (
         with_price_signal(listings, **options)
         .where(F.col("predicted_weekly_rent").isNotNull())
         .select("listing_id", "predicted_weekly_rent", "residual", "pct_over_or_under")
     )
+    # a sort looks at its rows twice, and each look would predict them again
+    return value_order(cut(signal))
 
 
 def value_order(signal: DataFrame) -> DataFrame:

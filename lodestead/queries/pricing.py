@@ -117,7 +117,7 @@ def model_metrics(spark, sf_dir):
 @query("value_signal_full")
 def value_signal_full(spark, sf_dir):
     """Out-of-fold ridge on every feature; checked against a closed form in the tests."""
-    return price_model.predict_value(conform(view(spark, sf_dir, "v_listings")))
+    return price_model.predict_value(conform(view(spark, sf_dir, "v_listings", heavy=("part",))))
 
 
 FEATURES_SQL = ", ".join(f"('{c}')" for c in ["intercept", *price_model.ALL_FEATURES.scalar_columns])

@@ -327,3 +327,11 @@ def test_gradients_tell_other_weights_apart(spark):
     df = many_listings(spark, 300, 20)
     assert left_over(df)[1].agg(F.max(F.abs("gradient"))).first()[0] < 1e-9
     assert left_over(df, alpha=1.5)[1].agg(F.max(F.abs("gradient"))).first()[0] > 1e-3
+
+
+def test_sorted_signal_is_predicted_once(spark):
+    """The sort of the price signal starts from predicted rows; it looks at them twice."""
+    from lodestead.queries import QUERIES
+
+    plan = QUERIES["value_signal_full"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" in plan and "zip_with" not in plan and "Join" not in plan
