@@ -15,6 +15,8 @@ EXTRACTED_COLUMNS = [
     "parking_spaces", "land_size_sqm", "floor_size_sqm", "features_raw", "description", "weekly_rent_aud",
     "lease_term_months", "available_from", "source_file",
 ]
+# Pages that go to a Python worker at once: whole documents, of which ten thousand would be held together.
+BATCH_PAGES = 500
 COVERAGE_FIELDS = ["address", "property_type", "bedrooms", "bathrooms", "weekly_rent_aud"]
 
 # Feature labels in the order they are tried, and how each value is read.
@@ -72,6 +74,10 @@ def property_type(pieces: Column) -> Column:
 def extract(pages: DataFrame) -> DataFrame:
     """``(source_file, html, captured_on)`` to typed listing rows: the extracted
     columns followed by the amenity flags."""
+    conf = pages.sparkSession.conf
+    before = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if before <= 0 or before > BATCH_PAGES:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_PAGES))
     raw = pages.select("source_file", "captured_on", locate(F.col("html")).alias("at"))
     located = raw.select(
         "source_file",

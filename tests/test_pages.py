@@ -115,3 +115,17 @@ def test_reading_files(spark, tmp_path):
 @given(st.lists(st.sampled_from(BITS), max_size=25))
 def test_no_markup_breaks_the_walk(bits):
     assert len(_walk("".join(bits))) == len(FIELDS)
+
+
+def test_pages_go_to_python_in_small_batches(spark):
+    """However many rows a session's batches have, a worker holds few whole pages at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, want in (("10000", "500"), ("0", "500"), ("20", "20")):
+            spark.conf.set(key, given)
+            pages = spark.createDataFrame([("a.html", "<p>x</p>", None)], "source_file string, html string, captured_on date")
+            assert extract(pages).count() == 1
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
