@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -31,6 +32,15 @@ def bucket(column, n: int):
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def give_back() -> None:
+    """Free memory of a Python worker returned to the machine. Workers outlive their tasks, and what a finished
+    one had would count against the executor while later steps run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` whose function yields column dictionaries in the order of ``schema``."""
     spark = df.sparkSession
@@ -38,8 +48,12 @@ def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterab
     arrow = to_arrow_schema(kind)
 
     def run(batches):
-        for columns in work(batches):
-            yield pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) for f in arrow], schema=arrow)
+        try:
+            for columns in work(batches):
+                yield pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) for f in arrow], schema=arrow)
+                del columns
+        finally:
+            give_back()
 
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     if int(before) <= 0 or int(before) > BATCH_ROWS:
