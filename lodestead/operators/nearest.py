@@ -104,6 +104,15 @@ def _tasks(rows: int) -> int:
     return max(1, -(-rows // TASK_PAIRS))
 
 
+def _dealt(rows: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """``rows`` dealt to ``tasks`` places for a join by ``keys``. A sort-merge join keeps a number of places only if
+    the session's own is not greater; otherwise both sides are dealt anew and coalesced by compressed bytes, of
+    which pairs have very few."""
+    if tasks == 1:
+        return rows
+    return rows.repartition(max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def _walk(pairs: DataFrame, count: int, cells: DataFrame, sites: DataFrame, level: int, to: int) -> tuple[DataFrame, int]:
     """``count`` pairs of ``level`` walked down to the listing cells of level ``to``, and how many survive.
     Many pairs go one level at a time, where a pair makes 16 at most, of which few go on."""
@@ -135,7 +144,7 @@ def _descend(pairs: DataFrame, cells: DataFrame, sites: DataFrame, above: int, l
         )
     )
     bounded = (
-        pairs.select("category", "lx", "ly", "px", "py", F.col("best").alias("bound"))
+        _dealt(pairs.select("category", "lx", "ly", "px", "py", F.col("best").alias("bound")), tasks, "lx", "ly")
         .join(listing_side, ["lx", "ly"])
         .repartition(tasks, "cx", "cy", "category")
         .join(point_side, ["category", "px", "py"])
@@ -160,7 +169,7 @@ def _leaves(pairs: DataFrame, sites: DataFrame, level: int, tasks: int) -> DataF
     )
     inside = sites.selectExpr("category", "name", "lat", "lon", "u", f"{_up('x', level)} AS px", f"{_up('y', level)} AS py")
     return (
-        from_cells.repartition(tasks, "category", "px", "py").join(inside, ["category", "px", "py"])
+        _dealt(from_cells, tasks, "category", "px", "py").join(inside, ["category", "px", "py"])
         .selectExpr("*", f"{_arc_km('c', 'u')} AS km")
         .selectExpr("*", "min(km) OVER (PARTITION BY lx, ly, category) AS best")
         .where(f"km <= best + 2 * reach + {SLACK_KM}D")
@@ -188,13 +197,13 @@ def _cover(located: DataFrame, sites: DataFrame, leaf_points: int) -> tuple[Data
         entries, still = load.selectExpr("coalesce(sum(entries) FILTER (WHERE settled), 0)", "coalesce(sum(pairs) FILTER (WHERE NOT settled), 0)").first()
         done = load.where("settled").select("bx", "by")
         tagged = pairs.selectExpr("*", *base)
-        leaves.append(_leaves(tagged.join(done, ["bx", "by"]), sites, level, _tasks(entries)))
+        # at most 4^BASE_LEVEL rows, so sending them everywhere is safe; by key, all pairs of a base cell were one task
+        leaves.append(_leaves(tagged.join(F.broadcast(done), ["bx", "by"]), sites, level, _tasks(entries)))
         depths.append(done.withColumn("depth", F.lit(level)))
         if still == 0:
             break
         unsettled = load.where("NOT settled").select("bx", "by")
         deeper = level + STRIDE
-        # at most 4^BASE_LEVEL rows, so sending them everywhere is safe
         cells = cut(
             located.selectExpr("x", "y", f"{_up('x', BASE_LEVEL)} AS bx", f"{_up('y', BASE_LEVEL)} AS by")
             .join(F.broadcast(unsettled), ["bx", "by"], "left_semi")

@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +80,50 @@ def test_pairs_of_a_crowded_place_are_many_tasks(spark, monkeypatch):
     assert all(len(parts) > 1 and max(parts) <= 2000 for parts in found if sum(parts) > 2000)
 
 
+def test_sides_that_are_too_large_to_send_stay_dealt(spark):
+    """A sort-merge join with pairs of cells runs in the places they were dealt to, not in a few by compressed bytes."""
+    cells = spark.createDataFrame([(("park", "school")[x % 2], x, y) for x in range(64) for y in range(64)], "category string, x int, y int")
+    pairs = cells.selectExpr("category", "x AS lx", "y AS ly", "x AS px", "y AS py", "1e9D AS best")
+    sites = cells.selectExpr("category", "concat('p', x) AS name", "0D AS lat", "0D AS lon", "struct(1D AS x, 0D AS y, 0D AS z) AS u", "x", "y")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "6"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for found, keys in (
+            (nearest._descend(pairs, cells, sites, 27, 27, 5), "lx#\\d+, ly#\\d+"),
+            (nearest._leaves(pairs, sites, 27, 5), "category#\\d+, px#\\d+, py#\\d+"),
+        ):
+            found.collect()
+            plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+            exchange = next((i for i, row in enumerate(plan) if re.search(rf"Exchange hashpartitioning\({keys}, 6\), REPARTITION_BY_NUM", row)), None)
+            assert exchange is not None, "\n".join(plan)
+            assert not any("AQEShuffleRead" in row for row in plan[exchange - 2 : exchange])
+            assert sum("SortMergeJoin" in row for row in plan) >= 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_pairs_do_not_travel_by_base_cell(spark, monkeypatch):
+    """There are few base cells, and all pairs of one would be one task."""
+    plans, leaves = [], nearest._leaves
+
+    def planned(pairs, *rest):
+        plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+        return leaves(pairs, *rest)
+
+    monkeypatch.setattr(nearest, "_leaves", planned)
+    pois = [("park", f"p{i:03d}", a, b) for i, (a, b) in enumerate(spread(20, 3, -33.9, -33.6, 151.1, 151.6))]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        check(spark, [(f"a{i}", a, b) for i, (a, b) in enumerate(spread(20, 7, -33.9, -33.6, 151.1, 151.6))], pois, 8)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans and not any("hashpartitioning(bx" in plan for plan in plans)
+
+
 def test_edges_of_the_map(spark):
     pois = [("park", f"p{i:03d}", a, b) for i, (a, b) in enumerate(spread(60, 2, -89.9, 89.9, -180, 180))]
     pois += [("park", "east", 10.0, 179.99), ("park", "west", 10.0, -179.99), ("park", "pole", 90.0, 0.0), ("park", "corner", -90.0, 180.0)]
